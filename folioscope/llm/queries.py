@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, media, packing, token_counts, toxicity
+from . import decontaminate, html_extract, langid, media, packing, simhash_dedup, suffix_dedup, token_counts, toxicity, url_filters
 from .common import id_bucket
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,12 +22,41 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold a benchmark item, with their best match."""
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumn("contaminated", F.lit(True))
+
+
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    texts = html_extract.extract(pages, html_extract.train(pages))
+    return texts.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact token counts of every whole text."""
     counts = token_counts.count_tokens(table(spark, sf_dir, "documents"))
     return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every whole text without the bytes of repeated strings of 400 bytes."""
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's url."""
+    return url_filters.judge(table(spark, sf_dir, "pages"))
+
+
+def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and the class of those it is linked to."""
+    groups = simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", simhash_dedup.hex_fingerprint().alias("fingerprint"), "component_id")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Noisy-or toxicity of every whole text; labels of rows held out are never read in training."""
     docs = table(spark, sf_dir, "documents")
@@ -50,7 +79,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_media_columns": op1_media_columns,
+    "op2_decontamination": op2_decontamination,
+    "op3_html_extraction": op3_html_extraction,
     "op4_token_counts": op4_token_counts,
+    "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_url_filters": op6_url_filters,
+    "op7_simhash_dedup": op7_simhash_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
     "op10_language_id": op10_language_id,

@@ -296,3 +296,14 @@ def remove_repeats(docs: DataFrame, text: str = "text", keep_bytes: bool = False
     done = joined.select("doc_id", "_own", F.length("b").cast("long").alias("n_bytes"), F.pandas_udf(run, REMOVED)("b", "starts").alias("x"))
     own = [F.col(f"_own.{c}").alias(c) for c in columns]
     return done.select("doc_id", "n_bytes", "x.n_removed", "x.n_spans", "x.kept_sha256", *own, *(["x.kept"] if keep_bytes else []))
+
+
+def whole_characters(kept: pd.Series) -> pd.Series:
+    """Kept bytes as text, without the parts of characters that a removal cut through."""
+    return kept.map(lambda b: b.decode("utf-8", "ignore"))
+
+
+def without_repeats(docs: DataFrame, text: str = "text", columns: tuple[str, ...] = ()) -> DataFrame:
+    """Documents that something is left of, with what is left as their text; empty texts stay as they are."""
+    done = remove_repeats(docs, text, True, columns).filter((F.col("n_removed") < F.col("n_bytes")) | (F.col("n_bytes") == 0))
+    return done.select("doc_id", F.pandas_udf(whole_characters, "string")("kept").alias(text), *columns)

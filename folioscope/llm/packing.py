@@ -16,6 +16,7 @@ import bisect
 import functools
 import os
 import re
+import string
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -35,6 +36,10 @@ MOST_ROUNDS = 12
 #: White space of the tokenizer at which a text may be cut without a change of its ids.
 BREAKS = re.compile("[\t\r\n]")
 CACHED = 800_000
+#: Marks that stand around a word of letters as pre-tokens of their own; an apostrophe in front may join the word,
+#: and those of special tokens are left out.
+MARKS = "".join(c for c in string.punctuation if c not in "<|>")
+LEADING = MARKS.replace("'", "")
 
 
 @functools.cache
@@ -70,19 +75,23 @@ class WordIds:
 
     def fill(self, texts: list[list[str]]) -> None:
         """Add what the cache lacks of these words."""
-        lacking = set().union(*texts) - self.cache.keys()
+        words = set().union(*texts)
+        lacking = [w for w in words if w not in self.cache]
         if len(self.cache) + 2 * len(lacking) > CACHED:
             self.cache = {"": b""}
-            lacking = set().union(*texts) - self.cache.keys()
-        cut = [(w, w.rstrip(".,;:!?")) for w in lacking]
-        cores = {c for _, c in cut if plain(c)} - self.cache.keys()
-        self._letters(list(cores))
-        for word, core in cut:
-            for x in {core, word[len(core) :]} if plain(core) else {word}:
-                if x not in self.cache:
-                    self.cache[x] = np.array(self._encode(x), "<u4").tobytes()
-            if plain(core):
-                self.cache[word] = self.cache[core] + self.cache[word[len(core) :]]
+            lacking = [w for w in words if w]
+        cut = [(w, h, c) for w in lacking if plain(c := (h := w.rstrip(MARKS)).lstrip(LEADING))]
+        self._letters(list({c for _, _, c in cut if c not in self.cache}))
+        for word, front, core in cut:
+            if word != core:
+                head, tail = front[: len(front) - len(core)], word[len(front) :]
+                for x in (head, tail):
+                    if x not in self.cache:
+                        self.cache[x] = np.array(self._encode(x), "<u4").tobytes()
+                self.cache[word] = self.cache[head] + self.cache[core] + self.cache[tail]
+        for word in lacking:
+            if word not in self.cache:
+                self.cache[word] = np.array(self._encode(word), "<u4").tobytes()
 
     def many(self, texts: list[str]) -> Iterator[bytes]:
         words = [BREAKS.sub(" ", t).split(" ") for t in texts]

@@ -266,6 +266,8 @@ def tag_map(title: Column, email: Column) -> Column:
 
 def fix_text_name(name: Column) -> Column:
     """A name whose UTF-8 bytes were read as code page 437, repaired; any other name as it is."""
-    raw = F.encode(name, "cp437")
-    again = F.decode(raw, "cp437") == name
-    return F.when(again & F.is_valid_utf8(raw.cast("string")), raw.cast("string")).otherwise(name)
+    high = bytes(range(128, 256))
+    page, latin = high.decode("cp437"), high.decode("latin-1")
+    readable = F.translate(name, page, "").rlike(r"^[\x00-\x7F]*$")
+    raw = F.encode(F.translate(name, page, latin), "iso-8859-1").cast("string")
+    return F.when(readable & F.is_valid_utf8(raw), raw).otherwise(name)

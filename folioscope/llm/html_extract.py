@@ -315,7 +315,8 @@ def train(pages: DataFrame, html: str = "html") -> Trees:
                     x = node_features(page)[label >= 0]
                     keep = np.linspace(0, len(x) - 1, min(len(x), TRAIN_NODES // TRAIN_PAGES)).astype(int)
                     out += [{"x": a.tolist(), "y": int(b)} for a, b in zip(x[keep], label[label >= 0][keep])]
-            yield pd.DataFrame(out, columns=["x", "y"])
+            if out:
+                yield pd.DataFrame(out, columns=["x", "y"])
 
     got = sample.mapInPandas(rows, "x array<double>, y int").toArrow().to_pandas()
     x, y = labelled_examples()

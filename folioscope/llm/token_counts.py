@@ -86,7 +86,8 @@ def frequent_table(docs: DataFrame, text: str, model: str) -> tuple[bytes, np.nd
             for x in batch["t"]:
                 seen.update(w for w in pre_tokens(x) if len(w) <= 64 and "\x00" not in w)
         top = seen.most_common(PER_PARTITION)
-        yield pd.DataFrame({"w": [w for w, _ in top], "n": [n for _, n in top]})
+        if top:
+            yield pd.DataFrame({"w": [w for w, _ in top], "n": [n for _, n in top]})
 
     texts = docs.select(blank(text).alias("t"))
     sample = hash_sample(texts, "t", SAMPLE_DOCS, docs.count())

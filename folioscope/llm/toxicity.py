@@ -137,7 +137,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: Column, text: str = "text")
             for t, toxic in zip(batch["t"], batch["toxic"]):
                 bags = [[f for w in set(words) for f in cached[w]] for _, _, words in sentences(t)]
                 out.append((int(toxic), [len(x) for x in bags], [f for x in bags for f in x]))
-            yield pd.DataFrame(out, columns=["toxic", "sizes", "words"])
+            if out:
+                yield pd.DataFrame(out, columns=["toxic", "sizes", "words"])
 
     got = texts.mapInPandas(features, "toxic int, sizes array<int>, words array<int>").toArrow().to_pandas()
     got = got[got["sizes"].map(len) > 0]

@@ -84,9 +84,10 @@ def shift_names(pages: DataFrame, start: int = 0, title: str | None = None, volu
     return pages.withColumn("new_name", F.concat(F.lit(prefix), number, F.regexp_extract("name", r"(\.[^.]+)$", 1))).drop("_digits")
 
 
-def step_names(steps: DataFrame) -> DataFrame:
-    """``kind-n`` by order of occurrence."""
-    return steps.withColumn("step", F.concat_ws("-", "kind", F.row_number().over(Window.partitionBy("kind").orderBy("pos")).cast("string")))
+def step_names(steps: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``kind-n`` by order of occurrence, within ``keys``."""
+    place = F.row_number().over(Window.partitionBy(*keys, "kind").orderBy("pos"))
+    return steps.withColumn("step", F.concat_ws("-", "kind", place.cast("string")))
 
 
 def fill_blank_sizes(pages: DataFrame) -> DataFrame:

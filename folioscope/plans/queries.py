@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..operators import boxes, catalog, markup, pixels, ranges, rules, scoring
+from ..sources import archives
+from ..sources.config import read_config
+from ..streaming.ingest import ingest
 from . import pipeline
-from .views import table, view, with_views
+from .views import scratch, table, view, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -70,6 +73,43 @@ def sink_manifest(spark, sf):
     return view(spark, sf, "v3").groupBy("image").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.round(F.avg("v"), 6).alias("mean"))
 
 
+@query(f"select concat('Series ', book, '.cbz') as archive, 'CBZ' as container, name, row_number() over (partition by book order by name) - 1 as index, count(*) over (partition by book) as total_count from v1 where {IMAGES}", "v1")
+def scan_archives(spark, sf):
+    """Members of the archives that the packing sink makes of all pages."""
+    p = view(spark, sf, "v1").select(F.concat(F.lit("Series "), c("book").cast("string"), F.lit(".cbz")).alias("archive"), "name", c("name").cast("binary").alias("content"))
+    packed = archives.pack_archives(p).select(c("archive").alias("path"), "content")
+    return archives.explode_archives(packed).select("archive", "container", "name", "index", "total_count")
+
+
+@query("select concat('v', book) as book, ord, number, start from v2", "v1 v2")
+def scan_config(spark, sf):
+    """Chapters of configurations that are written from the chapter view, a JSON object a line."""
+    chapters = F.transform(F.sort_array(F.collect_list(F.struct("ord", "number", "start"))), lambda x: F.struct(x.number.alias("number"), x.start.alias("start")))
+    volume = view(spark, sf, "v2").groupBy("book").agg(chapters.alias("chapters"))
+    config = volume.select(F.lit("Series").alias("title"), F.array(F.struct(F.concat(F.lit("v"), c("book").cast("string")).alias("path"), "chapters")).alias("volumes"))
+    path = scratch(spark, "config")
+    config.write.json(path)
+    return read_config(spark, path, multi_line=False)["chapters"].select("book", "ord", "number", "start")
+
+
+@query("select page_id, pos, href as name from v4", "v4")
+def fix_text_names(spark, sf):
+    """Names garbled by the wrong code page come back as they were."""
+    high = bytes(range(128, 256))
+    garbled = F.translate(F.decode(F.encode("href", "utf-8"), "iso-8859-1"), high.decode("latin-1"), high.decode("cp437"))
+    return view(spark, sf, "v4").select("page_id", "pos", N.fix_text_name(garbled).alias("name"))
+
+
+@query("select event_id, event_type, length(event_type) as n from events")
+def stream_ingest(spark, sf):
+    """All events, taken in by a stream that runs twice; the second run finds nothing new."""
+    at = scratch(spark, "ingest")
+    schema = table(spark, sf, "events").schema
+    for run in ("first", "second"):
+        ingest(spark, f"{sf}/event[s].parquet", schema, f"{at}/done", f"{at}/{run}", lambda df: df.select("event_id", "event_type", F.length("event_type").alias("n")), ("event_id",)).awaitTermination()
+    return spark.read.parquet(f"{at}/done")
+
+
 # Rules ----------------------------------------------------------------------------------------------------------------
 
 _TREE = {"op": "and", "rules": [
@@ -395,11 +435,8 @@ def win_shift_spreads(spark, sf):
 
 @query("select book, pos, concat(kind, '-', row_number() over (partition by book, kind order by pos)) as step from (select book, page as pos, case page % 3 when 0 then 'level' when 1 then 'rename' else 'pack' end as kind from v1 where page < 12)", "v1")
 def win_step_names(spark, sf):
-    from pyspark.sql import Window
-
     s = view(spark, sf, "v1").filter("page < 12").select("book", c("page").alias("pos"), F.when(c("page") % 3 == 0, "level").when(c("page") % 3 == 1, "rename").otherwise("pack").alias("kind"))
-    place = F.row_number().over(Window.partitionBy("book", "kind").orderBy("pos"))
-    return s.select("book", "pos", F.concat_ws("-", "kind", place.cast("string")).alias("step"))
+    return ranges.step_names(s, ("book",)).select("book", "pos", "step")
 
 
 _RUNS = f"""{_HIST}, tot as (select *, ceil(sum(n) over (partition by image) * (0.25 / 100)) as need from hist), roi as (select * from tot where v <= 60),

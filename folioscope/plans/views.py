@@ -5,6 +5,9 @@ Each is given twice: as a DataFrame, and as DuckDB SQL for the oracle.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 _SPARK = {
@@ -100,6 +103,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder of the session, or in a temporary one where none is set (local runs)."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="folioscope-")
+    return f"{shared.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
 def with_views(names: str, body: str) -> str:
     """DuckDB SQL: ``body`` over the named views."""
     wanted: list[str] = []

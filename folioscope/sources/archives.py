@@ -42,7 +42,11 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     The kind is told by the first bytes, not by the name; other kinds are left
     out.  One archive is held by one task.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return explode_archives(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
+
+
+def explode_archives(files: DataFrame) -> DataFrame:
+    """The same for archives in a table with ``path`` and ``content``."""
     known = files.select("path", container_kind(F.substring("content", 1, 520)).alias("kind"), "content").filter(F.col("kind").isin("CBZ", "TAR"))
     members = known.mapInPandas(_members, MEMBERS).filter(is_image(F.col("name")))
     return number_pages(members, "archive")

@@ -12,9 +12,12 @@ volumes array<struct<path:string,number:double,title:string,year:int,oneshot:boo
 actions array<struct<kind:string,params:map<string,string>>>"""
 
 
-def read_config(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Tables ``volumes``, ``chapters``, ``spreads``, ``meta``, ``skips`` and ``actions``; malformed JSON is an error."""
-    config = spark.read.schema(SCHEMA).option("multiLine", True).option("mode", "FAILFAST").json(path)
+def read_config(spark: SparkSession, path: str, multi_line: bool = True) -> dict[str, DataFrame]:
+    """Tables ``volumes``, ``chapters``, ``spreads``, ``meta``, ``skips`` and ``actions``; malformed JSON is an error.
+
+    A file is one configuration, or holds one on each line (without ``multi_line``).
+    """
+    config = spark.read.schema(SCHEMA).option("multiLine", multi_line).option("mode", "FAILFAST").json(path)
     volumes = config.select("title", "publisher", "credit", "bracket_type", F.posexplode("volumes").alias("pos", "v")).select("title", "publisher", "credit", "bracket_type", "pos", F.col("v.path").alias("book"), "v.*")
     part = lambda column: volumes.select("book", F.posexplode(column).alias("ord", "x"))
     actions = config.select(F.posexplode("actions").alias("pos", "a")).select("pos", "a.kind", "a.params")

@@ -44,12 +44,15 @@ def id_bucket(column: str, modulus: int) -> Column:
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(modulus))
 
 
-def hash_sample(df: DataFrame, key: str, wanted: int, total: int, salt: int = 17) -> DataFrame:
-    """A repeatable sample of about ``wanted`` of ``total`` rows, chosen by a hash of ``key``."""
+def hash_sample(df: DataFrame, keys: tuple[str, ...], wanted: int, total: int, salt: int = 17) -> DataFrame:
+    """A repeatable sample of about ``wanted`` of ``total`` rows, chosen by a hash of ``keys``.
+
+    ``keys`` should tell rows apart, so that a large group of copies isn't chosen as a whole.
+    """
     if total <= wanted:
         return df
     grain = 1 << 30
-    return df.filter(F.pmod(F.xxhash64(F.col(key), F.lit(salt)), F.lit(grain)) < F.lit(int(grain * wanted / total)))
+    return df.filter(F.pmod(F.xxhash64(*keys, F.lit(salt)), F.lit(grain)) < F.lit(int(grain * wanted / total)))
 
 
 class BoundedCache(dict):

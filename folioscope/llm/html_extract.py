@@ -31,7 +31,7 @@ from .common import blank, hash_sample
 
 #: Expected bound of the pages that the trees are fitted on, and of their nodes.
 TRAIN_PAGES, TRAIN_NODES = 400, 40_000
-TREES, DEPTH, RATE, BINS, RIDGE = 30, 3, 0.3, 24, 1.0
+TREES, DEPTH, RATE, BINS, RIDGE = 40, 4, 0.3, 24, 1.0
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe svg textarea select title".split())
@@ -284,26 +284,38 @@ EXAMPLES = tuple(
         '<div class="footer"><p>All rights reserved.</p><a href="/a">About</a> <a href="/b">Terms</a></div>',
         '<form><p>Your address</p><input><button>Subscribe</button></form>',
         f'<div class="related"><h3>Related</h3><ul>{_LINKS}</ul></div>',
+        f'<section id="comments"><h3>Comments</h3><div class="comment"><p>{_LINES * 2}</p></div><div class="comment"><p>Well said, I agree!</p></div></section>',
+        f'<aside class="sidebar"><h3>Related</h3><p>{_LINES}</p><ul>{_LINKS}</ul></aside>',
+        f'<aside><p>{_LINES}</p></aside>',
+        f'<header><h2>Site name</h2><p>A tag line of it.</p><ul>{_LINKS}</ul></header>',
+        '<footer><p>Copyright of the site. All rights reserved.</p></footer>',
+        f'<div class="share-buttons"><ul>{_LINKS}</ul></div>',
+        f'<div class="advert"><p>{_LINES}</p></div>',
+        f'<div class="newsletter"><p>{_LINES}</p><form><p>Your address</p></form></div>',
     )
 )
 
 
 def labelled_examples() -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of pages made of each example: its other part before, after, beside and inside the main one."""
     xs, ys = [], []
     for main, other in EXAMPLES:
-        for order in (0, 1):
-            page = read_page(f"<html><body>{main if order else other}{other if order else main}</body></html>")
-            split = next(k for k in range(3, len(page.tag) + 1) if k == len(page.tag) or page.parent[k] == 2)
-            first = np.arange(len(page.tag)) < split
+        head = read_page(other)
+        inner = main.removesuffix("</div>")
+        for body in (f"{main}{other}", f"{other}{main}", f"<main>{main}{other}</main>", f"<main><article>{main}</article>{other}</main>", f"<article>{inner[inner.index('>') + 1 :]}{other}</article>", f"<div>{other}{main}</div>", f"{inner}{other}</div>"):
+            page = read_page(f"<html><body>{body}</body></html>")
+            at = next(k for k in range(1, len(page.tag)) if (page.tag[k], page.tokens[k]) == (head.tag[1], head.tokens[1]) and page.end[k] - k == head.end[1] - 1)
+            label = np.ones(len(page.tag), int)
+            label[at : page.end[at]] = 0
             xs.append(node_features(page))
-            ys.append(np.where(np.arange(len(page.tag)) < 3, 1, first if order else ~first).astype(int))
-    return np.concatenate(xs)[:], np.concatenate(ys)
+            ys.append(label)
+    return np.concatenate(xs), np.concatenate(ys)
 
 
 def train(pages: DataFrame, html: str = "html") -> Trees:
     """Fit the trees; at most about ``TRAIN_NODES`` feature rows of a bounded sample of pages come to the driver."""
-    whole = pages.select(blank(html).alias("h"))
-    sample = hash_sample(whole, "h", TRAIN_PAGES, pages.count())
+    whole = pages.select("page_id", blank(html).alias("h"))
+    sample = hash_sample(whole, ("page_id", "h"), TRAIN_PAGES, pages.count()).select("h")
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -322,8 +334,9 @@ def train(pages: DataFrame, html: str = "html") -> Trees:
     x, y = labelled_examples()
     weight = np.full(len(y), 1.0)
     if len(got):
+        # pages as a whole count twice as much as the examples
         x, y = np.concatenate((x, np.stack(got["x"].to_list()))), np.concatenate((y, got["y"].to_numpy()))
-        weight = np.concatenate((weight, np.full(len(got), max(4.0, 4 * len(weight) / len(got)))))
+        weight = np.concatenate((weight, np.full(len(got), 2 * len(weight) / len(got))))
     return boost(x, y.astype(float), weight)
 
 

@@ -103,7 +103,7 @@ def train(docs: DataFrame, rows: Column, text: str = "text", lang: str = "lang")
 
     Trigrams are counted in Spark; only those frequent enough come to the driver.
     """
-    labelled = docs.filter(rows & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), blank(text).alias("t"))
+    labelled = docs.filter(rows & F.col(lang).isNotNull()).select("doc_id", F.col(lang).alias("lang"), blank(text).alias("t"))
     totals = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(MOST_LANGUAGES + 1).collect()}
     if len(totals) > MOST_LANGUAGES:
         raise ValueError(f"at most {MOST_LANGUAGES} languages")
@@ -113,7 +113,8 @@ def train(docs: DataFrame, rows: Column, text: str = "text", lang: str = "lang")
     cut = F.lit(0)
     for name, n in totals.items():
         cut = F.when(F.col("lang") == name, F.lit(min(grain, int(grain * TRAIN_DOCS / n)))).otherwise(cut)
-    sample = labelled.filter(F.pmod(F.xxhash64("t"), F.lit(grain)) < cut)
+    # the id only tells copies apart, so that a large group of them isn't chosen as a whole
+    sample = labelled.filter(F.pmod(F.xxhash64("doc_id", "t"), F.lit(grain)) < cut).select("lang", "t")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -89,8 +89,8 @@ def frequent_table(docs: DataFrame, text: str, model: str) -> tuple[bytes, np.nd
         if top:
             yield pd.DataFrame({"w": [w for w, _ in top], "n": [n for _, n in top]})
 
-    texts = docs.select(blank(text).alias("t"))
-    sample = hash_sample(texts, "t", SAMPLE_DOCS, docs.count())
+    texts = docs.select("doc_id", blank(text).alias("t"))
+    sample = hash_sample(texts, ("doc_id", "t"), SAMPLE_DOCS, docs.count()).select("t")
     seen: Counter[str] = Counter()
     for w, n in sample.mapInPandas(count, "w string, n long").collect():
         seen[w] += n

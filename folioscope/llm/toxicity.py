@@ -127,7 +127,7 @@ def fit(words: np.ndarray, sentence: np.ndarray, document: np.ndarray, label: np
 def train(docs: DataFrame, labels: DataFrame, rows: Column, text: str = "text") -> BagModel:
     """Fit on a bounded sample of the labelled documents for which ``rows`` holds."""
     known = labels.filter(F.col("toxic").isNotNull() & rows).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    sample = hash_sample(known, "doc_id", TRAIN_DOCS, known.count())
+    sample = hash_sample(known, ("doc_id",), TRAIN_DOCS, known.count())
     texts = docs.select("doc_id", blank(text).alias("t")).join(sample, "doc_id").select("t", "toxic")
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

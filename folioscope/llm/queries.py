@@ -48,7 +48,7 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict on every page's url."""
-    return url_filters.judge(table(spark, sf_dir, "pages"))
+    return url_filters.judge(table(spark, sf_dir, "pages")).drop("trust", "distrust")
 
 
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,4 +90,26 @@ QUERIES: dict[str, Query] = {
     "op10_language_id": op10_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_RULES = ", ".join(f"('{verdict}', '{rule}')" for verdict, rule in url_filters.RULES)
+_LINK = url_filters.LINK.replace("'", "''")
+
+#: The other operators use hashes, tokenizers or trained models that SQL lacks; tests hold them against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op6_url_filters": f"""with recursive u as (select page_id, html, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
+  hp as (select row_number() over () as n, page_id, html, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{url_filters.UPPER}', '{url_filters.LOWER}') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from u),
+  rules(verdict, rule) as (values {_RULES}),
+  fit as (select n, arg_max(rule, length(rule) * 2 + (verdict = 'block')::int) as rule from hp join rules on (host = split_part(rule, '/', 1) or ends_with(host, '.' || split_part(rule, '/', 1))) and starts_with(path, substr(rule, strpos(rule, '/'))) group by n),
+  j as (select hp.n, page_id, host, path, fit.rule, verdict as said from hp left join fit on hp.n = fit.n left join rules on fit.rule = rules.rule),
+  c as (select host, count(*) filter (where said = 'allow') as a, count(*) filter (where said = 'block') as b from j where said is not null group by host),
+  seeds as (select host, coalesce(a / nullif((select sum(a) from c), 0), 0) as s, coalesce(b / nullif((select sum(b) from c), 0), 0) as b from c),
+  l as (select host as src, translate(unnest(regexp_extract_all(html, '{_LINK}', 1)), '{url_filters.UPPER}', '{url_filters.LOWER}') as dst from hp),
+  e0 as (select src, dst, count(*) as n from l where src <> '' and src <> dst group by all),
+  e as (select src, dst, n / sum(n) over (partition by src) as fwd, n / sum(n) over (partition by dst) as back from e0),
+  ranks as (select 0 as step, host, s as t, b as d from seeds
+    union all select * from (select any_value(step) + 1 as step, host, sum(t) as t, sum(d) as d from (
+      select step, dst as host, {url_filters.DAMPING} * t * fwd as t, 0 as d from e join ranks on src = host
+      union all select step, src, 0, {url_filters.DAMPING} * d * back from e join ranks on dst = host
+      union all select (select max(step) from ranks), host, (1 - {url_filters.DAMPING}) * s, (1 - {url_filters.DAMPING}) * b from seeds) group by host) where step <= {url_filters.STEPS}),
+  r as (select host, t, d from ranks where step = (select max(step) from ranks))
+  select page_id, j.host, path, rule, coalesce(said, case when coalesce(d, 0) > coalesce(t, 0) then 'block' else 'allow' end) as verdict from j left join r on j.host = r.host""",
+}

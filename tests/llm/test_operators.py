@@ -498,3 +498,22 @@ def test_filters_return_all_languages_of_a_trigram():
     mask = np.bitwise_and.reduce([f.slices[p] for p in langid.positions(grams["bb"])])
     assert (mask >> np.uint64(1) & np.uint64(1)).all() and (mask[:500] & np.uint64(1)).all()
     assert (mask[500:] & np.uint64(1)).mean() < 0.02
+
+
+def test_url_filter_equals_sql(spark, tmp_path):
+    import duckdb
+
+    rng = random.Random(8)
+    hosts = ["a.org", "b.example.org", "c.com", "d.net", "e.net", "f.net", "g.com", "h.net"]
+    rows = []
+    for k in range(200):
+        links = " ".join(f'<a href="http://{rng.choice(hosts)}/x">y</a>' for _ in range(rng.randint(0, 3)))
+        rows.append((k, f"http://{rng.choice(hosts)}{rng.choice(('/fr/1', '/de/2', '/es/3', '/en/1', ''))}", links))
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    for sf in (str(tmp_path), "/root/testdata/sf0.01"):
+        got = queries.op6_url_filters(spark, sf)
+        con = duckdb.connect()
+        con.execute(f"create view pages as select * from read_parquet('{sf}/pages.parquet{'/*.parquet' if sf == str(tmp_path) else ''}')")
+        rel = con.sql(queries.ORACLE_SQL["op6_url_filters"])
+        at = [rel.columns.index(c) for c in got.columns]
+        assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(str(tuple(r[i] for i in at)) for r in rel.fetchall())

@@ -13,15 +13,17 @@ _UP_TO = (Window.unboundedPreceding, 0)
 def histogram(pixels: DataFrame) -> DataFrame:
     """256 bins of each image, empty ones included, from ``image, v``."""
     counts = pixels.groupBy("image", "v").agg(F.count("*").alias("n"))
-    bins = pixels.select("image").distinct().select("image", F.explode(F.sequence(F.lit(0), F.lit(255))).alias("v"))
-    return bins.join(counts, ["image", "v"], "left").select("image", "v", F.coalesce("n", F.lit(0)).alias("n"))
+    # an image has 256 counts at most, so they fit a map; one scan, no join
+    bins = counts.groupBy("image").agg(F.map_from_entries(F.collect_list(F.struct("v", "n"))).alias("m"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda v: F.coalesce(F.try_element_at("m", v), F.lit(0)))
+    return bins.select("image", F.posexplode(dense).alias("v", "n"))
 
 
-def local_peaks(hist: DataFrame, limit: int = 60, percent: float | None = 0.25, white: bool = False) -> DataFrame:
-    """Peaks of the dark (or light) end of dense histograms.
+def level_runs(hist: DataFrame, limit: int = 60, percent: float | None = 0.25, white: bool = False) -> DataFrame:
+    """Level stretches of the dark (or light) end of dense histograms, and which of them are peaks.
 
-    A peak stands above both neighbours, beyond the ends zero; a level stretch
-    gives its middle, rounded down.  It must hold ``percent`` of all pixels.
+    A peak stands above both neighbours, beyond the ends zero; its place is the
+    stretch's middle, rounded down.  ``enough``: it holds ``percent`` of all pixels.
     """
     image = Window.partitionBy("image")
     total = F.sum("n").over(image)
@@ -32,8 +34,12 @@ def local_peaks(hist: DataFrame, limit: int = 60, percent: float | None = 0.25,
     runs = end.withColumn("run", F.sum(change).over(order.rowsBetween(*_UP_TO)))
     runs = runs.groupBy("image", "run").agg(F.first("n").alias("n"), F.min("v").alias("l"), F.max("v").alias("r"), F.first("least").alias("least"))
     order = image.orderBy("run")
-    peaks = runs.withColumn("before", F.lag("n", 1, 0).over(order)).withColumn("after", F.lead("n", 1, 0).over(order)).filter("n > before and n > after")
-    return peaks.select("image", F.floor((F.col("l") + F.col("r")) / 2).cast("int").alias("bin"), F.col("n").alias("height"), F.col("least"), (F.col("n") >= F.col("least")).alias("enough"))
+    is_peak = (F.col("n") > F.lag("n", 1, 0).over(order)) & (F.col("n") > F.lead("n", 1, 0).over(order))
+    return runs.select("image", F.floor((F.col("l") + F.col("r")) / 2).cast("int").alias("bin"), F.col("n").alias("height"), (F.col("n") >= F.col("least")).alias("enough"), is_peak.alias("is_peak"))
+
+
+def local_peaks(hist: DataFrame, limit: int = 60, percent: float | None = 0.25, white: bool = False) -> DataFrame:
+    return level_runs(hist, limit, percent, white).filter("is_peak").drop("is_peak")
 
 
 def prominences(peaks: DataFrame, hist: DataFrame, limit: int = 60, white: bool = False) -> DataFrame:
@@ -52,11 +58,11 @@ def prominences(peaks: DataFrame, hist: DataFrame, limit: int = 60, white: bool
     return out.withColumn("prominence", F.col("height") - F.greatest(left, right)).select(*peaks.columns, "prominence")
 
 
-def pick_peak(images: DataFrame, peaks: DataFrame, white: bool = False) -> DataFrame:
+def pick_peak(runs: DataFrame, white: bool = False) -> DataFrame:
     """The highest peak that is high enough, else the highest one, else the end of the range; the lower bin on ties."""
     best = lambda only: F.max(F.when(only, F.struct("height", (-F.col("bin")).alias("b"))))
-    picked = peaks.groupBy("image").agg(best(F.col("enough")).alias("x"), best(F.lit(True)).alias("y"))
-    return images.select("image").distinct().join(picked, "image", "left").select("image", F.coalesce(-F.col("x.b"), -F.col("y.b"), F.lit(255 if white else 0)).alias("level"))
+    picked = runs.groupBy("image").agg(best(F.col("is_peak") & F.col("enough")).alias("x"), best(F.col("is_peak")).alias("y"))
+    return picked.select("image", F.coalesce(-F.col("x.b"), -F.col("y.b"), F.lit(255 if white else 0)).alias("level"))
 
 
 def shades(pixels: DataFrame, threshold: float = 0.01, exact_values: bool = False) -> DataFrame:

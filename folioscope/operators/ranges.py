@@ -129,9 +129,10 @@ def base_groups(chapters: DataFrame) -> DataFrame:
 
 
 def base_rank(chapters: DataFrame) -> DataFrame:
-    """Place of a chapter within its base number, from 1, the base chapter included."""
-    base = base_of(F.col("number"))
-    return chapters.withColumn("base", base).withColumn("rank", F.row_number().over(Window.partitionBy("book", "base").orderBy("number")))
+    """Place of a chapter within its base number (from 1, the base chapter included), that number's chapters and their least part."""
+    own = Window.partitionBy("book", "base")
+    based = chapters.withColumn("base", base_of(F.col("number"))).withColumn("rank", F.row_number().over(own.orderBy("number")))
+    return based.withColumn("group_size", F.count("*").over(own)).withColumn("least_part", F.min(part_of(F.col("number"))).over(own))
 
 
 def mix_and_match(a: DataFrame, b: DataFrame, by_stem: bool = False) -> DataFrame:

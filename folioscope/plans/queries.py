@@ -466,8 +466,7 @@ def win_peak_prominence(spark, sf):
 
 @query(f", {_RUNS} select i.image, coalesce(arg_max(bin, struct_pack(h := height, b := -bin)) filter (where enough), arg_max(bin, struct_pack(h := height, b := -bin)), 0) as level from (select distinct image from v3) i left join peaks p on i.image = p.image group by i.image", "v3")
 def win_pick_peak(spark, sf):
-    hist, peaks = _peaks(spark, sf)
-    return pixels.pick_peak(hist, peaks)
+    return pixels.pick_peak(pixels.level_runs(pixels.histogram(view(spark, sf, "v3"))))
 
 
 @query(""", f as (select book, page, page % 5 = 0 as is_blank, last_value(case when page % 5 <> 0 then width end ignore nulls) over (partition by book order by page rows unbounded preceding) as width,
@@ -535,7 +534,6 @@ def union_merge(spark, sf):
 def _named(spark, sf):
     """Every page of a chapter with its full name."""
     ch = ranges.base_rank(view(spark, sf, "v2"))
-    ch = ch.join(ranges.base_groups(view(spark, sf, "v2")), ["book", "base"])
     p = ranges.assign_chapters(view(spark, sf, "v1"), ch, ("ord", "number", "group_size", "least_part", "rank")).filter("ord is not null")
     p = _with_publication(spark, p.withColumn("a", N.parse_page(c("name"))["a"]))
     quality = N.quality_suffix(F.lit("auto"), c("height"))

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,16 +47,35 @@ def tile_score(pixels: DataFrame, tile: int, overlap: int, predict: Callable[[np
     placed = placed.select("image", "y", "x", "v", "ty", F.explode(ys(F.col("x"), F.col("w"))).alias("tx"))
     ramp = np.minimum(np.minimum(np.arange(tile) + 1, tile - np.arange(tile)), max(1, 2 * overlap)) / max(1, 2 * overlap)
 
-    def run(pdf):
-        ty, tx = int(pdf["ty"].iloc[0]), int(pdf["tx"].iloc[0])
-        block = np.zeros((tile, tile))
-        y, x = pdf["y"].to_numpy() - ty, pdf["x"].to_numpy() - tx
-        block[y, x] = pdf["v"].to_numpy() / 255
-        out = predict(block)
+    def score(rows: pd.DataFrame) -> pd.DataFrame:
+        """Whole tiles, sorted by tile: each is filled, scored and weighted."""
+        key = rows[["image", "ty", "tx"]].to_numpy(np.int64)
+        cuts = np.flatnonzero(np.any(key[1:] != key[:-1], axis=1)) + 1
+        y, x = (rows["y"] - rows["ty"]).to_numpy(), (rows["x"] - rows["tx"]).to_numpy()
+        v, out = rows["v"].to_numpy() / 255, np.empty(len(rows))
+        for a, b in zip([0, *cuts], [*cuts, len(rows)]):
+            block = np.zeros((tile, tile))
+            block[y[a:b], x[a:b]] = v[a:b]
+            out[a:b] = predict(block)[y[a:b], x[a:b]]
         weight = ramp[y] * ramp[x]
-        return pdf[["image", "y", "x"]].assign(wv=out[y, x] * weight, w=weight)
-
-    scored = placed.groupBy("image", "ty", "tx").applyInPandas(run, "image int, y int, x int, wv double, w double")
+        return rows[["image", "y", "x"]].assign(wv=out * weight, w=weight)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for batch in batches:
+            rows = batch if rest is None else pd.concat((rest, batch), ignore_index=True)
+            if rows.empty:
+                continue
+            last = rows.iloc[-1]
+            tail = (rows["image"] == last["image"]) & (rows["ty"] == last["ty"]) & (rows["tx"] == last["tx"])
+            rest = rows[tail]
+            if not tail.all():
+                yield score(rows[~tail])
+        if rest is not None:
+            yield score(rest)
+
+    dealt = placed.repartition("image", "ty", "tx").sortWithinPartitions("image", "ty", "tx").drop("w")
+    scored = dealt.mapInPandas(run, "image int, y int, x int, wv double, w double")
     blended = scored.groupBy("image", "y", "x").agg((F.sum("wv") / F.sum("w")).alias("s"))
     return blended.select("image", "y", "x", F.rint(F.greatest(F.lit(0.0), F.least(F.lit(1.0), "s")) * 255).cast("int").alias("out"))
 

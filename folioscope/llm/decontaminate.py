@@ -2,7 +2,7 @@
 
 For each benchmark item every window of a document with as many words as the
 item has is a candidate.  A window is kept where enough of its shingles occur
-in the benchmark at all for a similarity of ``SIMILARITY`` to be possible (a
+in items of that length for a similarity of ``SIMILARITY`` to be possible (a
 sound bound, no heuristic).  Fingerprints of kept windows meet those of items
 of the same length in a multi-index of Hamming blocks, which by the pigeonhole
 principle returns every pair within ``RADIUS`` bits; the exact weighted Jaccard
@@ -88,38 +88,43 @@ def item_table(benchmark: DataFrame, text: str = "text") -> DataFrame:
     return benchmark.select("item_id", read_items(blank(text)).alias("x")).select("item_id", "x.*").filter("n_words > 0")
 
 
+def among(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    return ordered[np.minimum(np.searchsorted(ordered, x), len(ordered) - 1)] == x
+
+
 class Windows:
     """Finds a document's windows that may be similar to an item."""
 
-    def __init__(self, grams: np.ndarray, lengths: list[int]):
-        self.grams, self.lengths = grams, lengths
+    def __init__(self, by_length: dict[int, np.ndarray]):
+        self.by_length = by_length
+        self.grams = grams = np.unique(np.concatenate([np.zeros(0, np.uint64), *by_length.values()]))
         self.filter = np.zeros(1 << 20, bool)
         self.filter[(grams >> np.uint64(44)).astype(np.int64)] = True
         self.cache = BoundedCache(_word_hash, 600_000)
 
     def known(self, x: np.ndarray) -> np.ndarray:
-        hit = self.filter[(x >> np.uint64(44)).astype(np.int64)]
-        at = np.flatnonzero(hit)
-        if len(at):
-            near = np.minimum(np.searchsorted(self.grams, x[at]), len(self.grams) - 1)
-            hit[at] = self.grams[near] == x[at]
-        return hit
+        """Positions of shingles that are in the benchmark at all."""
+        at = np.flatnonzero(self.filter[(x >> np.uint64(44)).astype(np.int64)])
+        return at[among(x[at], self.grams)] if len(at) else at
 
     def of(self, text: str) -> list[dict]:
         words = word_hashes(text, self.cache)
         grams = shingles(words)
         if len(grams) == 0:
             return []
-        hit = self.known(grams)
-        if not hit.any():
-            return []
-        seen, out = np.concatenate(([0], np.cumsum(hit))), []
-        for n in self.lengths:
+        at_all, out = self.known(grams), []
+        for n, own in self.by_length.items() if len(at_all) else ():
             m = max(1, n - WORDS + 1)
             if n > len(words) or (n < WORDS and n != len(words)):
                 continue
             # |A n B| / (2m - |A n B|) >= s needs |A n B| >= 2ms / (1 + s)
             least = int(np.ceil(2 * m * SIMILARITY / (1 + SIMILARITY) - 1e-9))
+            hit = at_all[among(grams[at_all], own)]
+            if len(hit) < least:
+                continue
+            flags = np.zeros(len(grams) + 1, np.int64)
+            flags[hit + 1] = 1
+            seen = np.cumsum(flags)
             starts = np.flatnonzero(seen[m:] - seen[:-m] >= least)
             for part in range(0, len(starts), 4096):
                 at = starts[part : part + 4096]
@@ -144,16 +149,18 @@ CANDIDATES = "array<struct<start:int,n_words:int,fp:bigint,grams:array<bigint>>>
 
 def candidate_windows(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     """``doc_id, start, n_words, fp, grams`` of all windows that may reach the similarity."""
-    lengths = sorted(r[0] for r in items.select("n_words").distinct().collect())
-    grams = items.select(F.explode("grams").alias("g")).distinct()
+    grams = items.select("n_words", F.explode("grams").alias("g")).distinct()
     size = grams.count()
-    if 8 * size > BROADCAST_BYTES:
+    if 16 * size > BROADCAST_BYTES:
         raise ValueError("split the benchmark: its shingles exceed the broadcast bound, so run it in parts of items")
-    known = np.sort(np.array([r[0] for r in grams.collect()], np.int64).view(np.uint64))
-    shared = docs.sparkSession.sparkContext.broadcast((known, lengths))
+    by_length: dict[int, list[int]] = {}
+    for n, g in grams.collect():
+        by_length.setdefault(n, []).append(g)
+    known = {n: np.sort(np.array(g, np.int64).view(np.uint64)) for n, g in sorted(by_length.items())}
+    shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        windows = Windows(*shared.value)
+        windows = Windows(shared.value)
         for batch in batches:
             yield pd.Series([windows.of(t) if len(windows.grams) else [] for t in batch])
 

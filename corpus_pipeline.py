@@ -16,6 +16,8 @@ from folioscope.llm.common import blank, id_bucket, materialize
 
 #: Share of a text's trigrams that its language must explain for it to stay.
 LEAST_LANGUAGE = 0.2
+#: Bytes of a repeated passage that is cut: fewer than fifty words take in any of the languages.
+PASSAGE = 250
 
 
 def _same_columns(out: DataFrame, docs: DataFrame) -> DataFrame:
@@ -41,9 +43,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut every repeated passage of 400 bytes; drop documents of which nothing is left."""
+    """Cut every repeated passage of ``PASSAGE`` bytes; drop documents of which nothing is left."""
     rest = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    cut = suffix_dedup.without_repeats(docs, columns=rest)
+    cut = suffix_dedup.without_repeats(docs, columns=rest, length=PASSAGE)
     return _same_columns(cut.withColumn("n_chars", F.length(blank("text")).cast("long")), docs)
 
 

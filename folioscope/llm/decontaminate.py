@@ -180,7 +180,7 @@ def index_items(items: DataFrame) -> DataFrame:
     flips = sorted(sum(1 << b for b in bits) for n in range(share + 1) for bits in combinations(range(width), n))
     blocks = F.array(*(F.struct(F.lit(k).alias("block"), _block(F.col("fp"), k).alias("value")) for k in range(BLOCKS)))
     spread = items.select("*", F.explode(blocks).alias("b")).select("*", F.explode(F.array(*map(F.lit, flips))).alias("flip"))
-    return spread.select("item_id", "n_words", F.col("fp").alias("item_fp"), F.col("grams").alias("item_grams"), "b.block", F.col("b.value").bitwiseXOR(F.col("flip")).alias("value"))
+    return spread.select("item_id", "n_words", F.col("fp").alias("item_fp"), "b.block", F.col("b.value").bitwiseXOR(F.col("flip")).alias("value"))
 
 
 def weighted_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -198,14 +198,14 @@ def weighted_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text") -> DataFrame:
     """``doc_id, start, n_words, item_id, similarity`` of every window of at least the similarity."""
     items = materialize(item_table(benchmark, item_text), "items")
-    windows = materialize(candidate_windows(docs, items, text), "windows")
+    windows = materialize(candidate_windows(docs, items, text).withColumn("w", F.monotonically_increasing_id()), "windows")
     blocks = F.array(*(F.struct(F.lit(k).alias("block"), _block(F.col("fp"), k).alias("value")) for k in range(BLOCKS)))
-    spread = windows.select("*", F.explode(blocks).alias("b")).select("doc_id", "start", "n_words", "fp", "grams", "b.block", "b.value")
+    spread = windows.select("w", "n_words", "fp", F.explode(blocks).alias("b")).select("w", "n_words", "fp", "b.block", "b.value")
     near = spread.join(materialize(index_items(items), "index"), ["n_words", "block", "value"])
-    near = near.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
-    pairs = near.dropDuplicates(["doc_id", "start", "n_words", "fp", "item_id"])
+    pairs = near.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).select("w", "item_id").distinct()
+    both = pairs.join(windows, "w").join(items.select("item_id", F.col("grams").alias("item_grams")), "item_id")
     sim = F.pandas_udf(weighted_similarity, "double")("grams", "item_grams")
-    return pairs.select("doc_id", "start", "n_words", "item_id", sim.alias("similarity")).filter(F.col("similarity") >= SIMILARITY)
+    return both.select("doc_id", "start", "n_words", "item_id", sim.alias("similarity")).filter(F.col("similarity") >= SIMILARITY)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text") -> DataFrame:

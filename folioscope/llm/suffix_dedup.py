@@ -29,6 +29,7 @@ from __future__ import annotations
 import functools
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -39,8 +40,8 @@ from pyspark.sql import functions as F
 from .common import blank, materialize
 
 LENGTH = 400
-#: Bytes that a minimiser is chosen by, window in which it is the least, suffixes of a short block.
-GRAM, WINDOW, SHORT = 24, 200, 16
+#: Bytes that a minimiser is chosen by, and suffixes of a short block.
+GRAM, SHORT = 24, 16
 #: Positions handled at once; longer texts are read in overlapping parts.
 PART = 1 << 20
 
@@ -87,30 +88,37 @@ def _least(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(keys[: len(keys) - (width - n)], keys[width - n :]) if n < width else keys
 
 
-def sampled(data: bytes) -> Iterator[dict[str, np.ndarray]]:
+def window_of(length: int) -> int:
+    """Positions in which a minimiser is the least; with its bytes it must fit the length, and leave enough to name."""
+    if length < 4 * GRAM:
+        raise ValueError(f"strings of at least {4 * GRAM} bytes are looked for")
+    return length // 2
+
+
+def sampled(data: bytes, length: int = LENGTH) -> Iterator[dict[str, np.ndarray]]:
     """Sampled positions ``a`` with the suffixes ``p0 <= p < p1`` that meet them first, the name of what follows, and of the whole block."""
-    last = len(data) - LENGTH + 1
+    last, window = len(data) - length + 1, window_of(length)
     for at in range(0, max(last, 0), PART):
         # blocks that start in [at, stop); one position before, and a window after, to see whole blocks
-        stop, lo, hi = min(at + PART, last), max(at - 1, 0), min(at + PART + WINDOW, last)
-        part = data[lo : hi - 1 + LENGTH]
+        stop, lo, hi = min(at + PART, last), max(at - 1, 0), min(at + PART + window, last)
+        part = data[lo : hi - 1 + length]
         hashes = Hashes(part, 0)
         start = np.arange(len(part) - GRAM + 1)
         order = hashes.of(start, start + GRAM) & np.uint64(0xFFFFFFFFFF000000)
-        least = _least(order | np.uint64(0xFFFFFF) - start.astype(np.uint64), WINDOW)[: hi - lo]
+        least = _least(order | np.uint64(0xFFFFFF) - start.astype(np.uint64), window)[: hi - lo]
         mine = 0xFFFFFF - (least & np.uint64(0xFFFFFF)).astype(np.int64)
         p0 = np.flatnonzero(np.concatenate(([True], mine[1:] != mine[:-1])))
         p1 = np.append(p0[1:], hi - lo)
         keep = (p0 + lo < stop) & (p0 + lo >= at) if not at else (p0 + lo < stop) & (p0 > 0)
         p0, p1 = p0[keep], p1[keep]
         a = mine[p0]
-        yield {"a": a + lo, "p0": p0 + lo, "p1": p1 + lo, "name": hashes.of(a, a + LENGTH - WINDOW + 1), "whole": Hashes(part, 1).of(p0, p1 - 1 + LENGTH)}
+        yield {"a": a + lo, "p0": p0 + lo, "p1": p1 + lo, "name": hashes.of(a, a + length - window + 1), "whole": Hashes(part, 1).of(p0, p1 - 1 + length)}
 
 
 SAMPLES = "doc_id long, t long, a int, p0 int, p1 int, name long, whole long"
 
 
-def _samples(docs: DataFrame) -> DataFrame:
+def _samples(docs: DataFrame, length: int) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: dict[str, list] = {k: [] for k in ("row", "a", "p0", "p1", "name", "whole")}
@@ -125,7 +133,7 @@ def _samples(docs: DataFrame) -> DataFrame:
                 return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in SAMPLES.split(", ")])
 
             for row in range(len(texts)):
-                for x in sampled(texts[row].as_buffer().to_pybytes()):
+                for x in sampled(texts[row].as_buffer().to_pybytes(), length):
                     found["row"].append(np.full(len(x["a"]), row))
                     held += len(x["a"])
                     for k, v in x.items():
@@ -165,25 +173,25 @@ def _row_key(text: Column) -> Column:
     return F.xxhash64(text)
 
 
-def repeated_starts(docs: DataFrame, text: str = "text") -> DataFrame:
+def repeated_starts(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
     """``doc_id, t, starts``: for each row, runs ``[p0, p1)`` of positions at which a repeated string starts."""
     rows = docs.select("doc_id", _row_key(blank(text)).alias("t"), blank(text).cast("binary").alias("b"))
-    samples = materialize(_samples(rows.filter(F.length("b") >= LENGTH)), "samples")
+    samples = materialize(_samples(rows.filter(F.length("b") >= length), length), "samples")
     payload = ["doc_id", "t", "a", "p0", "p1"]
     whole_blocks, to_cut = _resolve(samples.withColumn("n", F.lit(1).cast("long")), payload, "blocks")
 
     wanted = to_cut.groupBy("doc_id", "t").agg(F.collect_list(F.struct("a", "p0", "p1", "n")).alias("w"))
-    once = rows.filter(F.length("b") >= LENGTH).alias("r")
+    once = rows.filter(F.length("b") >= length).alias("r")
     joined = once.join(materialize(wanted, "wanted").alias("w"), F.col("r.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("r.t") == F.col("w.t"))).select("r.doc_id", "r.t", "w.w", "r.b")
     # of equal rows one is enough
-    cut = joined.select("doc_id", "t", "w", "b").mapInArrow(_cut_out, CUT)
+    cut = joined.select("doc_id", "t", "w", "b").mapInArrow(partial(_cut_out, length=length), CUT)
     passages = materialize(cut.dropDuplicates(["doc_id", "t", "a"]), "passages")
 
-    short_blocks, to_split = _resolve(passages.mapInArrow(_short_blocks, SHORTS), payload, "short")
+    short_blocks, to_split = _resolve(passages.mapInArrow(partial(_short_blocks, length=length), SHORTS), payload, "short")
     split = passages.select("doc_id", "t", "a", F.col("p0").alias("at"), "b").alias("l")
     need = materialize(to_split.groupBy("doc_id", "t", "a").agg(F.collect_list(F.struct("p0", "p1", "n")).alias("w")), "split").alias("w")
     split = split.join(need, F.col("l.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("l.t") == F.col("w.t")) & (F.col("l.a") == F.col("w.a"))).select("l.doc_id", "l.t", "l.at", "l.b", "w.w")
-    singles = materialize(split.mapInArrow(_single, SINGLES), "singles")
+    singles = materialize(split.mapInArrow(partial(_single, length=length), SINGLES), "singles")
     equal = materialize(singles.groupBy("h1", "h2").agg(F.sum("n").alias("k")).filter("k > 1").select("h1", "h2"), "equal")
     single = singles.filter("n = 1").join(equal, ["h1", "h2"], "left_semi").select("doc_id", "t", "p0", (F.col("p0") + 1).alias("p1"))
 
@@ -194,7 +202,7 @@ def repeated_starts(docs: DataFrame, text: str = "text") -> DataFrame:
 CUT = "doc_id long, t long, a int, p0 int, p1 int, n long, b binary"
 
 
-def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut_out(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """The bytes of each wanted block."""
     for batch in batches:
         rows, out = [], {k: [] for k in ("a", "p0", "p1", "n", "b")}
@@ -204,7 +212,7 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows.append(row)
                 for k in ("a", "p0", "p1", "n"):
                     out[k].append(w[k])
-                out["b"].append(data[w["p0"] : w["p1"] - 1 + LENGTH])
+                out["b"].append(data[w["p0"] : w["p1"] - 1 + length])
         yield _with_ids(batch, rows, [pa.array(out["a"], pa.int32()), pa.array(out["p0"], pa.int32()), pa.array(out["p1"], pa.int32()), pa.array(out["n"], pa.int64()), pa.array(out["b"], pa.binary())], CUT)
 
 
@@ -216,7 +224,7 @@ def _with_ids(batch: pa.RecordBatch, rows: list[int], columns: list[pa.Array], s
 SHORTS = "doc_id long, t long, a int, p0 int, p1 int, n long, name long, whole long"
 
 
-def _short_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _short_blocks(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Blocks cut where the distance to their sample is a multiple of ``SHORT``."""
     for batch in batches:
         rows, out = [], {k: [np.zeros(0, np.int64)] for k in ("a", "p0", "p1", "n", "name", "whole")}
@@ -227,8 +235,8 @@ def _short_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             first, stop = np.maximum(a - SHORT * j - SHORT + 1, p0), np.minimum(a - SHORT * j + 1, p1)
             shared = a - SHORT * j - p0
             one, two = Hashes(data, 0), Hashes(data, 1)
-            name = _mix(one.of(shared, shared + LENGTH - SHORT + 1) + j.astype(np.uint64))
-            whole = two.of(first - p0, stop - 1 - p0 + LENGTH)
+            name = _mix(one.of(shared, shared + length - SHORT + 1) + j.astype(np.uint64))
+            whole = two.of(first - p0, stop - 1 - p0 + length)
             rows += [row] * len(j)
             for k, v in (("a", np.full(len(j), a)), ("p0", first), ("p1", stop), ("n", np.full(len(j), n)), ("name", name.view(np.int64)), ("whole", whole.view(np.int64))):
                 out[k].append(v)
@@ -240,7 +248,7 @@ def _short_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 SINGLES = "doc_id long, t long, p0 int, n long, h1 long, h2 long"
 
 
-def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _single(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Every suffix of the blocks that are still open."""
     for batch in batches:
         rows, out = [], {k: [np.zeros(0, np.int64)] for k in ("p0", "n", "h1", "h2")}
@@ -250,17 +258,17 @@ def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for w in wanted.as_py():
                 p = np.arange(w["p0"], w["p1"])
                 rows += [row] * len(p)
-                for k, v in (("p0", p), ("n", np.full(len(p), w["n"])), ("h1", one.of(p - at, p - at + LENGTH).view(np.int64)), ("h2", two.of(p - at, p - at + LENGTH).view(np.int64))):
+                for k, v in (("p0", p), ("n", np.full(len(p), w["n"])), ("h1", one.of(p - at, p - at + length).view(np.int64)), ("h2", two.of(p - at, p - at + length).view(np.int64))):
                     out[k].append(v)
         joined = {k: np.concatenate(v) for k, v in out.items()}
         columns = [pa.array(joined["p0"], pa.int32()), *(pa.array(joined[k], pa.int64()) for k in ("n", "h1", "h2"))]
         yield _with_ids(batch, rows, columns, SINGLES)
 
 
-def spans(starts: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def spans(starts: list[tuple[int, int]], length: int = LENGTH) -> list[tuple[int, int]]:
     """Maximal byte runs that strings starting in the given runs cover."""
     out: list[list[int]] = []
-    for a, b in sorted((a, b - 1 + LENGTH) for a, b in starts):
+    for a, b in sorted((a, b - 1 + length) for a, b in starts):
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
         else:
@@ -271,10 +279,10 @@ def spans(starts: list[tuple[int, int]]) -> list[tuple[int, int]]:
 REMOVED = "n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
-def _remove(data: pd.Series, starts: pd.Series, keep: bool) -> pd.DataFrame:
+def _remove(data: pd.Series, starts: pd.Series, keep: bool, length: int) -> pd.DataFrame:
     out = []
     for b, s in zip(data, starts):
-        gone = spans([(x["p0"], x["p1"]) for x in s]) if s is not None else []
+        gone = spans([(x["p0"], x["p1"]) for x in s], length) if s is not None else []
         kept = b
         if gone:
             kept = b"".join(b[x:y] for x, y in zip([0, *(y for _, y in gone)], [*(x for x, _ in gone), len(b)]))
@@ -282,16 +290,16 @@ def _remove(data: pd.Series, starts: pd.Series, keep: bool) -> pd.DataFrame:
     return pd.DataFrame(out, columns=[x.split()[0] for x in REMOVED.split(", ")])
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", keep_bytes: bool = False, columns: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", keep_bytes: bool = False, columns: tuple[str, ...] = (), length: int = LENGTH) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256``, the named columns of ``docs`` and, if asked for, ``kept``."""
-    starts = materialize(repeated_starts(docs, text), "starts").alias("s")
+    starts = materialize(repeated_starts(docs, text, length), "starts").alias("s")
     body = blank(text)
     rows = docs.select("doc_id", F.struct(*columns).alias("_own") if columns else F.lit(None).alias("_own"), _row_key(body).alias("t"), body.cast("binary").alias("b")).alias("r")
     same = F.col("r.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("r.t") == F.col("s.t"))
     joined = rows.join(starts, same, "left").select("r.doc_id", "r._own", "r.b", "s.starts")
 
     def run(data: pd.Series, runs: pd.Series) -> pd.DataFrame:
-        return _remove(data, runs, keep_bytes)
+        return _remove(data, runs, keep_bytes, length)
 
     done = joined.select("doc_id", "_own", F.length("b").cast("long").alias("n_bytes"), F.pandas_udf(run, REMOVED)("b", "starts").alias("x"))
     own = [F.col(f"_own.{c}").alias(c) for c in columns]
@@ -303,7 +311,7 @@ def whole_characters(kept: pd.Series) -> pd.Series:
     return kept.map(lambda b: b.decode("utf-8", "ignore"))
 
 
-def without_repeats(docs: DataFrame, text: str = "text", columns: tuple[str, ...] = ()) -> DataFrame:
+def without_repeats(docs: DataFrame, text: str = "text", columns: tuple[str, ...] = (), length: int = LENGTH) -> DataFrame:
     """Documents that something is left of, with what is left as their text; empty texts stay as they are."""
-    done = remove_repeats(docs, text, True, columns).filter((F.col("n_removed") < F.col("n_bytes")) | (F.col("n_bytes") == 0))
+    done = remove_repeats(docs, text, True, columns, length).filter((F.col("n_removed") < F.col("n_bytes")) | (F.col("n_bytes") == 0))
     return done.select("doc_id", F.pandas_udf(whole_characters, "string")("kept").alias(text), *columns)

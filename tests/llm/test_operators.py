@@ -237,11 +237,11 @@ def planted(seed):
     return [*docs, (90, "a" * 399), (91, "b" * 401), (92, "ab" * 300), (93, "x" * 400 + "y" * 400), (94, "x" * 401), (95, shared[4]), (96, shared[4][1:])]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_removal_is_exact(spark, seed):
+@pytest.mark.parametrize("seed, length", [(1, 400), (2, 400), (3, 250), (4, 100)])
+def test_removal_is_exact(spark, seed, length):
     docs = planted(seed)
-    got = suffix_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(3))
-    assert collections.Counter(map(tuple, got.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect())) == brute_removal([(d, t.encode()) for d, t in docs])
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), length=length)
+    assert collections.Counter(map(tuple, got.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect())) == brute_removal([(d, t.encode()) for d, t in docs], length)
 
 
 def test_removal_on_odd_rows(odd_docs, no_docs, some_docs):

@@ -36,10 +36,10 @@ def resolve_href(base: Column, href: Column) -> Column:
     escaped = F.regexp_replace(F.replace(path, F.lit("+"), F.lit("%2B")), r"%(?![0-9A-Fa-f]{2})", "%25")
     path = F.replace(F.try_url_decode(escaped), F.lit("\\"), F.lit("/"))
     parts = F.split(path, "/")
-    top = F.filter(parts, lambda x: ~x.isin("", ".")).getItem(0)
     folder = F.slice(base_parts, 1, F.greatest(F.size(base_parts) - 1, F.lit(0)))
-    from_root = path.startswith("/") | (F.get(base_parts, F.lit(0)) == F.get(F.filter(parts, lambda x: ~x.isin("", ".")), F.lit(0)))
-    del top
+    # a path that begins with the base's own top folder is one from the root
+    first = F.get(F.filter(parts, lambda x: ~x.isin("", ".")), F.lit(0))
+    from_root = path.startswith("/") | (F.get(base_parts, F.lit(0)) == first)
     target = F.when(path == "", base_parts).when(F.coalesce(from_root, F.lit(False)), fold_path(parts)).otherwise(fold_path(F.concat(folder, parts)))
     return F.when(~external, F.array_join(target, "/"))
 

@@ -198,6 +198,10 @@ def to_gray(r: Column, g: Column, b: Column) -> Column:
 
 
 def contrast_stretch(pixels: DataFrame, value: str = "v") -> DataFrame:
-    image = Window.partitionBy("image")
-    lo, hi = F.min(value).over(image), F.max(value).over(image)
-    return pixels.withColumn("stretched", F.when(hi > lo, (F.col(value) - lo) / (hi - lo)).otherwise(0.0))
+    """``stretched``: values over their image's range, 0 where it has none.
+
+    The range is found by grouping, as an image's pixels may not fit one window.
+    """
+    span = pixels.groupBy("image").agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
+    stretched = F.when(F.col("hi") > F.col("lo"), (F.col(value) - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0)
+    return pixels.join(span, "image").withColumn("stretched", stretched).drop("lo", "hi")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import names as N
@@ -341,8 +341,6 @@ def _keys(spark, sf):
 def agg_color_features(spark, sf):
     """From the pixels themselves."""
     px = view(spark, sf, "v3c").withColumn("d2", 4 * F.pow(c("r") - c("g"), F.lit(2)) + F.pow(c("r") + c("g") - 2 * c("b"), F.lit(2)))
-    from pyspark.sql import Window
-
     rest = px.withColumn("place", F.row_number().over(Window.partitionBy("image").orderBy(F.desc("d2")))).filter("place > 17").withColumn("d", pixels.colourfulness(c("d2")))
     r = lambda x: F.round(F.coalesce(F.nanvl(x, F.lit(0.0)), F.lit(0.0)), 6)
     at = lambda q: F.round(F.percentile("d", F.lit(q)), 6)
@@ -500,8 +498,6 @@ def win_extra_rank(spark, sf):
 
 @query("select book, name, row_number() over (partition by book order by regexp_extract(name, '^(.*)\\.[^.]*$', 1) desc, name desc) as place from v1", "v1")
 def sort_pages(spark, sf):
-    from pyspark.sql import Window
-
     stem = F.regexp_extract("name", r"^(.*)\.[^.]*$", 1)
     return view(spark, sf, "v1").select("book", "name", F.row_number().over(Window.partitionBy("book").orderBy(stem.desc(), c("name").desc())).alias("place"))
 
@@ -513,8 +509,6 @@ def topk_colour(spark, sf):
 
 @query(f", {_SHADES} select image, shade, row_number() over (partition by image order by n desc, shade) as place from sh", "v3")
 def sort_shades(spark, sf):
-    from pyspark.sql import Window
-
     return _shades(spark, sf).select("image", "shade", F.row_number().over(Window.partitionBy("image").orderBy(F.desc("n"), "shade")).alias("place"))
 
 
@@ -799,10 +793,7 @@ def to_gray(spark, sf):
 
 @query("select image, vec_id, pos, round(case when hi > lo then (v - lo) / (hi - lo) else 0 end, 9) as stretched from (select *, min(v) over (partition by image) as lo, max(v) over (partition by image) as hi from v3)", "v3")
 def contrast_stretch(spark, sf):
-    """The range is found by grouping: an image's pixels may not fit one window."""
-    v = view(spark, sf, "v3")
-    r = v.groupBy("image").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    return v.join(r, "image").select("image", "vec_id", "pos", F.round(F.when(c("hi") > c("lo"), (c("v") - c("lo")) / (c("hi") - c("lo"))).otherwise(0.0), 9).alias("stretched"))
+    return pixels.contrast_stretch(view(spark, sf, "v3")).select("image", "vec_id", "pos", F.round("stretched", 9).alias("stretched"))
 
 
 @query("select book, ord, ord % 2 = 1 as omnibus, number as first, concat(case when number = floor(number) then cast(cast(number as int) as varchar) else cast(number as varchar) end, case when ord % 2 = 1 then concat('-', cast(floor(number) as int) + 2) else '' end) as shown from v2", "v1 v2")

@@ -532,7 +532,7 @@ def _named(spark, sf):
     p = _with_publication(spark, p.withColumn("a", N.parse_page(c("name"))["a"]))
     quality = N.quality_suffix(F.lit("auto"), c("height"))
     full = N.fmt_page_name(
-        F.concat(F.lit("Series "), c("book").cast("string")), F.when(c("book") % 5 > 0, F.lit("Real Publisher")), c("number"), F.when(c("ord") % 2 == 0, F.concat(F.lit("Part "), c("ord").cast("string"))), F.format_string("%03d", "a"), c("image"), F.lit("nao"),
+        F.concat(F.lit("Series "), c("book").cast("string")), F.when(c("book") % 5 > 0, F.lit("Real Publisher")), c("number"), F.when(c("ord") % 2 == 0, F.concat(F.lit("Part "), c("ord").cast("string"))), F.format_string("%03d", "a"), c("image"), F.lit("crd"),
         F.when(c("book") % 6 > 0, (c("book") % 100).cast("double")), F.when(c("page") % 50 == 5, F.lit("Extra")), quality, (c("book") % 3).cast("int"), c("group_size"), c("least_part"), c("rank"),
     )
     return p.withColumn("full_name", full)
@@ -544,7 +544,7 @@ _NAMED = f"""{ASSIGNED}, {BASED}, {_PUBS}, grp as (select book, base, count(*) a
   nm as (select *, concat('Series ', book, ' - c', printf('%03d', base), case when part is null then '' when split then concat('x', part - 4) when k > 1 then concat('x', rank) else 'x1' end,
     case when part is null or split then '' else concat(' (c', printf('%03d', base), '.', part, ')') end, ' (', case when book % 6 > 0 then concat('v', printf('%02d', book % 100)) else 'OShot' end, ') - p', printf('%03d', pa),
     case when page % 50 = 5 then ' [Extra]' when tag <> '' then ' ' else '' end, case when tag <> '' then concat(case when page % 50 = 5 then ' ' else '' end, '[', tag, ']') else '' end,
-    case when ord % 2 = 0 then concat(' [Part ', ord, ']') else '' end, ' [', case when book % 5 > 0 then 'Real Publisher' else 'Unknown Publisher' end, '] [nao]',
+    case when ord % 2 = 0 then concat(' [Part ', ord, ']') else '' end, ' [', case when book % 5 > 0 then 'Real Publisher' else 'Unknown Publisher' end, '] [crd]',
     case when height >= 2000 then ' {{HQ}}' when height <= 1500 then ' {{LQ}}' else '' end, case when book % 3 > 1 then concat(' {{r', book % 3, '}}') else '' end) as full_name from t)"""
 
 
@@ -637,13 +637,13 @@ def parse_comix(spark, sf):
     return view(spark, sf, "v1").select("book", "name", *(x.alias(k) for k, x in N.parse_comix(c("name")).items()))
 
 
-_VOL = r"^Series v([0-9]+\.?[0-9]{1,2}?).*[\[\(]nao.*"
+_VOL = r"^Series v([0-9]+\.?[0-9]{1,2}?).*[\[\(]crd.*"
 
 
-@query(f"select book, page, nullif(regexp_extract(concat('Series v', printf('%02d', book % 100), case when page % 4 = 0 then '.5' else '' end, ' (2023) (Digital) ', case when page % 3 = 0 then '[nao]' else '[abc]' end), '{_VOL}', 1), '') as volume from v1", "v1")
+@query(f"select book, page, nullif(regexp_extract(concat('Series v', printf('%02d', book % 100), case when page % 4 = 0 then '.5' else '' end, ' (2023) (Digital) ', case when page % 3 = 0 then '[crd]' else '[abc]' end), '{_VOL}', 1), '') as volume from v1", "v1")
 def parse_volume(spark, sf):
-    text = F.concat(F.lit("Series v"), F.format_string("%02d", c("book") % 100), F.when(c("page") % 4 == 0, ".5").otherwise(""), F.lit(" (2023) (Digital) "), F.when(c("page") % 3 == 0, "[nao]").otherwise("[abc]"))
-    return view(spark, sf, "v1").select("book", "page", N.parse_volume(text, "Series", "nao").alias("volume"))
+    text = F.concat(F.lit("Series v"), F.format_string("%02d", c("book") % 100), F.when(c("page") % 4 == 0, ".5").otherwise(""), F.lit(" (2023) (Digital) "), F.when(c("page") % 3 == 0, "[crd]").otherwise("[abc]"))
+    return view(spark, sf, "v1").select("book", "page", N.parse_volume(text, "Series", "crd").alias("volume"))
 
 
 _TEXTS = "case page % 5 when 0 then 'v02' when 1 then 'oneshot' when 2 then 'v3' when 3 then null else 'v10' end"
@@ -695,11 +695,11 @@ def fmt_volume_text(spark, sf):
     return view(spark, sf, "v2").select("book", "ord", N.fmt_volume_text(F.when(c("ord") % 3 < 2, v), F.when(c("ord") % 3 == 1, v + 2), c("number")).alias("text"))
 
 
-@query(f", {_PUBS} select book, concat('Series ', book, case when book % 2 = 0 then concat(' v', printf('%02d', book % 100)) else '' end, ' (2023) ', case when book % 5 = 0 then '(Fixed) ' else '' end, '(', archive, ') [nao]', case when book % 3 > 1 then concat(' (v', book % 3, ')') else '' end) as archive_name from (select distinct book, {_PUB} as key from v1) join pt using (key)", "v1")
+@query(f", {_PUBS} select book, concat('Series ', book, case when book % 2 = 0 then concat(' v', printf('%02d', book % 100)) else '' end, ' (2023) ', case when book % 5 = 0 then '(Fixed) ' else '' end, '(', archive, ') [crd]', case when book % 3 > 1 then concat(' (v', book % 3, ')') else '' end) as archive_name from (select distinct book, {_PUB} as key from v1) join pt using (key)", "v1")
 def fmt_archive_name(spark, sf):
     b = _with_publication(spark, view(spark, sf, "v1").select("book").distinct())
     volume = F.when(c("book") % 2 == 0, N.fmt_volume_text((c("book") % 100).cast("double")))
-    return b.select("book", N.fmt_archive_name(F.concat(F.lit("Series "), c("book").cast("string")), F.lit(2023), c("archive"), F.lit("nao"), volume, F.when(c("book") % 5 == 0, F.lit(" Fixed ")), (c("book") % 3).cast("int")).alias("archive_name"))
+    return b.select("book", N.fmt_archive_name(F.concat(F.lit("Series "), c("book").cast("string")), F.lit(2023), c("archive"), F.lit("crd"), volume, F.when(c("book") % 5 == 0, F.lit(" Fixed ")), (c("book") % 3).cast("int")).alias("archive_name"))
 
 
 @query("select book, page, case when height >= 2000 then 'HQ' when height <= 1500 then 'LQ' end as quality from v1", "v1")
@@ -939,11 +939,11 @@ def pipeline_run(spark, sf):
 @query("""select 'unsorted_start' as "check", cast(book as varchar) as book, cast(start as varchar) as detail from (select book, start, lag(start) over (partition by book order by ord) as b from (select book, ord, case when ord % 7 = 6 then 1 else start end as start from v2)) where start <= b
   union all select 'duplicate_start', cast(book as varchar), '1' from v2 where ord % 7 = 6 group by book having count(*) > 1
   union all select 'unknown_step', cast(book as varchar), 'level-9' from v2 where ord = 2
-  union all select 'unknown_action', null, 'waifu'""", "v1 v2")
+  union all select 'unknown_action', null, 'upscale'""", "v1 v2")
 def pipeline_validate(spark, sf):
     ch = view(spark, sf, "v2").withColumn("start", F.when(c("ord") % 7 == 6, 1).otherwise(c("start")))
     volumes = ch.select(F.concat(F.lit("v"), c("book").cast("string")).alias("path")).distinct()
-    steps = ranges.step_names(spark.createDataFrame([(0, "level"), (1, "waifu")], "pos int, kind string"))
+    steps = ranges.step_names(spark.createDataFrame([(0, "level"), (1, "upscale")], "pos int, kind string"))
     return pipeline.violations(ch, volumes, steps, ch.filter("ord = 2").select("book", F.lit("level-9").alias("step")))
 
 

@@ -17,15 +17,15 @@ def lit(x, kind="string"):
 @pytest.mark.parametrize(
     "number, group, least, rank, volume, name, extra, want",
     [
-        (1.0, 1, None, 1, None, None, None, "Test - c001 (OShot) - p000 [dig] [Pub] [nao]"),
-        (1.5, 1, None, 1, None, "Extra Story", None, "Test - c001x1 (OShot) - p000 [dig] [Extra Story] [Pub] [nao]"),
-        (2.2, 4, 1, 2, 2.0, None, None, "Test - c002x2 (c002.2) (v02) - p000 [dig] [Pub] [nao]"),
-        (2.6, 2, 5, 2, 1.5, None, "Cover", "Test - c002x2 (v01x1) - p000 [Cover] [dig] [Pub] [nao]"),
-        (13.5, 2, 5, 2, 2.0, None, None, "Test - c013x1 (v02) - p000 [dig] [Pub] [nao]"),
+        (1.0, 1, None, 1, None, None, None, "Test - c001 (OShot) - p000 [dig] [Pub] [crd]"),
+        (1.5, 1, None, 1, None, "Extra Story", None, "Test - c001x1 (OShot) - p000 [dig] [Extra Story] [Pub] [crd]"),
+        (2.2, 4, 1, 2, 2.0, None, None, "Test - c002x2 (c002.2) (v02) - p000 [dig] [Pub] [crd]"),
+        (2.6, 2, 5, 2, 1.5, None, "Cover", "Test - c002x2 (v01x1) - p000 [Cover] [dig] [Pub] [crd]"),
+        (13.5, 2, 5, 2, 2.0, None, None, "Test - c013x1 (v02) - p000 [dig] [Pub] [crd]"),
     ],
 )
 def test_page_name(spark, number, group, least, rank, volume, name, extra, want):
-    got = one(spark, N.fmt_page_name(lit("Test"), lit("Pub"), lit(number, "double"), lit(name), lit("000"), lit("dig"), lit("nao"), lit(volume, "double"), lit(extra), lit(None), lit(1, "int"), lit(group, "int"), lit(least, "int"), lit(rank, "int")))[0]
+    got = one(spark, N.fmt_page_name(lit("Test"), lit("Pub"), lit(number, "double"), lit(name), lit("000"), lit("dig"), lit("crd"), lit(volume, "double"), lit(extra), lit(None), lit(1, "int"), lit(group, "int"), lit(least, "int"), lit(rank, "int")))[0]
     # a part below five shows itself, also where it follows the volume's own
     assert got == want
 
@@ -77,14 +77,14 @@ def test_fix_text_name(spark):
 
 
 def test_volume_pattern(spark):
-    f = lambda t, c=None: one(spark, N.parse_volume(lit(t), "Real Manga", c))[0]
-    assert f("Real Manga v01 (2023) (Digital) (danke)", "danke") == "01"
-    assert f("Real Manga v01 (2023) (Digital) (other)", "danke") is None
-    assert f("Real Manga 1") is None
+    f = lambda t, c=None: one(spark, N.parse_volume(lit(t), "Real Book", c))[0]
+    assert f("Real Book v01 (2023) (Digital) (credit)", "credit") == "01"
+    assert f("Real Book v01 (2023) (Digital) (other)", "credit") is None
+    assert f("Real Book 1") is None
 
 
 def test_archive_name_and_volume_text(spark):
     text = N.fmt_volume_text(lit(1.0, "double"), lit(2.0, "double"))
     assert one(spark, text) == ("v01-02",)
-    name = N.fmt_archive_name(lit("Title"), lit(2023, "int"), lit("Digital"), lit("nao"), text, lit(None), lit(2, "int"), "round")
-    assert one(spark, name) == ("Title v01-02 (2023) (Digital) (nao) (v2)",)
+    name = N.fmt_archive_name(lit("Title"), lit(2023, "int"), lit("Digital"), lit("crd"), text, lit(None), lit(2, "int"), "round")
+    assert one(spark, name) == ("Title v01-02 (2023) (Digital) (crd) (v2)",)

@@ -81,6 +81,25 @@ def scan_archives(spark, sf):
     return archives.explode_archives(packed).select("archive", "container", "name", "index", "total_count")
 
 
+def _scanned(spark, sf):
+    """Pages with the header that a PNG of their size has; text files hold their name."""
+    size = F.concat(*(F.lpad(F.hex(c(x)), 8, F.lit("0")) for x in ("width", "height")))
+    kind = F.when(c("width") == c("height"), "02").otherwise("00")
+    png = F.unhex(F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), size, F.lit("08"), kind, F.lit("00000000000000")))
+    p = view(spark, sf, "v1").withColumn("content", F.when(c("name").endswith(".txt"), c("name").cast("binary")).otherwise(png))
+    return p.select("book", "page", *(x.alias(k) for k, x in archives.png_meta(c("content")).items()))
+
+
+@query("select book, page, width, height, case when width = height then 3 else 1 end as nChannels from v1 where not ends_with(name, '.txt')", "v1")
+def scan_image_meta(spark, sf):
+    return _scanned(spark, sf).filter("height > 0")
+
+
+@query("select book, page from v1 where ends_with(name, '.txt')", "v1")
+def scan_broken(spark, sf):
+    return archives.broken_images(_scanned(spark, sf)).select("book", "page")
+
+
 @query("select concat('v', book) as book, ord, number, start from v2", "v1 v2")
 def scan_config(spark, sf):
     """Chapters of configurations that are written from the chapter view, a JSON object a line."""

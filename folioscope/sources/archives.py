@@ -8,7 +8,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.catalog import container_kind, is_image, number_pages
@@ -81,6 +81,15 @@ def read_image_meta(spark: SparkSession, path: str) -> DataFrame:
     return images.select("image.origin", "image.width", "image.height", "image.nChannels", "image.mode")
 
 
+def png_meta(content: Column) -> dict[str, Column]:
+    """Size and channels from a PNG's header, without decoding; -1 where it is no PNG, as the image source says it."""
+    number = lambda at, n: F.conv(F.hex(F.substring(content, at, n)), 16, 10).cast("int")
+    ok = (F.hex(F.substring(content, 1, 8)) == "89504E470D0A1A0A") & (F.hex(F.substring(content, 13, 4)) == "49484452") & (F.length(content) >= 33)
+    kind = number(26, 1)
+    channels = F.when(kind.isin(0, 3), 1).when(kind == 2, 3).when(kind == 4, 2).when(kind == 6, 4)
+    return {"width": F.when(ok, number(17, 4)).otherwise(-1), "height": F.when(ok, number(21, 4)).otherwise(-1), "nChannels": F.when(ok, channels).otherwise(-1)}
+
+
 def broken_images(meta: DataFrame) -> DataFrame:
     return meta.filter("height = -1")
 

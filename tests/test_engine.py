@@ -142,6 +142,9 @@ def test_image_sources(spark, tmp_path):
     assert {(r["width"], r["height"], r["nChannels"]) for r in meta.filter("height > 0").collect()} == {(4, 6, 1), (3, 2, 3)}
     assert archives.broken_images(meta).filter("origin like '%bad.png'").count() == 1
     assert archives.not_gray(meta.filter("height > 0")).count() == 1
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(tmp_path))
+    heads = files.select("path", *(x.alias(k) for k, x in archives.png_meta(F.col("content")).items())).collect()
+    assert {(r["width"], r["height"], r["nChannels"]) for r in heads} == {(4, 6, 1), (3, 2, 3), (-1, -1, -1)}
 
 
 def test_config(spark, tmp_path):

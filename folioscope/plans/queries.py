@@ -384,7 +384,7 @@ def agg_omnibus(spark, sf):
     return v.groupBy("book").agg(F.countDistinct("vol").alias("n_volumes"), F.min("vol").alias("first_volume"), F.max("vol").alias("last_volume"), (F.countDistinct("vol") > 1).alias("omnibus"))
 
 
-_JOINED = "select book, page // 4 as spread, sum(width) as width, max(height) as height, case when bool_and(height = 1200) then 'L' else 'RGB' end as mode, {ext} as ext, count(*) as n from (select *, regexp_extract(name, '\\.([^.]+)$', 1) as x from v1) group by all"
+_JOINED = "select book, page // 4 as spread, cast(sum(width) as bigint) as width, max(height) as height, case when bool_and(height = 1200) then 'L' else 'RGB' end as mode, {ext} as ext, count(*) as n from (select *, regexp_extract(name, '\\.([^.]+)$', 1) as x from v1) group by all"
 
 
 def _spread_dims(spark, sf):

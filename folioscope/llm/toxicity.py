@@ -79,14 +79,14 @@ class Scorer:
             z.append(self.bias + sum(map(self.weight.__getitem__, set(words))))
         return spans, np.array(z)
 
-    def score(self, text: str) -> float:
-        z = self.logits(text)[1]
-        return float(-np.expm1(-np.logaddexp(0, z).sum())) if len(z) else 0.0
-
-    def locate(self, text: str, least: float) -> list[dict]:
+    def score(self, text: str, least: float = 0.5) -> tuple[float, list[dict]]:
+        """The document's noisy-or, and its sentences of at least ``least``."""
         spans, z = self.logits(text)
-        p = 1 / (1 + np.exp(-np.clip(z, -50, 50))) if len(z) else z
-        return [{"start": a, "end": b, "p": float(x)} for (a, b), x in zip(spans, p) if x >= least]
+        if not spans:
+            return 0.0, []
+        found = np.flatnonzero(z >= np.log(least / (1 - least)))
+        offending = [{"start": spans[k][0], "end": spans[k][1], "p": float(1 / (1 + np.exp(-z[k])))} for k in found]
+        return float(-np.expm1(-np.logaddexp(0, z).sum())), offending
 
 
 def fit(words: np.ndarray, sentence: np.ndarray, document: np.ndarray, label: np.ndarray) -> BagModel:
@@ -158,6 +158,6 @@ def score_documents(docs: DataFrame, model: BagModel, text: str = "text", locate
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = shared.value.scorer()
         for batch in batches:
-            yield pd.DataFrame([(scorer.score(t), scorer.locate(t, locate_from)) for t in batch], columns=["score", "offending"])
+            yield pd.DataFrame([scorer.score(t, locate_from) for t in batch], columns=["score", "offending"])
 
     return docs.select("doc_id", scored(blank(text)).alias("s")).select("doc_id", "s.*")

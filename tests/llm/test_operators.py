@@ -414,8 +414,9 @@ def test_noisy_or_is_of_the_sentences():
     model = toxicity.BagModel(-2.0, {f: 1.5 for f in toxicity.features_of("bad")[:1]})
     s = model.scorer()
     p = 1 / (1 + np.exp(-np.array([-2.0, -0.5])))
-    assert s.score("Good day. A bad one!") == pytest.approx(1 - np.prod(1 - p))
-    assert s.score("") == s.score("...") == 0.0
+    assert s.score("Good day. A bad one!", 0.3)[0] == pytest.approx(1 - np.prod(1 - p))
+    assert s.score("Good day. A bad one!", 0.3)[1] == [{"start": 9, "end": 19, "p": pytest.approx(p[1])}]
+    assert s.score("") == s.score("...") == (0.0, [])
 
 
 # 9 packing ------------------------------------------------------------------------------------------------------------

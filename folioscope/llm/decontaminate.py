@@ -100,7 +100,7 @@ class Windows:
         self.grams = grams = np.unique(np.concatenate([np.zeros(0, np.uint64), *by_length.values()]))
         self.filter = np.zeros(1 << 20, bool)
         self.filter[(grams >> np.uint64(44)).astype(np.int64)] = True
-        self.cache = BoundedCache(_word_hash, 600_000)
+        self.cache = BoundedCache(_word_hash, 200_000)
 
     def known(self, x: np.ndarray) -> np.ndarray:
         """Positions of shingles that are in the benchmark at all."""

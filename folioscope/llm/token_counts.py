@@ -30,7 +30,7 @@ SAMPLE_DOCS = 2048
 PER_PARTITION = 8192
 FREQUENT = 32_768
 #: Cuts that a worker keeps the lengths of.
-CACHED = 1_000_000
+CACHED = 600_000
 #: Bound in bytes of what is broadcast.
 BROADCAST_BYTES = 8 << 20
 

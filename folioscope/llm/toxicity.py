@@ -70,7 +70,7 @@ class BagModel:
 class Scorer:
     def __init__(self, model: BagModel):
         self.bias = model.bias
-        self.weight = BoundedCache(lambda w: sum(model.weights.get(f, 0.0) for f in features_of(w)), 500_000)
+        self.weight = BoundedCache(lambda w: sum(model.weights.get(f, 0.0) for f in features_of(w)), 300_000)
 
     def logits(self, text: str) -> tuple[list[tuple[int, int]], np.ndarray]:
         spans, z = [], []

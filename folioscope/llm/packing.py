@@ -35,7 +35,7 @@ GROUP, NEARLY = 20_000, 8
 MOST_ROUNDS = 12
 #: White space of the tokenizer at which a text may be cut without a change of its ids.
 BREAKS = re.compile("[\t\r\n]")
-CACHED = 600_000
+CACHED = 800_000
 #: Marks that stand around a word of letters as pre-tokens of their own; an apostrophe in front may join the word,
 #: and those of special tokens are left out.
 MARKS = "".join(c for c in string.punctuation if c not in "<|>")

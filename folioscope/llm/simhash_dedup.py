@@ -114,8 +114,9 @@ def star_links(home: np.ndarray, near: np.ndarray, radius: int) -> tuple[np.ndar
     label, at_near = np.arange(len(nodes)), np.searchsorted(nodes, near)
     for part in range(0, len(home), 128):
         mine = home[part : part + 128]
-        close = np.bitwise_count(mine.view(np.uint64)[:, None] ^ near.view(np.uint64)[None, :]) <= radius
-        for k in np.flatnonzero(close.sum(axis=1) > 1):
+        # a home's own copy may stand in another column: 0 bits turn to 255, so only others count
+        close = np.bitwise_count(mine.view(np.uint64)[:, None] ^ near.view(np.uint64)[None, :]) - np.uint8(1) < radius
+        for k in np.flatnonzero(close.any(axis=1)):
             labels = np.unique(np.append(label[at_near[close[k]]], label[np.searchsorted(nodes, mine[k])]))
             if len(labels) > 1:
                 label[np.isin(label, labels)] = labels[0]

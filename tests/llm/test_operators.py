@@ -370,6 +370,25 @@ def test_links_lose_no_pair(spark, monkeypatch, cells):
     assert all(len(g) == 1 for g in groups.values()) and len({next(iter(g)) for g in groups.values()}) == len(groups)
 
 
+def test_isolated_pairs_meet_in_a_crowded_anchor(spark, monkeypatch):
+    monkeypatch.setattr(simhash_dedup, "CELL_NEAR", 16)
+    rng = np.random.default_rng(9)
+    fps = set()
+    for k in range(60):  # the three blocks are words of few bits, so the pairs crowd around the same anchors
+        at = sum(1 << int(b) for start, width in simhash_dedup.BLOCKS for b in start + rng.choice(width, 3, replace=False))
+        fps |= {at, at ^ sum(1 << int(b) for b in rng.choice(64, 1 + k % 4, replace=False))}
+    fps = sorted(fps)
+    signed = np.array(fps, np.uint64).view(np.int64)
+    _, keys, _ = simhash_dedup.anchors(signed)
+    assert np.unique(keys, return_counts=True)[1].max() > 32
+    links = simhash_dedup.near_links(spark.createDataFrame([(x,) for x in signed.tolist()], "fp long"))
+    root = {r["node"]: r["root"] for r in connected_components(links).collect()}
+    groups = collections.defaultdict(set)
+    for x, k in zip(signed.tolist(), brute_components(fps)):
+        groups[k].add(root.get(x, x))
+    assert all(len(g) == 1 for g in groups.values()) and len({next(iter(g)) for g in groups.values()}) == len(groups)
+
+
 def test_cover_is_a_perfect_code():
     table, size = simhash_dedup.cover()
     assert (np.bitwise_count(table[:, 0]) <= 3).all() and np.bincount(np.bitwise_count(table[:, 0])).tolist() == [1, 23, 253, 1771]

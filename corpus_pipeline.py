@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import decontaminate, langid, packing, simhash_dedup, suffix_dedup
+from folioscope.llm import decontaminate, langid, packing, shingle_dedup, suffix_dedup
 from folioscope.llm.common import blank, id_bucket, materialize
 
 #: Share of a text's trigrams that its language must explain for it to stay.
@@ -33,8 +33,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each near-duplicate group: the one with the least id."""
-    groups = simhash_dedup.near_duplicates(docs)
+    """Keep one document of each group of five-word similarity of 0.8 or more: the one with the least id."""
+    groups = shingle_dedup.near_duplicates(docs)
     first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     kept = docs.alias("d").join(first.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")), "left_semi")
     # rows that repeat an id, or have none, are told apart by their text

@@ -1,0 +1,119 @@
+"""Near-duplicate groups of texts by exact Jaccard similarity of their word shingles.
+
+MinHash bands propose pairs: a pair at similarity s shares a band with
+probability 1 - (1 - s^ROWS)^BANDS, which leaves out 3 of a million pairs at
+0.8.  Each proposed pair is decided by the exact similarity of its sets of
+shingles.  A bucket's members are first compared with one of them; only those
+that are then still in different components are compared with each other, so a
+large group of copies costs a star and no pair of a bucket stays undecided.
+
+Defined results: texts with the same words are one node; null and empty texts
+are alike; a text of fewer words than a shingle is one shingle.
+"""
+
+from __future__ import annotations
+
+import functools
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import BoundedCache, blank, materialize
+from .components import connected_components
+from .decontaminate import WORDS, shingles
+
+SIMILARITY = 0.8
+BANDS, ROWS = 32, 5
+#: Rounds in which a bucket's members meet one of them, before all pairs that are left.
+STARS = 2
+
+_draw = np.random.default_rng(11)
+_XOR, _ODD = (_draw.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
+_MIX = _draw.integers(0, 1 << 63, (BANDS, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def bands(grams: np.ndarray) -> np.ndarray:
+    """A key for each band of a text's shingles."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for at in range(0, len(grams), 1024):
+        least = np.minimum(least, ((grams[at : at + 1024, None] ^ _XOR) * _ODD).min(axis=0))
+    keys = ((least.reshape(BANDS, ROWS) ^ (least.reshape(BANDS, ROWS) >> np.uint64(29))) * _MIX).sum(axis=1, dtype=np.uint64)
+    return (keys ^ (keys >> np.uint64(31))).view(np.int64)
+
+
+def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``doc_id, text, node, bands``: nodes are equal for texts of the same words."""
+
+    def read(texts: pd.Series) -> pd.DataFrame:
+        cache, rows = BoundedCache(lambda w: xxhash.xxh64_intdigest(w, 7), 100_000), []
+        for t in texts:
+            tokens = t.lower().split()
+            words = np.fromiter(map(cache.__getitem__, tokens), np.uint64, len(tokens))
+            node = np.uint64(xxhash.xxh64_intdigest(b" ".join(tokens), 5)).view(np.int64)
+            rows.append((int(node), bands(shingles(words)).tolist()))
+        return pd.DataFrame(rows, columns=["node", "bands"])
+
+    signed = F.pandas_udf(read, "node long, bands array<long>")(blank(text).cast("binary"))
+    return docs.select("doc_id", blank(text).alias("text"), signed.alias("s")).select("doc_id", "text", "s.*")
+
+
+@functools.lru_cache(64)
+def shingle_set(text: bytes) -> frozenset:
+    tokens = text.lower().split()
+    return frozenset(zip(*(tokens[k:] for k in range(WORDS)))) if len(tokens) >= WORDS else frozenset([tuple(tokens)])
+
+
+def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
+    out = []
+    for x, y in zip(map(shingle_set, a), map(shingle_set, b)):
+        both = len(x & y)
+        out.append(both / (len(x) + len(y) - both))
+    return pd.Series(out, dtype=float)
+
+
+def near_links(signed: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``u, v``: links whose components are those of all proposed pairs of nodes of at least the similarity."""
+    spread = materialize(signed.select("node", F.explode("bands").alias("key")).distinct(), "bands")
+    crowded = spread.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z").select("key")
+    members = materialize(spread.join(materialize(crowded, "buckets"), "key"), "members")
+    wanted = materialize(members.select("node").distinct(), "proposed")
+    texts = signed.select("node", "text").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").cast("binary").alias("text"))
+    texts = materialize(texts, "texts")
+
+    def decided(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
+        return both.select("u", "v", (F.pandas_udf(jaccard, "double")("a", "b") >= similarity).alias("near"))
+
+    empty = members.sparkSession.createDataFrame([], "u long, v long, near boolean")
+    known, links, rooted = empty, empty.select("u", "v"), members.withColumn("root", F.col("node"))
+    for turn in range(STARS + 1):
+        if turn:
+            roots = materialize(connected_components(links), "roots")
+            rooted = materialize(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+        open_keys = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("z"), F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(turn))).alias("hub")).filter("a < z")
+        open_keys = materialize(open_keys.select("key", F.col("hub.node").alias("hub"), F.col("hub.root").alias("hub_root")), "open")
+        left = rooted.join(open_keys, "key")
+        if turn < STARS:
+            pairs = left.filter("root <> hub_root").select(F.col("hub").alias("x"), F.col("node").alias("y"))
+        else:
+            other = left.select("key", F.col("node").alias("y"), F.col("root").alias("other"))
+            pairs = left.join(other, "key").filter("root < other").select(F.col("node").alias("x"), "y")
+        pairs = pairs.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
+        fresh = materialize(decided(materialize(pairs.join(known, ["u", "v"], "left_anti"), "pairs")), "decided")
+        known = known.unionByName(fresh)
+        links = known.filter("near").select("u", "v")
+    return links
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """``doc_id, component_id``: the least id that is reachable by links of at least the similarity."""
+    signed = materialize(signatures(docs, text), "signatures")
+    distinct = materialize(signed.groupBy("node").agg(F.min("doc_id").alias("first")), "distinct")
+    roots = materialize(connected_components(near_links(signed, similarity)), "roots")
+    rooted = materialize(distinct.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    least = materialize(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "components")
+    classes = materialize(rooted.join(least, "root").select("node", "component_id"), "classes")
+    return signed.select("doc_id", "node").join(classes, "node").select("doc_id", "component_id")

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folioscope.llm import decontaminate, packing, simhash_dedup
+from folioscope.llm import decontaminate, packing, shingle_dedup, simhash_dedup
 
 SF = "/root/testdata/sf0.001"
 
@@ -67,3 +67,42 @@ def test_all_that_is_left_is_packed(stages):
     assert sorted(set(ids(stages[5]))) == ids(stages[4])
     over = stages[5].groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("m"))
     assert over.filter(f"n > {packing.SEQUENCE} or n <> m").count() == 0
+
+
+def test_near_dedup_drops_copies_down_to_the_similarity(spark):
+    rng = np.random.default_rng(4)
+    rows, want, pick = [], set(), lambda n: [f"w{x}" for x in rng.integers(0, 5000, n)]
+    for k in range(60):
+        base = pick(int(rng.integers(60, 400)))
+        changed = (0.8, 0.85, 0.9, 0.95, 0.75, 0.6)[k % 6]
+        # n places far apart change 5n shingles on either side
+        shared = len(base) - 4
+        n = int(shared * (1 - changed) / (1 + changed) / 5)
+        n += changed < 0.8
+        copy = list(base)
+        for at in range(n):
+            copy[4 + at * 5] = "other"
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy).upper())]
+        a, b = ({tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (base, copy))
+        want |= {2 * k} if len(a & b) / len(a | b) >= 0.8 else {2 * k, 2 * k + 1}
+    assert len(want) == 80
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert set(ids(cp.near_dedup(spark, docs, SF))) == want
+
+
+def test_near_links_of_a_bucket_miss_no_pair(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for g in range(4):
+        at = [f"v{x}" for x in rng.integers(0, 5000, 120)]
+        for k in range(15):  # chains of close copies
+            rows.append((100 * g + k, " ".join(at)))
+            at = list(at)
+            at[int(rng.integers(0, 120))] = f"z{k}"
+    sets = {d: shingle_dedup.shingle_set(t.encode()) for d, t in rows}
+    root = {d: d for d in sets}
+    for _ in rows:
+        for x in sets:
+            root[x] = min(root[y] for y in sets if len(sets[x] & sets[y]) / len(sets[x] | sets[y]) >= 0.8)
+    got = shingle_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == root

@@ -305,6 +305,16 @@ def test_trust_and_distrust_follow_links(spark):
     assert verdicts == {1: "allow", 2: "block", 3: "block", 4: "allow", 5: "allow", 6: "allow"}
 
 
+def test_hosts_far_from_a_seed_are_reached(spark):
+    # the ring around the seed takes nearly all of the rank; a chain of 40 hosts hangs on one of its hosts
+    edges = [(f"ring{k}", "bad.com", 1) for k in range(3000)] + [("chain0", "ring0", 1)] + [(f"chain{k + 1}", f"chain{k}", 1) for k in range(39)]
+    seeds = [("bad.com", 0, 1), ("good.org", 1, 0)]
+    df = spark.createDataFrame(edges, "src string, dst string, n long")
+    got = {r["host"]: r["distrust"] for r in url_filters.propagate(spark.createDataFrame(seeds, "host string, allowed long, blocked long"), df).collect()}
+    assert all(got.get(f"chain{k}", 0) > 0 for k in range(40))
+    assert got["chain39"] == pytest.approx(0.15 * 0.85**41 / 3000, rel=1e-3)
+
+
 def test_url_filter_runs_no_python(spark, sf):
     df = queries.op6_url_filters(spark, sf)
     assert not re.search("Python|Arrow|Pandas", df._jdf.queryExecution().toString())

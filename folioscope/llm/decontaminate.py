@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -29,7 +30,7 @@ from .common import BoundedCache, blank, materialize
 WORDS, SIMILARITY = 5, 0.8
 #: Bits that differ at most; blocks of the index, so a block differs by RADIUS // BLOCKS bits at most.
 RADIUS, BLOCKS = 23, 8
-#: Bytes of benchmark shingles that are broadcast at most; beyond it they are joined.
+#: Bytes of benchmark shingles that are broadcast at once; beyond it the items are searched for in parts.
 BROADCAST_BYTES = 32 << 20
 
 WORD = re.compile(r"\w+")
@@ -147,16 +148,32 @@ class Windows:
 CANDIDATES = "array<struct<start:int,n_words:int,fp:bigint,grams:array<bigint>>>"
 
 
+def in_parts(items: DataFrame) -> tuple[DataFrame, int]:
+    """``items`` with the part each is searched for in, and the number of parts, whose shingles stay within the bound."""
+    size = items.select("n_words", F.explode("grams").alias("g")).distinct().count()
+    # a quarter to spare, as a hash deals unevenly
+    parts = 1 if 16 * size <= BROADCAST_BYTES else -(-20 * size // BROADCAST_BYTES)
+    return items.withColumn("part", F.pmod(F.xxhash64("grams"), F.lit(parts)).cast("int")), parts
+
+
 def candidate_windows(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
-    """``doc_id, start, n_words, fp, grams`` of all windows that may reach the similarity."""
-    grams = items.select("n_words", F.explode("grams").alias("g")).distinct()
-    size = grams.count()
-    if 16 * size > BROADCAST_BYTES:
-        raise ValueError("split the benchmark: its shingles exceed the broadcast bound, so run it in parts of items")
-    by_length: dict[int, list[int]] = {}
-    for n, g in grams.collect():
-        by_length.setdefault(n, []).append(g)
-    known = {n: np.sort(np.array(g, np.int64).view(np.uint64)) for n, g in sorted(by_length.items())}
+    """``doc_id, part, start, n_words, fp, grams`` of all windows that may reach the similarity with an item of the part."""
+    items, parts = in_parts(items)
+    if parts == 1:
+        return _windows_of_part(docs, items, text, 0)[0]
+    found = []
+    for part in range(parts):
+        windows, shared = _windows_of_part(docs, items.filter(F.col("part") == part), text, part)
+        found.append(materialize(windows, "part"))
+        shared.destroy()
+    return reduce(DataFrame.unionByName, found)
+
+
+def _windows_of_part(docs: DataFrame, items: DataFrame, text: str, part: int):
+    """The windows, and the broadcast that they are read with."""
+    grams = items.select("n_words", F.explode("grams").alias("g")).distinct().toArrow()
+    lengths, own = grams["n_words"].to_numpy(), grams["g"].to_numpy().view(np.uint64)
+    known = {int(n): np.sort(own[lengths == n]) for n in np.unique(lengths)}
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -165,7 +182,7 @@ def candidate_windows(docs: DataFrame, items: DataFrame, text: str = "text") ->
             yield pd.Series([windows.of(t) if len(windows.grams) else [] for t in batch])
 
     found = docs.select("doc_id", F.explode(F.pandas_udf(find, CANDIDATES)(blank(text))).alias("w"))
-    return found.select("doc_id", "w.*")
+    return found.select("doc_id", F.lit(part).alias("part"), "w.*"), shared
 
 
 def _block(fp, k):
@@ -180,7 +197,7 @@ def index_items(items: DataFrame) -> DataFrame:
     flips = sorted(sum(1 << b for b in bits) for n in range(share + 1) for bits in combinations(range(width), n))
     blocks = F.array(*(F.struct(F.lit(k).alias("block"), _block(F.col("fp"), k).alias("value")) for k in range(BLOCKS)))
     spread = items.select("*", F.explode(blocks).alias("b")).select("*", F.explode(F.array(*map(F.lit, flips))).alias("flip"))
-    return spread.select("item_id", "n_words", F.col("fp").alias("item_fp"), "b.block", F.col("b.value").bitwiseXOR(F.col("flip")).alias("value"))
+    return spread.select("item_id", "part", "n_words", F.col("fp").alias("item_fp"), "b.block", F.col("b.value").bitwiseXOR(F.col("flip")).alias("value"))
 
 
 def weighted_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -200,8 +217,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text
     items = materialize(item_table(benchmark, item_text), "items")
     windows = materialize(candidate_windows(docs, items, text).withColumn("w", F.monotonically_increasing_id()), "windows")
     blocks = F.array(*(F.struct(F.lit(k).alias("block"), _block(F.col("fp"), k).alias("value")) for k in range(BLOCKS)))
-    spread = windows.select("w", "n_words", "fp", F.explode(blocks).alias("b")).select("w", "n_words", "fp", "b.block", "b.value")
-    near = spread.join(materialize(index_items(items), "index"), ["n_words", "block", "value"])
+    spread = windows.select("w", "part", "n_words", "fp", F.explode(blocks).alias("b")).select("w", "part", "n_words", "fp", "b.block", "b.value")
+    # a window that several parts find meets each item once
+    near = spread.join(materialize(index_items(in_parts(items)[0]), "index"), ["part", "n_words", "block", "value"])
     pairs = near.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).select("w", "item_id").distinct()
     both = pairs.join(windows, "w").join(items.select("item_id", F.col("grams").alias("item_grams")), "item_id")
     sim = F.pandas_udf(weighted_similarity, "double")("grams", "item_grams")

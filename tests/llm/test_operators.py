@@ -124,6 +124,18 @@ def test_decontamination_finds_near_passages(spark):
     assert best[102]["item_id"] == 1 and best[102]["similarity"] == 1.0 and 100 not in best and 101 not in best
 
 
+def test_decontamination_in_parts(spark, monkeypatch):
+    rng = random.Random(12)
+    pick = lambda n: " ".join(rng.choices("abcdefghij", k=n))
+    items = [(i, pick(rng.choice((15, 20)))) for i in range(12)]
+    docs = [(d, f"{pick(9)} {items[d % 12][1]} {pick(5)} {items[5 * d % 12][1]}") for d in range(30)]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 1000)
+    assert decontaminate.in_parts(decontaminate.item_table(bench))[1] > 2
+    got = [(r["doc_id"], r["item_id"], r["start"]) for r in decontaminate.matches(df, bench).collect()]
+    assert sorted(got) == sorted(brute_matches(docs, items)) and got
+
+
 def test_decontamination_without_rows(spark, no_docs, some_docs):
     empty = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contaminated(some_docs, empty).count() == 0

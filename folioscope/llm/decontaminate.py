@@ -10,7 +10,8 @@ similarity of the shingles, with repeats as weights, decides.
 
 Defined results: null and empty texts and items match nothing; a text or item
 of fewer words than a shingle is one shingle (such an item matches only whole
-texts of as many words); of several matches the most
+texts of as many words); a text shorter than an item is compared as a whole, and
+its window has the item's n_words; of several matches the most
 similar is reported, on ties the least item, then the first window.
 """
 
@@ -115,11 +116,13 @@ class Windows:
             return []
         at_all, out = self.known(grams), []
         for n, own in self.by_length.items() if len(at_all) else ():
-            m = max(1, n - WORDS + 1)
-            if n > len(words) or (n < WORDS and n != len(words)):
+            own_m = max(1, n - WORDS + 1)
+            # a text shorter than the item is a window as a whole
+            m = min(own_m, len(grams))
+            if m < own_m * SIMILARITY - 1e-9 or (n != len(words) and min(n, len(words)) < WORDS):
                 continue
-            # |A n B| / (2m - |A n B|) >= s needs |A n B| >= 2ms / (1 + s)
-            least = int(np.ceil(2 * m * SIMILARITY / (1 + SIMILARITY) - 1e-9))
+            # |A n B| / (a + b - |A n B|) >= s needs |A n B| >= s (a + b) / (1 + s)
+            least = int(np.ceil((m + own_m) * SIMILARITY / (1 + SIMILARITY) - 1e-9))
             hit = at_all[among(grams[at_all], own)]
             if len(hit) < least:
                 continue

@@ -124,6 +124,20 @@ def test_decontamination_finds_near_passages(spark):
     assert best[102]["item_id"] == 1 and best[102]["similarity"] == 1.0 and 100 not in best and 101 not in best
 
 
+def test_decontamination_of_texts_shorter_than_an_item(spark):
+    rng = random.Random(13)
+    items = [(i, " ".join("".join(rng.choices(string.ascii_lowercase, k=4)) for _ in range(n))) for i, n in enumerate((5, 9, 14, 30, 31, 60))]
+    docs = [(100 * i + cut + 50 * end, " ".join(x.split()[cut:] if end else x.split()[: len(x.split()) - cut])) for i, x in items for cut in range(1, 16) for end in (0, 1)]
+    want = set()
+    for d, t in docs:
+        for i, x in items:
+            a, b = ({tuple(y[k : k + 5]) for k in range(len(y) - 4)} for y in (t.split(), x.split()))
+            if a and b and len(a & b) / len(a | b) >= 0.8:
+                want.add((d, i, 0))
+    got = [(r["doc_id"], r["item_id"], r["start"]) for r in decontaminate.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 20
+
+
 def test_decontamination_in_parts(spark, monkeypatch):
     rng = random.Random(12)
     pick = lambda n: " ".join(rng.choices("abcdefghij", k=n))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -10,14 +13,37 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Most bytes of one batch that goes to a Python worker; long texts then make short batches.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound batches for Python workers by their bytes, as 10,000 long texts would fill a worker."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.sub(r"\D", "", spark.conf.get(key))) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def give_back() -> None:
+    """At the end of a task: return what it took to the system, as workers are used again for later stages."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can read: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (local tests) a temporary folder is chosen.
+    Only on a local master may that be unset (as in tests); a temporary folder is chosen then.
     """
     context = spark.sparkContext
     if (configured := context.getConf().get("spark.checkpoint.dir")) or (configured := context.getCheckpointDir()):
         return configured.rstrip("/")
+    if not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="folioscope-"))
     return context.getCheckpointDir().rstrip("/")
 
@@ -34,11 +60,29 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def quoted(name: str) -> str:
+    """A column name as SQL takes it, whatever characters it has."""
+    return f"`{name.replace('`', '``')}`"
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of ``df`` has it (names are alike in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def blank(column: str | Column) -> Column:
     """A text column with null read as the empty text."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
+def text_key(column: str | Column) -> Column:
+    """A hash of the text, which with the id tells rows apart (null as the empty text)."""
+    return F.xxhash64(blank(column))
+
+
 def id_bucket(column: str, modulus: int) -> Column:
     """``crc32`` of the id written as text, modulo ``modulus`` (null id: null)."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(modulus))

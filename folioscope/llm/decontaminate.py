@@ -6,13 +6,17 @@ in items of that length for a similarity of ``SIMILARITY`` to be possible (a
 sound bound, no heuristic).  Fingerprints of kept windows meet those of items
 of the same length in a multi-index of Hamming blocks, which by the pigeonhole
 principle returns every pair within ``RADIUS`` bits; the exact weighted Jaccard
-similarity of the shingles, with repeats as weights, decides.
+similarity of the shingles, with repeats as weights, decides.  Of pairs at the
+least similarity two in a thousand differ in more bits than ``RADIUS`` (measured
+by a test), of closer ones fewer.
 
 Defined results: null and empty texts and items match nothing; a text or item
 of fewer words than a shingle is one shingle (such an item matches only whole
 texts of as many words); a text shorter than an item is compared as a whole, and
 its window has the item's n_words; of several matches the most
-similar is reported, on ties the least item, then the first window.
+similar is reported, on ties the least item, then the first window; rows are
+told apart by their id and text, so a row without an id is judged too, and of
+rows that share an id each is judged by itself (equal rows are one).
 """
 
 from __future__ import annotations
@@ -20,17 +24,18 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, blank, materialize
+from .common import BoundedCache, blank, bounded_batches, free_name, give_back, materialize, text_key
 
 WORDS, SIMILARITY = 5, 0.8
-#: Bits that differ at most; blocks of the index, so a block differs by RADIUS // BLOCKS bits at most.
-RADIUS, BLOCKS = 23, 8
+#: Bits that differ at most; blocks of the index as start and width, so some block differs by RADIUS // len(BLOCKS) bits at most.
+RADIUS, BLOCKS = 17, ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 #: Bytes of benchmark shingles that are broadcast at once; beyond it the items are searched for in parts.
 BROADCAST_BYTES = 32 << 20
 
@@ -110,11 +115,12 @@ class Windows:
         return at[among(x[at], self.grams)] if len(at) else at
 
     def of(self, text: str) -> list[dict]:
+        """Stretches of the text's shingles that kept windows cover, each once, and the windows in them."""
         words = word_hashes(text, self.cache)
         grams = shingles(words)
         if len(grams) == 0:
             return []
-        at_all, out = self.known(grams), []
+        at_all, found = self.known(grams), []
         for n, own in self.by_length.items() if len(at_all) else ():
             own_m = max(1, n - WORDS + 1)
             # a text shorter than the item is a window as a whole
@@ -132,8 +138,16 @@ class Windows:
             starts = np.flatnonzero(seen[m:] - seen[:-m] >= least)
             for part in range(0, len(starts), 4096):
                 at = starts[part : part + 4096]
-                fps = self._fingerprints(grams, at, m)
-                out += [{"start": int(a), "n_words": n, "fp": int(f), "grams": grams[a : a + m].view(np.int64).tolist()} for a, f in zip(at, fps)]
+                found += [(a, a + m, n, f) for a, f in zip(at.tolist(), self._fingerprints(grams, at, m).tolist())]
+        out: list[dict] = []
+        end = -1
+        for a, b, n, f in sorted(found):
+            if a >= end:
+                out.append({"first": a, "end": b, "windows": []})
+            out[-1]["end"] = end = max(end, b) if a < end else b
+            out[-1]["windows"].append({"start": a, "stop": b, "n_words": n, "fp": f})
+        for x in out:
+            x["grams"] = grams[x["first"] : x.pop("end")].view(np.int64)
         return out
 
     @staticmethod
@@ -148,7 +162,7 @@ class Windows:
         return np.concatenate(fps).view(np.int64)
 
 
-CANDIDATES = "array<struct<start:int,n_words:int,fp:bigint,grams:array<bigint>>>"
+STRETCHES = "array<struct<first:int,windows:array<struct<start:int,stop:int,n_words:int,fp:bigint>>,grams:array<bigint>>>"
 
 
 def in_parts(items: DataFrame) -> tuple[DataFrame, int]:
@@ -159,21 +173,25 @@ def in_parts(items: DataFrame) -> tuple[DataFrame, int]:
     return items.withColumn("part", F.pmod(F.xxhash64("grams"), F.lit(parts)).cast("int")), parts
 
 
-def candidate_windows(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
-    """``doc_id, part, start, n_words, fp, grams`` of all windows that may reach the similarity with an item of the part."""
+def candidates(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
+    """``doc_id, t, part, first, windows, grams``: stretches of all windows that may reach the similarity with an item of the part.
+
+    ``t`` is the text's key; with the id it tells rows apart.
+    """
+    bounded_batches(docs.sparkSession)
     items, parts = in_parts(items)
     if parts == 1:
-        return _windows_of_part(docs, items, text, 0)[0]
+        return _stretches_of_part(docs, items, text, 0)[0]
     found = []
     for part in range(parts):
-        windows, shared = _windows_of_part(docs, items.filter(F.col("part") == part), text, part)
-        found.append(materialize(windows, "part"))
+        stretches, shared = _stretches_of_part(docs, items.filter(F.col("part") == part), text, part)
+        found.append(materialize(stretches, "part"))
         shared.destroy()
     return reduce(DataFrame.unionByName, found)
 
 
-def _windows_of_part(docs: DataFrame, items: DataFrame, text: str, part: int):
-    """The windows, and the broadcast that they are read with."""
+def _stretches_of_part(docs: DataFrame, items: DataFrame, text: str, part: int):
+    """The stretches, and the broadcast that they are read with."""
     grams = items.select("n_words", F.explode("grams").alias("g")).distinct().toArrow()
     lengths, own = grams["n_words"].to_numpy(), grams["g"].to_numpy().view(np.uint64)
     known = {int(n): np.sort(own[lengths == n]) for n in np.unique(lengths)}
@@ -183,55 +201,80 @@ def _windows_of_part(docs: DataFrame, items: DataFrame, text: str, part: int):
         windows = Windows(shared.value)
         for batch in batches:
             yield pd.Series([windows.of(t) if len(windows.grams) else [] for t in batch])
+        del windows
+        give_back()
 
-    found = docs.select("doc_id", F.explode(F.pandas_udf(find, CANDIDATES)(blank(text))).alias("w"))
-    return found.select("doc_id", F.lit(part).alias("part"), "w.*"), shared
+    found = docs.select("doc_id", text_key(text).alias("t"), F.explode(F.pandas_udf(find, STRETCHES)(blank(text))).alias("w"))
+    return found.select("doc_id", "t", F.lit(part).alias("part"), "w.*"), shared
 
 
-def _block(fp, k):
-    return F.shiftrightunsigned(fp, 64 // BLOCKS * k).bitwiseAND((1 << 64 // BLOCKS) - 1)
+def _blocks(fp):
+    """The value of each block of a fingerprint."""
+    cut = (F.shiftrightunsigned(fp, start).bitwiseAND((1 << width) - 1) for start, width in BLOCKS)
+    return F.array(*(F.struct(F.lit(k).alias("block"), value.alias("value")) for k, value in enumerate(cut)))
 
 
 def index_items(items: DataFrame) -> DataFrame:
     """Every item under each value of each block within the block's share of the radius."""
-    from itertools import combinations
-
-    width, share = 64 // BLOCKS, RADIUS // BLOCKS
-    flips = sorted(sum(1 << b for b in bits) for n in range(share + 1) for bits in combinations(range(width), n))
-    blocks = F.array(*(F.struct(F.lit(k).alias("block"), _block(F.col("fp"), k).alias("value")) for k in range(BLOCKS)))
-    spread = items.select("*", F.explode(blocks).alias("b")).select("*", F.explode(F.array(*map(F.lit, flips))).alias("flip"))
-    return spread.select("item_id", "part", "n_words", F.col("fp").alias("item_fp"), "b.block", F.col("b.value").bitwiseXOR(F.col("flip")).alias("value"))
+    share = RADIUS // len(BLOCKS)
+    flips = [sorted(sum(1 << b for b in bits) for n in range(share + 1) for bits in combinations(range(width), n)) for _, width in BLOCKS]
+    spread = items.select("*", F.explode(_blocks(F.col("fp"))).alias("b")).select("*", F.explode(F.lit(flips)[F.col("b.block")]).alias("flip"))
+    return spread.select("item_id", "item", "part", "n_words", F.col("fp").alias("item_fp"), "b.block", F.col("b.value").bitwiseXOR(F.col("flip")).alias("value"))
 
 
-def weighted_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+def weighted_similarity(x: np.ndarray, y: np.ndarray) -> float:
     """Weighted Jaccard of two bags of shingles, with repeats as weights."""
+    u, n = np.unique(x, return_counts=True)
+    v, m = np.unique(y, return_counts=True)
+    _, i, j = np.intersect1d(u, v, assume_unique=True, return_indices=True)
+    both = np.minimum(n[i], m[j]).sum()
+    return float(both / (n.sum() + m.sum() - both))
+
+
+SIMILAR = "array<struct<start:int,similarity:double>>"
+
+
+def similar_windows(first: pd.Series, grams: pd.Series, windows: pd.Series, item_grams: pd.Series) -> pd.Series:
+    """Of each stretch, the windows that are similar to the item."""
     out = []
-    for x, y in zip(a, b):
-        u, n = np.unique(x, return_counts=True)
-        v, m = np.unique(y, return_counts=True)
-        _, i, j = np.intersect1d(u, v, assume_unique=True, return_indices=True)
-        both = np.minimum(n[i], m[j]).sum()
-        out.append(float(both / (n.sum() + m.sum() - both)))
+    for at, own, tried, item in zip(first, grams, windows, item_grams):
+        exact = ((w["start"], weighted_similarity(own[w["start"] - at : w["stop"] - at], item)) for w in tried)
+        out.append([{"start": start, "similarity": s} for start, s in exact if s >= SIMILARITY])
     return pd.Series(out)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text") -> DataFrame:
-    """``doc_id, start, n_words, item_id, similarity`` of every window of at least the similarity."""
-    items = materialize(item_table(benchmark, item_text), "items")
-    windows = materialize(candidate_windows(docs, items, text).withColumn("w", F.monotonically_increasing_id()), "windows")
-    blocks = F.array(*(F.struct(F.lit(k).alias("block"), _block(F.col("fp"), k).alias("value")) for k in range(BLOCKS)))
-    spread = windows.select("w", "part", "n_words", "fp", F.explode(blocks).alias("b")).select("w", "part", "n_words", "fp", "b.block", "b.value")
+    """``doc_id, t, start, n_words, item_id, similarity`` of every window of at least the similarity."""
+    read = item_table(benchmark, item_text).withColumn("item", F.monotonically_increasing_id())
+    items = materialize(read, "items")
+    stretches = materialize(candidates(docs, items, text).withColumn("s", F.monotonically_increasing_id()), "stretches")
+    windows = stretches.select("s", "part", F.explode("windows").alias("w")).select("s", "part", "w.*")
+    spread = windows.select("*", F.explode(_blocks(F.col("fp"))).alias("b")).select("s", "part", "start", "stop", "n_words", "fp", "b.block", "b.value")
     # a window that several parts find meets each item once
     near = spread.join(materialize(index_items(in_parts(items)[0]), "index"), ["part", "n_words", "block", "value"])
-    pairs = near.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).select("w", "item_id").distinct()
-    both = pairs.join(windows, "w").join(items.select("item_id", F.col("grams").alias("item_grams")), "item_id")
-    sim = F.pandas_udf(weighted_similarity, "double")("grams", "item_grams")
-    return both.select("doc_id", "start", "n_words", "item_id", sim.alias("similarity")).filter(F.col("similarity") >= SIMILARITY)
+    near = near.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
+    tried = materialize(near.groupBy("s", "item_id", "item", "n_words").agg(F.collect_set(F.struct("start", "stop")).alias("tried")), "tried")
+    # shingles of a stretch and of an item are joined once for all windows between them
+    both = tried.join(stretches.select("s", "doc_id", "t", "first", "grams"), "s").join(items.select("item", F.col("grams").alias("item_grams")), "item")
+    found = both.select("doc_id", "t", "n_words", "item_id", F.explode(F.pandas_udf(similar_windows, SIMILAR)("first", "grams", "tried", "item_grams")).alias("w"))
+    return found.select("doc_id", "t", "w.start", "n_words", "item_id", "w.similarity")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text") -> DataFrame:
-    """One row for each contaminated document: its best match and how many windows and items match."""
+    """One row for each contaminated document: its best match and how many windows and items match.
+
+    ``text_key`` is ``text_key`` of the text, by which the row is told from others of its id.
+    """
     best = F.max_by(F.struct("item_id", "similarity", "start", "n_words"), F.struct("similarity", -F.col("item_id"), -F.col("start")))
     found = matches(docs, benchmark, text, item_text)
-    grouped = found.groupBy("doc_id").agg(best.alias("best"), F.count("*").alias("n_windows"), F.countDistinct("item_id").alias("n_items"))
-    return grouped.select("doc_id", "best.item_id", "best.similarity", F.col("best.start").alias("first_word"), "best.n_words", "n_windows", "n_items")
+    grouped = found.groupBy("doc_id", "t").agg(best.alias("best"), F.count("*").alias("n_windows"), F.countDistinct("item_id").alias("n_items"))
+    return grouped.select("doc_id", F.col("t").alias("text_key"), "best.item_id", "best.similarity", F.col("best.start").alias("first_word"), "best.n_words", "n_windows", "n_items")
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark item, with all their columns."""
+    found = materialize(contaminated(docs, benchmark, text, item_text).select("doc_id", "text_key"), "contaminated").alias("c")
+    key = free_name(docs, "text_key")
+    keyed = docs.withColumn(key, text_key(text)).alias("d")
+    same = F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col(f"d.{key}") == F.col("c.text_key"))
+    return keyed.join(found, same, "left_anti").drop(key)

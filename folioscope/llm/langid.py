@@ -18,18 +18,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blank
+from .common import blank, bounded_batches, give_back, quoted
 
 UNKNOWN = "und"
 #: Expected bound of training documents of each language; of longer ones the share falls.
 TRAIN_DOCS = 1500
+#: Below so many training documents every trigram of a language counts, not those met ``LEAST_COUNT`` times only.
+FEW_DOCS = 100
 #: Trigrams kept for each language, and how much rarer than in another language one may be.
 GRAMS, LEAST_SHARE, LEAST_COUNT = 6000, 0.25, 3
-#: Filter positions (one word of language bits each), hash functions, and languages at most.
-POSITIONS, HASHES, MOST_LANGUAGES = 1 << 17, 3, 64
+#: Filter positions and hash functions; a position holds one word of bits for each 64 languages.
+POSITIONS, HASHES, WORD_BITS = 1 << 17, 3, 64
+#: Labelled values that may be languages; more are taken for a column that holds something else.
+MOST_LANGUAGES = 4096
 #: Letters handled at once.
 BLOCK = 1 << 20
 
@@ -69,23 +73,24 @@ class LanguageFilters:
     @classmethod
     def build(cls, grams: dict[str, np.ndarray]) -> LanguageFilters:
         languages = sorted(grams)
-        if len(languages) > MOST_LANGUAGES:
-            raise ValueError(f"at most {MOST_LANGUAGES} languages")
-        slices = np.zeros(POSITIONS, np.uint64)
+        slices = np.zeros((-(-len(languages) // WORD_BITS), POSITIONS), np.uint64)
         for k, name in enumerate(languages):
             for at in positions(grams[name]):
-                slices[at] |= np.uint64(1 << k)
-        load = [float((slices >> np.uint64(k) & np.uint64(1)).mean()) for k in range(len(languages))]
+                slices[k // WORD_BITS][at] |= np.uint64(1 << k % WORD_BITS)
+        load = [float((slices[k // WORD_BITS] >> np.uint64(k % WORD_BITS) & np.uint64(1)).mean()) for k in range(len(languages))]
         return cls(languages, slices, np.array(load) ** HASHES)
 
     def hits(self, text: str) -> tuple[np.ndarray, int]:
         """Trigrams in each language's filter, and trigrams in all."""
         found, n = np.zeros(len(self.languages), np.int64), 0
         for grams in trigrams(text):
-            first, *rest = (self.slices[at] for at in positions(grams))
-            for x in rest:
-                first &= x
-            found += [int(np.count_nonzero(first & np.uint64(1 << k))) for k in range(len(self.languages))]
+            first, *rest = positions(grams)
+            for w, words in enumerate(self.slices):
+                masks = words[first]
+                for at in rest:
+                    masks &= words[at]
+                k = WORD_BITS * w
+                found[k : k + WORD_BITS] += [int(np.count_nonzero(masks & np.uint64(1 << j))) for j in range(min(WORD_BITS, len(found) - k))]
             n += len(grams)
         return found, n
 
@@ -104,15 +109,14 @@ def train(docs: DataFrame, rows: Column, text: str = "text", lang: str = "lang")
     Trigrams are counted in Spark; only those frequent enough come to the driver.
     """
     labelled = docs.filter(rows & F.col(lang).isNotNull()).select("doc_id", F.col(lang).alias("lang"), blank(text).alias("t"))
-    totals = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(MOST_LANGUAGES + 1).collect()}
+    totals = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
     if len(totals) > MOST_LANGUAGES:
-        raise ValueError(f"at most {MOST_LANGUAGES} languages")
+        raise ValueError(f"over {MOST_LANGUAGES} values stand for languages")
     if not totals:
-        return LanguageFilters([], np.zeros(POSITIONS, np.uint64), np.zeros(0))
+        return LanguageFilters([], np.zeros((0, POSITIONS), np.uint64), np.zeros(0))
     grain = 1 << 30
-    cut = F.lit(0)
-    for name, n in totals.items():
-        cut = F.when(F.col("lang") == name, F.lit(min(grain, int(grain * TRAIN_DOCS / n)))).otherwise(cut)
+    few = {name: min(grain, int(grain * TRAIN_DOCS / n)) for name, n in totals.items()}
+    cut = F.create_map(*(F.lit(x) for pair in few.items() for x in pair))[F.col("lang")]
     # the id only tells copies apart, so that a large group of them isn't chosen as a whole
     sample = labelled.filter(F.pmod(F.xxhash64("doc_id", "t"), F.lit(grain)) < cut).select("lang", "t")
 
@@ -124,8 +128,10 @@ def train(docs: DataFrame, rows: Column, text: str = "text", lang: str = "lang")
                 yield pd.DataFrame({"lang": name, "gram": values.view(np.int64), "n": n.astype(np.int64)})
 
     counts = sample.mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    frequent = counts.filter(F.col("n") >= LEAST_COUNT)
-    frequent = frequent.orderBy(F.desc("n"), "lang", "gram").limit(2 * GRAMS * len(totals)).toPandas()
+    # ranked within each language, so one of few rows keeps its own; of those rows also what occurs once
+    ranked = counts.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram")))
+    least = F.create_map(*(F.lit(x) for name, n in totals.items() for x in (name, LEAST_COUNT if n >= FEW_DOCS else 1)))[F.col("lang")]
+    frequent = ranked.filter((F.col("place") <= 2 * GRAMS) & (F.col("n") >= least)).drop("place").toPandas()
     frequent["share"] = frequent["n"] / frequent.groupby("lang")["n"].transform("sum")
     frequent = frequent[frequent["share"] >= LEAST_SHARE * frequent.groupby("gram")["share"].transform("max")]
     kept = frequent.sort_values(["n", "gram"], ascending=[False, True]).groupby("lang").head(GRAMS)
@@ -133,11 +139,17 @@ def train(docs: DataFrame, rows: Column, text: str = "text", lang: str = "lang")
 
 
 def predict(docs: DataFrame, model: LanguageFilters, text: str = "text", into: str = "language") -> DataFrame:
-    """Add struct column ``into`` with ``lang_pred`` and ``score``.  The filters' size is fixed (1 MB), so they are broadcast."""
+    """Add struct column ``into`` with ``lang_pred`` and ``score``.
+
+    The filters' size is fixed by the number of languages (1 MB for each 64), so they are broadcast.
+    """
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
-    def predicted(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([shared.value.predict(t) for t in texts], columns=["lang_pred", "score"])
+    def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            yield pd.DataFrame([shared.value.predict(t) for t in texts], columns=["lang_pred", "score"])
+        give_back()
 
-    return docs.withColumn(into, predicted(blank(text)))
+    return docs.withColumn(into, predicted(blank(F.col(quoted(text)))))

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import bisect
 import functools
+import itertools
 import os
 import re
 import string
@@ -26,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blank, in_chunks, materialize
+from .common import blank, bounded_batches, free_name, give_back, in_chunks, materialize, quoted
 from .token_counts import tokenizer_path
 
 SEQUENCE = 2048
@@ -35,11 +36,19 @@ GROUP, NEARLY = 20_000, 8
 MOST_ROUNDS = 12
 #: White space of the tokenizer at which a text may be cut without a change of its ids.
 BREAKS = re.compile("[\t\r\n]")
-CACHED = 800_000
+#: Words that a worker keeps the ids of, and how many of them stay when it is full: those met first are the frequent ones.
+CACHED, STAYING = 300_000, 120_000
+#: Characters of a word that is not kept.
+LONG = 64
 #: Marks that stand around a word of letters as pre-tokens of their own; an apostrophe in front may join the word,
 #: and those of special tokens are left out.
 MARKS = "".join(c for c in string.punctuation if c not in "<|>")
 LEADING = MARKS.replace("'", "")
+#: A run of marks between a letter or digit and white space is a pre-token.
+TAIL = re.compile(rf"[{re.escape(MARKS)}](?<=[^\W_].)[{re.escape(MARKS)}]*(?!\S)")
+#: What keeps a text from being put in lower case as a whole: letters beyond the Latin ones, whose normal form or lower
+#: case may differ, separators that only Python takes for white space, and the sign that special tokens begin with.
+UNEVEN = re.compile("[^\x00-\x1b -\u012f\u0131-\u024f]|<\\|")
 
 
 @functools.cache
@@ -53,51 +62,58 @@ def _encoder(path: str):
 class WordIds:
     """Token ids of whole texts, as little-endian bytes, through a cache of the ids of space-free words.
 
-    Words of letters alone are encoded many at once: each is one pre-token, so
-    an end-of-word token ends it.  Other words are encoded one by one.
+    Latin texts are put in lower case first and the marks behind their words
+    are split off, so fewer words differ.  Words of letters alone are encoded
+    many at once: each is one pre-token, so an end-of-word token ends it.
+    Other words are encoded one by one.
     """
 
     def __init__(self, path: str):
         self.encoder = _encoder(path)
-        self.ends = frozenset(i for piece, i in self.encoder.get_vocab().items() if piece.endswith("</w>"))
+        vocabulary = self.encoder.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
         self.cache: dict[str, bytes] = {"": b""}
 
-    def _encode(self, text: str) -> list[int]:
-        return self.encoder.encode(text, add_special_tokens=False).ids
+    def _encode(self, text: str) -> bytes:
+        return np.array(self.encoder.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _letters(self, words: list[str]) -> None:
         for part in in_chunks(words, 2000):
-            ids, start, k = self._encode(" ".join(part)), 0, 0
-            for at, i in enumerate(ids, 1):
-                if i in self.ends:
-                    self.cache[part[k]] = np.array(ids[start:at], "<u4").tobytes()
-                    start, k = at, k + 1
-
-    def fill(self, texts: list[list[str]]) -> None:
-        """Add what the cache lacks of these words."""
-        words = set().union(*texts)
-        lacking = [w for w in words if w not in self.cache]
-        if len(self.cache) + 2 * len(lacking) > CACHED:
-            self.cache = {"": b""}
-            lacking = [w for w in words if w]
-        cut = [(w, h, c) for w in lacking if plain(c := (h := w.rstrip(MARKS)).lstrip(LEADING))]
+            ids = np.array(self.encoder.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            stops, data = 4 * (np.flatnonzero(self.ends[ids]) + 1), ids.tobytes()
+            self.cache.update(zip(part, (data[a:b] for a, b in zip([0, *stops.tolist()], stops.tolist()))))
+
+    def fill(self, words: set[str]) -> None:
+        """Add what the cache lacks."""
+        if len(self.cache) + 2 * len(words) > CACHED:
+            self.cache = dict(itertools.islice(self.cache.items(), min(STAYING, len(self.cache))))
+        cut = [(w, h, c) for w in words if plain(c := (h := w.rstrip(MARKS)).lstrip(LEADING))]
         self._letters(list({c for _, _, c in cut if c not in self.cache}))
         for word, front, core in cut:
             if word != core:
                 head, tail = front[: len(front) - len(core)], word[len(front) :]
                 for x in (head, tail):
                     if x not in self.cache:
-                        self.cache[x] = np.array(self._encode(x), "<u4").tobytes()
+                        self.cache[x] = self._encode(x)
                 self.cache[word] = self.cache[head] + self.cache[core] + self.cache[tail]
-        for word in lacking:
+        for word in words:
             if word not in self.cache:
-                self.cache[word] = np.array(self._encode(word), "<u4").tobytes()
-
-    def many(self, texts: list[str]) -> Iterator[bytes]:
-        words = [BREAKS.sub(" ", t).split(" ") for t in texts]
-        self.fill(words)
-        for w in words:
-            yield b"".join(map(self.cache.__getitem__, w))
+                self.cache[word] = self._encode(word)
+
+    def of(self, text: str) -> bytes:
+        words = BREAKS.sub(" ", text).split(" ") if UNEVEN.search(text) else TAIL.sub(r" \g<0>", text.lower()).split()
+        found = list(map(self.cache.get, words))
+        if None in found:
+            at = [k for k, x in enumerate(found) if x is None]
+            lacking = {words[k] for k in at}
+            self.fill(lacking)
+            for k in at:
+                found[k] = self.cache[words[k]]
+            for w in lacking:
+                if len(w) > LONG:
+                    del self.cache[w]
+        return b"".join(found)
 
 
 def plain(word: str) -> bool:
@@ -111,17 +127,20 @@ PIECES = "array<struct<piece:int,start:bigint,length:bigint,ids_crc32:bigint>>"
 def token_pieces(docs: DataFrame, text: str = "text", tokenizer: str = "word_bpe_49k.json", end: int = 0, most: int = SEQUENCE) -> DataFrame:
     """``doc_id`` and every document's pieces of at most ``most`` ids, the end token included."""
 
+    bounded_batches(docs.sparkSession)
+
     @F.pandas_udf(PIECES)
     def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         ids, last = WordIds(tokenizer_path(tokenizer)), np.array([end], "<u4").tobytes()
         for batch in batches:
             out = []
-            for part in in_chunks(batch.to_list(), 64):
-                for found in ids.many(part):
-                    found += last
-                    pieces = [found[at : at + 4 * most] for at in range(0, len(found), 4 * most)]
-                    out.append([{"piece": k, "start": k * most, "length": len(x) // 4, "ids_crc32": zlib.crc32(x)} for k, x in enumerate(pieces)])
+            for text in batch:
+                found = ids.of(text) + last
+                pieces = [found[at : at + 4 * most] for at in range(0, len(found), 4 * most)]
+                out.append([{"piece": k, "start": k * most, "length": len(x) // 4, "ids_crc32": zlib.crc32(x)} for k, x in enumerate(pieces)])
             yield pd.Series(out)
+        del ids
+        give_back()
 
     return docs.select("doc_id", F.explode(cut(blank(text))).alias("p")).select("doc_id", "p.*")
 
@@ -167,9 +186,13 @@ def _round(items: DataFrame, groups: int, most: int) -> DataFrame:
 
 
 def pack(pieces: DataFrame, most: int = SEQUENCE) -> DataFrame:
-    """Add ``sequence_id`` and ``offset`` to pieces (any columns with a ``length`` of at most ``most``)."""
-    pieces = materialize(pieces.withColumn("item", F.monotonically_increasing_id()), "pieces")
-    waiting = pieces.filter(F.col("length") < most).select("item", "length")
+    """Add ``sequence_id`` and ``offset`` to pieces (any columns with a ``length`` of at most ``most``).
+
+    Other columns stay as they are, whatever their names.
+    """
+    item, others = free_name(pieces, "item"), [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    pieces = materialize(pieces.select(*map(quoted, others), F.monotonically_increasing_id().alias(item)), "pieces")
+    waiting = pieces.filter(F.col("length") < most).select(F.col(item).alias("item"), "length")
     n, placed = waiting.count(), None
     for _ in range(MOST_ROUNDS):
         if not n:
@@ -188,6 +211,7 @@ def pack(pieces: DataFrame, most: int = SEQUENCE) -> DataFrame:
             break
         n = left
     if placed is None:
-        return pieces.withColumn("sequence_id", F.col("item")).withColumn("offset", F.lit(0).cast("long")).drop("item")
-    joined = pieces.join(placed, "item", "left")
-    return joined.withColumn("sequence_id", F.coalesce("bin", "item")).withColumn("offset", F.coalesce("at", F.lit(0)).cast("long")).drop("item", "bin", "at")
+        placed = waiting.select("item", F.col("item").alias("bin"), F.lit(0).cast("long").alias("at"))
+    joined = pieces.alias("p").join(placed.alias("q"), F.col(f"p.{item}") == F.col("q.item"), "left")
+    whole = [F.col(f"p.{quoted(c)}") for c in others]
+    return joined.select(*whole, F.coalesce("q.bin", f"p.{item}").alias("sequence_id"), F.coalesce("q.at", F.lit(0)).cast("long").alias("offset"))

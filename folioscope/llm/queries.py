@@ -25,7 +25,7 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that hold a benchmark item, with their best match."""
     found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.withColumn("contaminated", F.lit(True))
+    return found.drop("text_key").withColumn("contaminated", F.lit(True))
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -158,10 +158,41 @@ def test_decontamination_without_rows(spark, no_docs, some_docs):
 
 def test_hamming_index_is_complete():
     rng = np.random.default_rng(1)
-    width, share = 64 // decontaminate.BLOCKS, decontaminate.RADIUS // decontaminate.BLOCKS
+    block = np.concatenate([np.full(width, k) for k, (_, width) in enumerate(decontaminate.BLOCKS)])
+    assert len(block) == 64
+    share = decontaminate.RADIUS // len(decontaminate.BLOCKS)
     for _ in range(300):
         flipped = rng.choice(64, decontaminate.RADIUS, replace=False)
-        assert min(np.bincount(flipped // width, minlength=decontaminate.BLOCKS)) <= share
+        assert min(np.bincount(block[flipped], minlength=len(decontaminate.BLOCKS))) <= share
+
+
+def test_radius_takes_in_the_least_similarity():
+    rng = np.random.default_rng(2)
+    fp = lambda g: decontaminate.bits(g).sum(axis=0, dtype=np.int64) * 2 > len(g)
+    apart = []
+    for _ in range(3000):
+        n = int(rng.integers(30, 200))
+        a = rng.integers(1, 1 << 62, n, np.uint64)
+        b = a.copy()
+        while True:  # words change until one more would go below the similarity
+            c = b.copy()
+            c[rng.integers(0, n)] = rng.integers(1, 1 << 62, dtype=np.uint64)
+            if decontaminate.weighted_similarity(decontaminate.shingles(a), decontaminate.shingles(c)) < decontaminate.SIMILARITY:
+                break
+            b = c
+        apart.append(int((fp(decontaminate.shingles(a)) != fp(decontaminate.shingles(b))).sum()))
+    assert np.mean(np.array(apart) <= decontaminate.RADIUS) >= 0.99
+
+
+def test_decontamination_tells_rows_apart(spark):
+    item = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(None, f"before {item} after", 1), (None, "quite another text of some words", 2), (7, item, 3), (7, "a clean text under the id of a dirty one", 4), (7, item, 5), (8, None, 6), (9, " ".join(f"w{k}" for k in range(40_000)) + " " + item, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, text_key int")
+    bench = spark.createDataFrame([(1, item), (1, item), (None, "x y z")], "item_id long, text string")
+    found = decontaminate.contaminated(docs, bench).collect()
+    assert sorted((r["doc_id"] or -1, r["item_id"], r["similarity"]) for r in found) == [(-1, 1, 1.0), (7, 1, 1.0), (9, 1, 1.0)]
+    left = decontaminate.without_contaminated(docs, bench)
+    assert left.columns == docs.columns and sorted(r["text_key"] for r in left.collect()) == [2, 4, 6]
 
 
 # 3 html ---------------------------------------------------------------------------------------------------------------
@@ -507,7 +538,7 @@ def test_packing_is_whole_and_tight(spark, odd_docs, no_docs, some_docs):
     assert packing.pack(packing.token_pieces(no_docs)).count() == 0
     ids = packing.WordIds(token_counts.tokenizer_path("word_bpe_49k.json"))
     tried = random_texts(3000)
-    assert [x for x in ids.many(tried)] == [np.array(e.ids, "<u4").tobytes() for e in ids.encoder.encode_batch(tried, add_special_tokens=False)]
+    assert [ids.of(x) for x in tried] == [np.array(e.ids, "<u4").tobytes() for e in ids.encoder.encode_batch(tried, add_special_tokens=False)]
 
 
 def test_packing_in_rounds(spark, monkeypatch):
@@ -548,10 +579,23 @@ def test_languages_of_odd_rows(odd_docs, no_docs):
     assert langid.predict(no_docs, none).count() == 0
 
 
+def test_languages_of_few_rows_and_of_many_kinds(spark):
+    rng = random.Random(6)
+    kinds = {f"L{k:03d}": ["".join(rng.choice(string.ascii_lowercase) for _ in range(5)) for _ in range(60)] for k in range(70)}
+    rows = [(1000 * k + i, " ".join(rng.choices(words, k=12)), name) for k, (name, words) in enumerate(kinds.items()) for i in range(200 if k < 3 else 12)]
+    few = ["qqxzj", "zzkqv", "wwpqx", "jjvvk", "xxqqp"]
+    rows += [(900_000 + i, " ".join(rng.choices(few, k=8)), "few") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs, F.lit(True))
+    assert model.languages == sorted([*kinds, "few"]) and len(model.slices) == 2
+    assert model.predict(" ".join(few))[0] == "few"
+    assert sum(model.predict(" ".join(words[:20]))[0] == name for name, words in kinds.items()) >= 68
+
+
 def test_filters_return_all_languages_of_a_trigram():
     grams = {k: np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) for k, n in (("aa", 500), ("bb", 900))}
     f = langid.LanguageFilters.build(grams)
-    mask = np.bitwise_and.reduce([f.slices[p] for p in langid.positions(grams["bb"])])
+    mask = np.bitwise_and.reduce([f.slices[0][p] for p in langid.positions(grams["bb"])])
     assert (mask >> np.uint64(1) & np.uint64(1)).all() and (mask[:500] & np.uint64(1)).all()
     assert (mask[500:] & np.uint64(1)).mean() < 0.02
 

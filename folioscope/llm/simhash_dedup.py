@@ -1,27 +1,37 @@
 """Near-duplicate groups of SimHash fingerprints by anchor-point covering.
 
-The 64 bits are split in three blocks; two fingerprints that differ in at most
-four bits differ in at most one bit of some block.  The anchors of a block are
-the words of the perfect binary code of length 23, whose covering radius is
-three: every block value has one home anchor within three bits, and is
-replicated to every anchor within 3 + 1 bits.  So each linked pair meets at the
-home anchor of either one, where it is compared over all 64 bits.
-
-Equal fingerprints are one row before covering.  An anchor with very many
-fingerprints is cut into a grid of bounded cells, so no pair is lost and no
-task holds an unbounded group; each cell gives a spanning star of its links
+The bits of a fingerprint are split in blocks.  The anchors of a block are the
+words of perfect binary codes (length 23 with covering radius three, length
+seven with one), so every block value has one home anchor; it is replicated to
+every anchor that is the home of some value within the block's share of the
+radius, which are those within the covering radius plus that share.  Two
+fingerprints near each other in some block so meet at the home anchor of either
+one, where they are compared over all compared bits.
+
+Two forms.  ``near_duplicates`` links fingerprints of 64 bits within a radius,
+losing no pair; its blocks and codes are chosen by the number of fingerprints,
+so that what meets at an anchor stays in bounds.  ``similar_groups`` links texts
+whose sets of five-word shingles have a Jaccard similarity of 0.8 or more:
+fingerprints of 256 bits meet the same way, and exact similarity decides what
+is linked (at the least similarity about one pair in a thousand never meets,
+measured by a test; above it fewer).
+
+Equal fingerprints (or texts) are one row before covering.  An anchor with very
+many fingerprints is cut into a grid of bounded cells, so no pair is lost and
+no task holds an unbounded group; each cell gives a spanning star of its links
 instead of all pairs.
 
 Defined results: null and empty texts have fingerprint zero and link like any
 other; repeated rows share a group; a text of fewer words than a shingle is one
-shingle.
+shingle; a group whose rows have no id has a null component.
 """
 
 from __future__ import annotations
 
 import functools
 from collections.abc import Iterator
-from itertools import combinations
+from dataclasses import dataclass
+from itertools import combinations, product
 
 import numpy as np
 import pandas as pd
@@ -29,16 +39,45 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blank, materialize
+from .common import BoundedCache, blank, bounded_batches, free_name, give_back, materialize, text_key
 from .components import connected_components
+from .decontaminate import shingles
 
 WORDS, SEED, RADIUS = 4, 42, 4
-#: Start and width of each block of bits.
-BLOCKS = ((0, 22), (22, 21), (43, 21))
-#: Generator polynomial of the code, as a fixed value.
-GENERATOR, LENGTH, COVERING = 0xC75, 23, 3
 #: Home fingerprints and replicas that one cell holds on average at most.
 CELL_HOME, CELL_NEAR = 2048, 8192
+#: Generator polynomials of the perfect codes by their length, and their covering radii, as fixed values.
+CODES = {23: (0xC75, 3), 7: (0xB, 1)}
+
+
+@dataclass(frozen=True)
+class Cover:
+    """Blocks of each 64-bit word of a fingerprint, each of parts (start, width); bits of a block that may differ; bits of the
+    compared words (the first ones) that may differ in a link."""
+
+    words: int
+    blocks: tuple[tuple[tuple[int, int], ...], ...]
+    share: int
+    radius: int
+    compared: int = 1
+
+    def keeps_all(self) -> bool:
+        """Whether any two within the radius differ by the share at most in some block."""
+        return self.compared == self.words and self.radius < (self.share + 1) * len(self.blocks) * self.words
+
+
+THREE = (((0, 22),), ((22, 21),), ((43, 21),))
+#: 4096 anchors a block and 16 rows for each fingerprint.
+SMALL = Cover(1, THREE, 1, RADIUS)
+#: 262,144 anchors a block and about 115 rows for each fingerprint: a tenth of the comparisons.
+LARGE = Cover(1, (((0, 23), (23, 7), (30, 2)), ((32, 23), (55, 7), (62, 2))), 2, RADIUS)
+#: Distinct fingerprints from which fewer comparisons outweigh more rows.
+LARGE_FROM = 50_000_000
+#: Of 128 bits 19 differ on average at a similarity of 0.8; 38 are 4.6 standard deviations above.
+WIDE = Cover(4, THREE, 1, 38, 2)
+SIMILARITY = 0.8
+#: Rounds in which the members of a cell's group meet one of them, before all pairs that are left.
+STARS = 2
 
 
 def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
@@ -62,125 +101,191 @@ def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
 
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     """``doc_id, fp`` (a signed long) of every row."""
+    bounded_batches(docs.sparkSession)
 
-    def hashed(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
+    @F.pandas_udf("long")
+    def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
+        give_back()
 
-    return docs.select("doc_id", F.pandas_udf(hashed, "long")(blank(text).cast("binary")).alias("fp"))
+    return docs.select("doc_id", hashed(blank(text).cast("binary")).alias("fp"))
 
 
-def syndrome(words: np.ndarray) -> np.ndarray:
-    """Remainder of each word, as a polynomial over two elements, by the generator."""
-    words = words.copy()
-    for bit in range(LENGTH - 1, 10, -1):
-        words ^= np.where(words >> bit & 1, GENERATOR << (bit - 11), 0)
+def syndrome(words: np.ndarray, length: int) -> np.ndarray:
+    """Remainder of each word, as a polynomial over two elements, by the code's generator."""
+    generator = CODES[length][0]
+    degree, words = generator.bit_length() - 1, words.copy()
+    for bit in range(length - 1, degree - 1, -1):
+        words ^= np.where(words >> bit & 1, generator << (bit - degree), 0)
     return words
 
 
+def code_length(width: int) -> int | None:
+    """The code for a part of so many bits; parts narrower than a code's information have none, each value is its own anchor."""
+    return next((n for n, least in ((7, 5), (23, 13)) if least <= width <= n), None)
+
+
 @functools.cache
-def cover() -> tuple[np.ndarray, np.ndarray]:
-    """For each syndrome the differences to all anchors within the covering radius plus one, nearest first, and their number."""
-    found: list[list[int]] = [[] for _ in range(2048)]
-    for weight in range(COVERING + 2):
-        errors = np.array([sum(1 << b for b in bits) for bits in combinations(range(LENGTH), weight)])
-        for s, e in zip(syndrome(errors).tolist(), errors.tolist()):
-            found[s].append(e)
-    size = np.array([len(x) for x in found])
-    table = np.zeros((2048, size.max()), np.int64)
-    for s, x in enumerate(found):
+def part_cover(width: int, share: int) -> tuple[int, list[list[list[int]]]]:
+    """Bits of an anchor; for each syndrome and each number of changed bits up to the share, the differences to the anchors reached."""
+    length = code_length(width)
+    radius = CODES[length][1] if length else 0
+    n = 1 << CODES[length][0].bit_length() - 1 if length else 1
+    found: list[list[list[int]]] = [[[] for _ in range(share + 1)] for _ in range(n)]
+    for weight in range(radius + share + 1):
+        errors = np.array([sum(1 << b for b in bits) for bits in combinations(range(length or width), weight)], np.int64)
+        for s, e in zip(syndrome(errors, length).tolist() if length else [0] * len(errors), errors.tolist()):
+            found[s][max(0, weight - radius)].append(e)
+    return length or width, found
+
+
+@functools.cache
+def cover(widths: tuple[int, ...], share: int) -> tuple[np.ndarray, np.ndarray]:
+    """For the syndromes of a block's parts the differences to all anchors it is replicated to, its home first, and their number."""
+    parts = [part_cover(w, share) for w in widths]
+    shifts = np.cumsum([0, *(bits for bits, _ in parts[:-1])]).tolist()
+    levels = [x for x in product(range(share + 1), repeat=len(parts)) if sum(x) <= share]
+    rows = []
+    for own in product(*(found for _, found in parts)):
+        reached = sorted((sum(level), d) for level in levels for d in product(*(f[n] for f, n in zip(own, level))))
+        rows.append([sum(e << at for e, at in zip(d, shifts)) for _, d in reached])
+    size = np.array([len(x) for x in rows])
+    table = np.zeros((len(rows), size.max()), np.int64)
+    for s, x in enumerate(rows):
         table[s, : len(x)] = x
     return table, size
 
 
-def anchors(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row number, anchor key, and whether it is the home, for each fingerprint and anchor."""
-    table, size = cover()
-    rows, keys, homes = [], [], []
-    for k, (start, width) in enumerate(BLOCKS):
-        value = (fps.view(np.uint64) >> np.uint64(start) & np.uint64((1 << width) - 1)).astype(np.int64)
-        s = syndrome(value)
+def anchors(fps: np.ndarray, how: Cover) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Row number, anchor key, and whether it is the home, for each fingerprint and anchor, one block at a time."""
+    for k, (word, block) in enumerate(product(range(how.words), how.blocks)):
+        bits, value, s, shift = fps[:, word].view(np.uint64), np.zeros(len(fps), np.int64), np.zeros(len(fps), np.int64), 0
+        for start, width in block:
+            own = (bits >> np.uint64(start) & np.uint64((1 << width) - 1)).astype(np.int64)
+            length, found = part_cover(width, how.share)
+            s = s * len(found) + (syndrome(own, length) if code_length(width) else 0)
+            value |= own << shift
+            shift += length
+        table, size = cover(tuple(width for _, width in block), how.share)
         n = size[s]
         row = np.repeat(np.arange(len(fps)), n)
         nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        rows.append(row)
-        keys.append((value[row] ^ table[s[row], nth]) | k << LENGTH)
-        homes.append(nth == 0)
-    return np.concatenate(rows), np.concatenate(keys), np.concatenate(homes)
+        yield row, (value[row] ^ table[s[row], nth]) | k << 40, nth == 0
+
+
+def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
+    x = (x.astype(np.uint64) + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
 
 
 def star_links(home: np.ndarray, near: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links, as a star for each component, of the pairs within ``radius`` of a home and a near fingerprint."""
-    nodes = np.unique(np.concatenate((home, near)))
-    label, at_near = np.arange(len(nodes)), np.searchsorted(nodes, near)
+    """Links, as a star for each component, of the pairs of a home and a near row within ``radius`` bits.
+
+    The first column is the id, the others are the words compared.
+    """
+    nodes = np.unique(np.concatenate((home[:, 0], near[:, 0])))
+    label, at_near, at_home = np.arange(len(nodes)), np.searchsorted(nodes, near[:, 0]), np.searchsorted(nodes, home[:, 0])
+    own = np.zeros(len(nodes), bool)
+    own[at_near] = True
+    words = near[:, 1:].view(np.uint64)
     for part in range(0, len(home), 128):
-        mine = home[part : part + 128]
-        # a home's own copy may stand in another column: 0 bits turn to 255, so only others count
-        close = np.bitwise_count(mine.view(np.uint64)[:, None] ^ near.view(np.uint64)[None, :]) - np.uint8(1) < radius
-        for k in np.flatnonzero(close.any(axis=1)):
-            labels = np.unique(np.append(label[at_near[close[k]]], label[np.searchsorted(nodes, mine[k])]))
+        mine, apart = home[part : part + 128, 1:].view(np.uint64), np.uint16(0)
+        for w in range(words.shape[1]):
+            apart = apart + np.bitwise_count(mine[:, w, None] ^ words[None, :, w])
+        close = apart <= radius
+        # a home's own copy may stand in this cell or in another column
+        for k in np.flatnonzero(close.sum(axis=1) > own[at_home[part : part + 128]]):
+            labels = np.unique(np.append(label[at_near[close[k]]], label[at_home[part + k]]))
             if len(labels) > 1:
                 label[np.isin(label, labels)] = labels[0]
     member = np.flatnonzero(label != np.arange(len(nodes)))
     return nodes[member], nodes[label[member]]
 
 
-def near_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``u, v``: links whose components are those of all pairs of ``fp`` within ``radius`` bits."""
-    if radius >= 2 * len(BLOCKS):
-        raise ValueError("the blocks cover a smaller radius only")
+def near_links(points: DataFrame, how: Cover = SMALL) -> DataFrame:
+    """``cell, u, v``: links whose components are those of all pairs of ``points(id, w0, w1, ...)`` that meet within the radius.
+
+    Anchors with many rows are broadcast; there are as many anchors as the codes have words, however many points.
+    """
+    spark = points.sparkSession
+    bounded_batches(spark)
+    names = [f"w{k}" for k in range(how.words)]
+    carried = ["id", *names[: how.compared]]
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for _, keys, home in anchors(batch[names].to_numpy(np.int64), how):
+                anchor, at = np.unique(keys, return_inverse=True)
+                yield pd.DataFrame({"anchor": anchor, "n": np.bincount(at, minlength=len(anchor)), "n_home": np.bincount(at, home, len(anchor)).astype(np.int64)})
+
+    counts = points.select(names).mapInPandas(count, "anchor long, n long, n_home long").groupBy("anchor").agg(F.sum("n").alias("n"), F.sum("n_home").alias("n_home"))
+    large = counts.select("anchor", F.ceil(F.col("n_home") / CELL_HOME).alias("h"), F.ceil(F.col("n") / CELL_NEAR).alias("r")).filter("h > 1 or r > 1").orderBy("anchor").toArrow()
+    shared = spark.sparkContext.broadcast([large[c].to_numpy().astype(np.int64) for c in ("anchor", "h", "r")])
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        crowded, rows_of, columns_of = shared.value
         for batch in batches:
-            fp = batch["fp"].to_numpy(np.int64)
-            rows, keys, homes = anchors(fp)
-            yield pd.DataFrame({"anchor": keys, "home": homes, "fp": fp[rows]})
-
-    covered = materialize(fps.select("fp").mapInPandas(spread, "anchor long, home boolean, fp long"), "anchors")
-    counts = covered.groupBy("anchor").agg(F.count("*").alias("n"), F.count_if("home").alias("n_home"))
-    cells = counts.select("anchor", F.ceil(F.col("n_home") / CELL_HOME).cast("int").alias("h"), F.ceil(F.col("n") / CELL_NEAR).cast("int").alias("r"))
-    large = materialize(cells.filter("h > 1 or r > 1"), "large-anchors")
-    dealt = covered.join(large, "anchor", "left").select("anchor", "home", "fp", F.coalesce("h", F.lit(1)).alias("h"), F.coalesce("r", F.lit(1)).alias("r"))
-    along = F.pmod(F.xxhash64("fp"), F.greatest("h", F.lit(1))).cast("int")
-    across = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("r")).cast("int")
-    # a home stands in a row of the grid, a replica in a column
-    homes = dealt.filter("home").select("anchor", along.alias("i"), F.explode(F.sequence(F.lit(0), F.col("r") - 1)).alias("j"), F.lit(True).alias("home"), "fp")
-    nears = dealt.filter("h > 0").select("anchor", F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("i"), across.alias("j"), F.lit(False).alias("home"), "fp")
-    grid = homes.unionByName(nears)
-    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    grid = grid.repartition(parts, "anchor", "i", "j").sortWithinPartitions("anchor", "i", "j")
+            fps, own = batch[names].to_numpy(np.int64), batch[carried].to_numpy(np.int64)
+            along, across = mixed(own[:, 0], 1), mixed(own[:, 0], 2)
+            for row, keys, home in anchors(fps, how):
+                h, r = np.ones(len(keys), np.int64), np.ones(len(keys), np.int64)
+                if len(crowded):
+                    at = np.minimum(np.searchsorted(crowded, keys), len(crowded) - 1)
+                    found = crowded[at] == keys
+                    h[found], r[found] = rows_of[at[found]], columns_of[at[found]]
+                # a home stands in a row of the grid, a replica in a column
+                for copies, only, is_home in ((r, home, True), (h, np.ones(len(keys), bool), False)):
+                    at = np.repeat(np.flatnonzero(only), copies[only])
+                    nth = np.arange(len(at)) - np.repeat(np.cumsum(copies[only]) - copies[only], copies[only])
+                    hashed = along if is_home else across
+                    fixed = (hashed[row[at]] % np.maximum(h if is_home else r, 1)[at].astype(np.uint64)).astype(np.int64)
+                    i, j = (fixed, nth) if is_home else (nth, fixed)
+                    cell = mixed(mixed(mixed(keys[at]) + i.astype(np.uint64)) + j.astype(np.uint64)).view(np.int64)
+                    yield pd.DataFrame({"cell": cell, "home": is_home} | {c: own[row[at], k] for k, c in enumerate(carried)})
+
+    kinds = ", ".join(["cell long, home boolean", *(f"{c} long" for c in carried)])
+    grid = points.select(*dict.fromkeys((*carried, *names))).mapInPandas(spread, kinds).repartition("cell").sortWithinPartitions("cell")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def links(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
-            cell = pdf[["anchor", "i", "j"]].to_numpy(np.int64)
-            bounds = np.flatnonzero(np.any(cell[1:] != cell[:-1], axis=1)) + 1
-            home, fp, out = pdf["home"].to_numpy(bool), pdf["fp"].to_numpy(np.int64), []
+            cell, home, rows, out = pdf["cell"].to_numpy(), pdf["home"].to_numpy(bool), pdf[carried].to_numpy(np.int64), []
+            bounds = np.flatnonzero(cell[1:] != cell[:-1]) + 1
             for a, b in zip([0, *bounds], [*bounds, len(pdf)]):
                 h = home[a:b]
                 if h.any() and not h.all():
-                    out.append(star_links(fp[a:b][h], fp[a:b][~h], radius))
+                    u, v = star_links(rows[a:b][h], rows[a:b][~h], how.radius)
+                    out.append((np.full(len(u), cell[a]), u, v))
             if out:
-                yield pd.DataFrame({"u": np.concatenate([x for x, _ in out]), "v": np.concatenate([x for _, x in out])})
+                yield pd.DataFrame({k: np.concatenate(x) for k, x in zip(("cell", "u", "v"), zip(*out))})
 
-        rest = None
+        rest: list[pd.DataFrame] = []
         for batch in batches:
-            batch = batch if rest is None else pd.concat((rest, batch), ignore_index=True)
-            last = batch.iloc[-1] if len(batch) else None
-            if last is None:
+            if not len(batch):
                 continue
-            open_cell = (batch["anchor"] == last["anchor"]) & (batch["i"] == last["i"]) & (batch["j"] == last["j"])
-            yield from links(batch[~open_cell])
-            rest = batch[open_cell]
-        if rest is not None:
-            yield from links(rest)
+            ends = batch["cell"].to_numpy() == batch["cell"].iloc[-1]
+            if not ends.all() or (rest and rest[-1]["cell"].iloc[0] != batch["cell"].iloc[0]):
+                yield from links(pd.concat((*rest, batch[~ends]), ignore_index=True))
+                rest = []
+            rest.append(batch[ends])
+        if rest:
+            yield from links(pd.concat(rest, ignore_index=True))
+        give_back()
 
-    return grid.mapInPandas(compare, "u long, v long")
+    return grid.mapInPandas(compare, "cell long, u long, v long")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """``doc_id, fp, component_id``: the least id that is reachable by links of at most ``radius`` bits."""
+def near_duplicates(docs: DataFrame, text: str = "text", how: Cover | None = None) -> DataFrame:
+    """``doc_id, fp, component_id``: the least id that is reachable by links of at most ``how.radius`` bits."""
     hashed = materialize(fingerprints(docs, text), "fingerprints")
     distinct = materialize(hashed.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    stars = connected_components(near_links(distinct, radius))
+    if how is None:
+        how = SMALL if distinct.count() < LARGE_FROM else LARGE
+    if not how.keeps_all():
+        raise ValueError("the blocks cover a smaller radius only")
+    links = near_links(distinct.select(F.col("fp").alias("id"), F.col("fp").alias("w0")), how)
+    stars = connected_components(links.select("u", "v"))
     rooted = distinct.join(stars.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = materialize(rooted, "rooted")
     least = materialize(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "components")
@@ -190,3 +295,117 @@ def near_duplicates(docs: DataFrame, text: str = "text", radius: int = RADIUS) -
 
 def hex_fingerprint(column: str = "fp"):
     return F.lower(F.lpad(F.hex(column), 16, "0"))
+
+
+# texts of a similarity ------------------------------------------------------------------------------------------------
+
+_MIX = np.random.default_rng(11).integers(0, 1 << 63, WIDE.words, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def wide_fingerprint(grams: np.ndarray) -> np.ndarray:
+    """SimHash of ``WIDE.words`` words over a set of shingle hashes."""
+    grams = np.unique(grams)
+    counts = np.zeros(64 * WIDE.words, np.int64)
+    for at in range(0, len(grams), 255):
+        x = grams[at : at + 255, None] * _MIX
+        x = (x ^ (x >> np.uint64(32))) * _MIX
+        x ^= x >> np.uint64(29)
+        # at most 255 rows, so counts of a byte suffice
+        counts += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(counts * 2 > len(grams), bitorder="little").view(np.int64)
+
+
+def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``doc_id, t, text, node, w0, ...``: nodes are equal for texts of the same words, ``t`` is the text's key."""
+    bounded_batches(docs.sparkSession)
+    names = [f"w{k}" for k in range(WIDE.words)]
+
+    @F.pandas_udf(", ".join(f"{c} long" for c in ("node", *names)))
+    def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        cache = BoundedCache(lambda w: xxhash.xxh64_intdigest(w, 7), 100_000)
+        for texts in batches:
+            rows = []
+            for t in texts:
+                tokens = t.lower().split()
+                words = np.fromiter(map(cache.__getitem__, tokens), np.uint64, len(tokens))
+                node = int(np.uint64(xxhash.xxh64_intdigest(b" ".join(tokens), 5)).view(np.int64))
+                rows.append((node, *wide_fingerprint(shingles(words)).tolist()))
+            yield pd.DataFrame(rows, columns=["node", *names])
+        del cache
+        give_back()
+
+    body = blank(text)
+    return docs.select("doc_id", text_key(text).alias("t"), body.alias("text"), read(body.cast("binary")).alias("s")).select("doc_id", "t", "text", "s.*")
+
+
+@functools.lru_cache(64)
+def shingle_set(text: bytes, words: int = 5) -> frozenset:
+    tokens = text.lower().split()
+    return frozenset(zip(*(tokens[k:] for k in range(words)))) if len(tokens) >= words else frozenset([tuple(tokens)])
+
+
+def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
+    out = []
+    for x, y in zip(map(shingle_set, a), map(shingle_set, b)):
+        both = len(x & y)
+        out.append(both / (len(x) + len(y) - both))
+    return pd.Series(out, dtype=float)
+
+
+def similar_links(signed: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``u, v``: links whose components are those of all pairs of nodes that meet and have at least the similarity.
+
+    What a cell finds near each other is a group; its members are first compared with one of them, then those that are still in
+    different components with each other, so a large group of copies costs a star and no pair of a group stays undecided.
+    """
+    names = [f"w{k}" for k in range(WIDE.words)]
+    points = materialize(signed.groupBy(F.col("node").alias("id")).agg(*(F.first(w).alias(w) for w in names)), "points")
+    stars = materialize(near_links(points, WIDE), "stars")
+    group = F.xxhash64("cell", "v").alias("key")
+    members = materialize(stars.select(group, F.col("u").alias("node")).unionByName(stars.select(group, F.col("v").alias("node"))).distinct(), "members")
+    wanted = materialize(members.select("node").distinct(), "proposed")
+    texts = signed.select("node", "text").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").cast("binary").alias("text"))
+    texts = materialize(texts, "texts")
+
+    def decided(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
+        return both.select("u", "v", (F.pandas_udf(jaccard, "double")("a", "b") >= similarity).alias("near"))
+
+    empty = members.sparkSession.createDataFrame([], "u long, v long, near boolean")
+    known, links, rooted = empty, empty.select("u", "v"), members.withColumn("root", F.col("node"))
+    for turn in range(STARS + 1):
+        if turn:
+            roots = materialize(connected_components(links), "roots")
+            rooted = materialize(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+        open_keys = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("z"), F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(turn))).alias("hub")).filter("a < z")
+        open_keys = materialize(open_keys.select("key", F.col("hub.node").alias("hub"), F.col("hub.root").alias("hub_root")), "open")
+        left = rooted.join(open_keys, "key")
+        if turn < STARS:
+            pairs = left.filter("root <> hub_root").select(F.col("hub").alias("x"), F.col("node").alias("y"))
+        else:
+            other = left.select("key", F.col("node").alias("y"), F.col("root").alias("other"))
+            pairs = left.join(other, "key").filter("root < other").select(F.col("node").alias("x"), "y")
+        pairs = pairs.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
+        fresh = materialize(decided(materialize(pairs.join(known, ["u", "v"], "left_anti"), "pairs")), "decided")
+        known = known.unionByName(fresh)
+        links = known.filter("near").select("u", "v")
+    return links
+
+
+def similar_groups(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """``doc_id, t, root``: rows, told apart by id and text key, of one root are linked by texts of at least the similarity."""
+    signed = materialize(signatures(docs, text), "signatures")
+    roots = materialize(connected_components(similar_links(signed, similarity)), "roots")
+    return signed.select("doc_id", "t", "node").join(roots, "node", "left").select("doc_id", "t", F.coalesce("root", "node").alias("root"))
+
+
+def first_of_each_group(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """The row with the least id (then the least text key; rows without an id come last) of each group, with all its columns, once."""
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")
+    first = similar_groups(docs, text, similarity).groupBy("root").agg(F.min(order).alias("k")).select("k.none", F.coalesce(F.col("k.doc_id").cast("string"), F.lit("")).alias("id"), "k.t")
+    first = materialize(first.distinct(), "first").alias("f")
+    names = [free_name(docs, c) for c in ("none", "id", "t")]
+    keys = (F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text_key(text))
+    keyed = docs.select("*", *(k.alias(n) for k, n in zip(keys, names))).alias("d")
+    same = functools.reduce(lambda a, b: a & b, (F.col(f"d.{n}") == F.col(f"f.{c}") for n, c in zip(names, ("none", "id", "t"))))
+    return keyed.join(first, same, "left_semi").dropDuplicates(names).drop(*names)

@@ -415,7 +415,8 @@ def test_fingerprints_and_groups(spark, odd_docs, no_docs, some_docs):
 
 
 @pytest.mark.parametrize("cells", [(2048, 8192), (4, 9)])
-def test_links_lose_no_pair(spark, monkeypatch, cells):
+@pytest.mark.parametrize("how", [simhash_dedup.SMALL, simhash_dedup.LARGE])
+def test_links_lose_no_pair(spark, monkeypatch, cells, how):
     monkeypatch.setattr(simhash_dedup, "CELL_HOME", cells[0])
     monkeypatch.setattr(simhash_dedup, "CELL_NEAR", cells[1])
     rng = np.random.default_rng(6)
@@ -428,8 +429,8 @@ def test_links_lose_no_pair(spark, monkeypatch, cells):
             fps.add(at)
     fps = sorted(fps)
     signed = np.array(fps, np.uint64).view(np.int64).tolist()
-    links = simhash_dedup.near_links(spark.createDataFrame([(x,) for x in signed], "fp long"))
-    root = {r["node"]: r["root"] for r in connected_components(links).collect()}
+    links = simhash_dedup.near_links(spark.createDataFrame([(x, x) for x in signed], "id long, w0 long"), how)
+    root = {r["node"]: r["root"] for r in connected_components(links.select("u", "v")).collect()}
     label = brute_components(fps)
     groups = collections.defaultdict(set)
     for x, k in zip(signed, label):
@@ -442,14 +443,14 @@ def test_isolated_pairs_meet_in_a_crowded_anchor(spark, monkeypatch):
     rng = np.random.default_rng(9)
     fps = set()
     for k in range(60):  # the three blocks are words of few bits, so the pairs crowd around the same anchors
-        at = sum(1 << int(b) for start, width in simhash_dedup.BLOCKS for b in start + rng.choice(width, 3, replace=False))
+        at = sum(1 << int(b) for ((start, width),) in simhash_dedup.THREE for b in start + rng.choice(width, 3, replace=False))
         fps |= {at, at ^ sum(1 << int(b) for b in rng.choice(64, 1 + k % 4, replace=False))}
     fps = sorted(fps)
     signed = np.array(fps, np.uint64).view(np.int64)
-    _, keys, _ = simhash_dedup.anchors(signed)
+    keys = np.concatenate([keys for _, keys, _ in simhash_dedup.anchors(signed[:, None], simhash_dedup.SMALL)])
     assert np.unique(keys, return_counts=True)[1].max() > 32
-    links = simhash_dedup.near_links(spark.createDataFrame([(x,) for x in signed.tolist()], "fp long"))
-    root = {r["node"]: r["root"] for r in connected_components(links).collect()}
+    links = simhash_dedup.near_links(spark.createDataFrame([(x, x) for x in signed.tolist()], "id long, w0 long"))
+    root = {r["node"]: r["root"] for r in connected_components(links.select("u", "v")).collect()}
     groups = collections.defaultdict(set)
     for x, k in zip(signed.tolist(), brute_components(fps)):
         groups[k].add(root.get(x, x))
@@ -457,11 +458,57 @@ def test_isolated_pairs_meet_in_a_crowded_anchor(spark, monkeypatch):
 
 
 def test_cover_is_a_perfect_code():
-    table, size = simhash_dedup.cover()
+    table, size = simhash_dedup.cover((23,), 1)
     assert (np.bitwise_count(table[:, 0]) <= 3).all() and np.bincount(np.bitwise_count(table[:, 0])).tolist() == [1, 23, 253, 1771]
     assert size.sum() == 1 + 23 + 253 + 1771 + 8855
 
 
+@pytest.mark.parametrize("how", [simhash_dedup.SMALL, simhash_dedup.LARGE])
+def test_cover_is_complete(how):
+    assert how.keeps_all()
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 1 << 63, (400, 1), np.int64)
+    y = x.copy()
+    for k in range(len(y)):
+        for b in rng.choice(64, how.radius, replace=False):
+            y[k, 0] ^= np.uint64(1 << int(b)).view(np.int64)
+    homes, reached = (collections.defaultdict(set) for _ in range(2))
+    for fps, into, only in ((x, homes, True), (y, reached, False)):
+        for row, keys, home in simhash_dedup.anchors(fps, how):
+            for r, key in zip(row[home | (not only)].tolist(), keys[home | (not only)].tolist()):
+                into[r].add(key)
+    assert all(homes[k] & reached[k] and len(homes[k]) == len(how.blocks) for k in range(len(x)))
+
+
+def test_texts_of_the_least_similarity_meet():
+    rng = np.random.default_rng(8)
+    pairs, n_met = [], 0
+    for _ in range(1500):
+        words = rng.integers(1, 1 << 62, int(rng.integers(30, 400)), np.uint64)
+        other = words.copy()
+        while True:  # words change until one more would go below the similarity
+            c = other.copy()
+            c[rng.integers(0, len(c))] = rng.integers(1, 1 << 62, dtype=np.uint64)
+            a, b = decontaminate.shingles(words), decontaminate.shingles(c)
+            if len(np.intersect1d(a, b)) / len(np.union1d(a, b)) < simhash_dedup.SIMILARITY:
+                break
+            other = c
+        pairs.append([simhash_dedup.wide_fingerprint(decontaminate.shingles(z)) for z in (words, other)])
+    x, y = np.array(pairs).transpose(1, 0, 2)
+    keys = [[(set(), set()) for _ in pairs] for _ in range(2)]
+    for side, fps in enumerate((x, y)):
+        for row, key, home in simhash_dedup.anchors(np.ascontiguousarray(fps), simhash_dedup.WIDE):
+            for r, k, h in zip(row.tolist(), key.tolist(), home.tolist()):
+                keys[side][r][1].add(k)
+                if h:
+                    keys[side][r][0].add(k)
+    how = simhash_dedup.WIDE
+    for k in range(len(pairs)):
+        apart = np.bitwise_count((x[k, : how.compared] ^ y[k, : how.compared]).view(np.uint64)).sum()
+        n_met += bool(apart <= how.radius and (keys[0][k][0] & keys[1][k][1] or keys[1][k][0] & keys[0][k][1]))
+    assert n_met >= 0.995 * len(pairs)
+
+
 def test_components_of_paths_and_hubs(spark):
     links = [(k, k + 1) for k in range(1, 60)] + [(100, k) for k in range(101, 160)] + [(5, 5), (7, 8)]
     got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(links, "u long, v long")).collect()}

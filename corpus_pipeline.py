@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import decontaminate, langid, packing, shingle_dedup, suffix_dedup
-from folioscope.llm.common import blank, id_bucket, materialize
+from folioscope.llm import decontaminate, langid, packing, simhash_dedup, suffix_dedup
+from folioscope.llm.common import blank, free_name, id_bucket, materialize, quoted
 
 #: Share of a text's trigrams that its language must explain for it to stay.
 LEAST_LANGUAGE = 0.2
@@ -20,44 +20,56 @@ LEAST_LANGUAGE = 0.2
 PASSAGE = 250
 
 
-def _same_columns(out: DataFrame, docs: DataFrame) -> DataFrame:
-    return out.select(*docs.columns)
-
-
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop texts in no known language, and without a letter; fill in a missing language."""
+    """Drop texts in no known language, and without a letter; fill in a missing language.
+
+    A null or empty text has no letter and goes; rows without an id and
+    repeated rows are judged like any other; an empty table stays empty.
+    """
     model = langid.train(docs, id_bucket("doc_id", 3) != 1)
-    found = langid.predict(docs, model, into="_language")
-    known = found.filter((F.col("_language.lang_pred") != langid.UNKNOWN) & (F.col("_language.score") >= LEAST_LANGUAGE))
-    return _same_columns(known.withColumn("lang", F.coalesce("lang", "_language.lang_pred")), docs)
+    found = free_name(docs, "language")
+    judged = langid.predict(docs, model, into=found)
+    known = judged.filter((F.col(f"{found}.lang_pred") != langid.UNKNOWN) & (F.col(f"{found}.score") >= LEAST_LANGUAGE))
+    filled = F.coalesce("lang", f"{found}.lang_pred").alias("lang")
+    return known.select(*(filled if c == "lang" else F.col(quoted(c)) for c in docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of five-word similarity of 0.8 or more: the one with the least id."""
-    groups = shingle_dedup.near_duplicates(docs)
-    first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.alias("d").join(first.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")), "left_semi")
-    # rows that repeat an id, or have none, are told apart by their text
-    once = kept.withColumn("_text", F.xxhash64(blank("text"))).dropDuplicates(["doc_id", "_text"])
-    return _same_columns(once, docs)
+    """Keep one document of each group of five-word similarity of 0.8 or more: the one with the least id.
+
+    Of a group whose rows have no id, the row with the least text key stays;
+    of rows that repeat an id and a text, one.  Null and empty texts are alike.
+    """
+    return simhash_dedup.first_of_each_group(docs)
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut every repeated passage of ``PASSAGE`` bytes; drop documents of which nothing is left."""
+    """Cut every repeated passage of ``PASSAGE`` bytes; drop documents of which nothing is left.
+
+    Null and empty texts stay, as empty ones; repeated rows lose what they
+    share; characters that a cut goes through go as a whole.
+    """
     rest = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
     cut = suffix_dedup.without_repeats(docs, columns=rest, length=PASSAGE)
-    return _same_columns(cut.withColumn("n_chars", F.length(blank("text")).cast("long")), docs)
+    return cut.select(*(F.length(blank("text")).cast("long").alias(c) if c == "n_chars" else F.col(quoted(c)) for c in docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark item."""
-    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = materialize(decontaminate.contaminated(docs, benchmark).select("doc_id"), "contaminated")
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """Drop documents that hold a benchmark item.
+
+    Rows are told apart by id and text, so a row without an id is judged too,
+    and a clean row stays although another of its id goes; null and empty
+    texts and items match nothing.
+    """
+    return decontaminate.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack what is left into sequences of 2048 tokens."""
+    """Pack what is left into sequences of 2048 tokens.
+
+    A null or empty text is the end token alone; repeated rows and rows without
+    an id are packed once each.
+    """
     return packing.pack(packing.token_pieces(docs))
 
 

@@ -11,7 +11,10 @@ The trees are fitted on a bounded sample of pages whose markup names its parts
 (article, nav, footer and so on: weak labels), and on a few labelled examples.
 
 Defined results: null and empty html give the empty text; unclosed, stray and
-cut-off tags are tolerated; scripts, styles, comments and the head never count.
+cut-off tags are tolerated; scripts, styles, comments and the head never count;
+text directly in the body, or in a page without markup, is a block of its own
+between the elements around it and judged like any other; repeated rows get the
+same text each.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blank, hash_sample
+from .common import blank, bounded_batches, give_back, hash_sample
 
 #: Expected bound of the pages that the trees are fitted on, and of their nodes.
 TRAIN_PAGES, TRAIN_NODES = 400, 40_000
@@ -41,10 +44,21 @@ ENDS_P = frozenset("address article aside blockquote details div dl fieldset fig
 #: Open elements that a start tag of the same family ends.
 ENDS_SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 KINDS = ("p", "h1", "h2", "h3", "h4", "li", "ul", "ol", "div", "section", "article", "main", "nav", "header", "footer", "aside", "form", "table", "tr", "td", "figure", "blockquote", "pre", "body")
-AGAINST = re.compile(r"nav|menu|header|footer|sidebar|side-bar|aside|\bads?\b|advert|promo|sponsor|banner|cookie|consent|notice|alert|popup|modal|comment|disqus|reply|share|social|related|recommend|breadcrumb|login|signup|subscri|newsletter|widget|toolbar|pagination|pager|copyright|legal|masthead|search|form")
-IN_FAVOUR = re.compile(r"article|content|main|post|entry|story|body|text|prose")
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
-TOKENS = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+def _words(*stems: str) -> re.Pattern:
+    """Any of the words as a whole part of a name: ``nav`` in ``top-nav`` and ``nav_2``, not in ``navy``."""
+    return re.compile(rf"(?<![a-z])(?:{'|'.join(stems)})s?(?![a-z])")
+
+
+#: Parts of names, in the languages of the pages, that speak against main text and for it.
+AGAINST = _words(
+    "nav", "navbar", "navi", "navigation", "topnav", "menu", "header", "footer", "sidebar", "side", "aside", "ad", "advert", "adverti[sz]ement", "adverti[sz]ing", "promo", "promotion", "sponsor(?:ed)?", "banner", "cookie", "consent", "notice", "alert", "popup", "modal", "dialog", "comment", "disqus", "repl(?:y|ies)", "share", "sharing", "social", "related", "recommend(?:ed|ation)?", "breadcrumb", "login", "signup", "subscri(?:be|ption)", "newsletter", "widget", "toolbar", "pagination", "pager", "copyright", "legal", "masthead", "search", "form",
+    "fusszeile", "kopfzeile", "werbung", "anzeige", "kommentar", "kommentare", "hinweis", "pied", "publicite", "commentaire", "pie", "publicidad", "anuncio", "comentario", "barra",
+)
+IN_FAVOUR = _words("article", "content", "main", "post", "entry", "story", "body", "text", "prose", "artikel", "inhalt", "beitrag", "contenu", "contenido", "articulo")
+#: Quotes delimit a value directly after an equals sign only.
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>][^\s>]*+)?)*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
+ATTRIBUTE = re.compile(r"([^\s/>=]++)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++))")
+NAMING = frozenset(("class", "id", "role"))
 SPACE = re.compile(r"\s+")
 
 
@@ -63,23 +77,59 @@ class Page:
     runs: list[tuple[int, str]] = field(default_factory=list)
 
 
+#: Text directly in these stands in a block of its own, between the elements around it.
+LOOSE = frozenset(("#root", "html", "body"))
+
+
+def attribute_tokens(text: str) -> str:
+    """Values of the attributes that name an element, in lower case."""
+    return " ".join(a or b or c for name, a, b, c in ATTRIBUTE.findall(text) if name.lower() in NAMING).lower()
+
+
 def read_page(html: str) -> Page:
     page, stack, inline, at, links, head = Page(), [0], [], 0, 0, False
     tags, end = page.tag, len(html)
+    opened: dict[str, int] = {}
+    # place of the open paragraph in the stack (there is one at most), and the open block of loose text
+    paragraph = loose = 0
+
+    def add(name: str, tokens: str) -> int:
+        page.parent.append(stack[-1])
+        page.depth.append(len(stack))
+        page.end.append(len(tags) + 1)
+        page.linked.append(0)
+        page.inline.append(0)
+        page.tokens.append(tokens)
+        tags.append(name)
+        return len(tags) - 1
+
+    def place() -> int:
+        """The node that text stands in."""
+        return loose if loose and tags[stack[-1]] in LOOSE else stack[-1]
 
     def text(a: int, b: int) -> None:
+        nonlocal loose
         if a < b and not head:
             run = entities.unescape(html[a:b])
-            page.runs.append((stack[-1], run))
+            blank_run = not run.strip()
+            if tags[stack[-1]] in LOOSE and not loose:
+                if blank_run:
+                    return
+                loose = add("p", "")
+            page.runs.append((place(), run))
             if links:
-                page.linked[stack[-1]] += len(run.strip())
+                page.linked[place()] += len(run.strip())
 
     def close(depth: int) -> None:
-        nonlocal links
+        nonlocal links, paragraph, loose
         while len(stack) > depth:
-            page.end[stack.pop()] = len(tags)
+            k = stack.pop()
+            page.end[k] = len(tags)
+            opened[tags[k]] = opened.get(tags[k], 1) - 1
+        if paragraph >= depth:
+            paragraph = 0
         inline.clear()
-        links = 0
+        links = loose = 0
 
     while at < end:
         found = TAG.search(html, at)
@@ -100,7 +150,7 @@ def read_page(html: str) -> Page:
                     inline.remove(name)
                     inline.reverse()
                     links -= name == "a"
-            else:
+            elif opened.get(name, 0) > 0:
                 for k in range(len(stack) - 1, 0, -1):
                     if tags[stack[k]] == name:
                         close(k)
@@ -111,34 +161,32 @@ def read_page(html: str) -> Page:
             at = stop.end() if stop else end
             continue
         if name in VOID:
-            if name in ("br", "hr"):
-                page.runs.append((stack[-1], " "))
+            if name == "hr":
+                loose = 0
+            if name in ("br", "hr") and tags[place()] not in LOOSE:
+                page.runs.append((place(), " "))
             continue
         if name in INLINE:
             inline.append(name)
             links += name == "a"
-            page.inline[stack[-1]] += 1
+            page.inline[place()] += 1
             continue
         if name == "head":
             head = True
             continue
         if name == "body":
             head = False
-        if name in ENDS_P and "p" in (tags[k] for k in stack):
-            close(max(k for k in range(len(stack)) if tags[stack[k]] == "p"))
+        if name in ENDS_P and paragraph:
+            close(paragraph)
         for same in ENDS_SAME.get(name, ()):
             if tags[stack[-1]] == same:
                 close(len(stack) - 1)
-        page.parent.append(stack[-1])
-        page.depth.append(len(stack))
-        page.end.append(0)
-        page.linked.append(0)
-        page.inline.append(0)
-        page.tokens.append(" ".join("".join(x) for x in TOKENS.findall(found[3])).lower() if found[3] else "")
-        stack.append(len(tags))
-        tags.append(name)
+        if name == "p":
+            paragraph = len(stack)
+        stack.append(add(name, attribute_tokens(found[3]) if found[3] else ""))
+        opened[name] = opened.get(name, 0) + 1
         inline.clear()
-        links = 0
+        links = loose = 0
     close(0)
     return page
 
@@ -244,7 +292,7 @@ def boost(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> Trees:
 
 #: Parts that markup names: what is inside is, or isn't, main text.
 NAMED_MAIN, NAMED_OTHER = frozenset(("article", "main")), frozenset(("nav", "header", "footer", "aside", "form", "menu", "dialog"))
-OTHER_TOKENS = re.compile(r"\b(?:ads?|advert\w*|sidebar|comments?|cookie\S*|newsletter|related|share|social|menu|footer|header|navbar|promo\w*|banner|notice)\b")
+OTHER_TOKENS = _words("ad", "advert\\w*", "sidebar", "comment", "cookie", "newsletter", "related", "share", "social", "menu", "footer", "header", "navbar", "promo\\w*", "banner", "notice")
 
 
 def weak_labels(page: Page) -> np.ndarray:
@@ -296,6 +344,13 @@ EXAMPLES = tuple(
 )
 
 
+#: Text that stands directly in the body, and a page that is text alone.
+BARE = (f"<h1>A title of some words</h1>{_LINES * 3}<br><br>{_LINES * 2}<br>{_LINES}", f"{_LINES * 4}<br>{_LINES}", f"<h1>A title</h1>{_LINES * 2}<p>{_LINES * 2}</p>{_LINES}<ul><li>One point</li></ul>{_LINES * 2}")
+ALONE = ("Some words of a page.", "plain words", _LINES, _LINES * 5, f"{_LINES}<br><br>{_LINES * 2}", f"<b>A title</b><br>{_LINES}", f"<p>{_LINES}</p>", "<p>A few words</p>", f"<div>{_LINES}</div><div>{_LINES * 2}</div>", f"<center>{_LINES * 2}</center>")
+#: Names that say nothing, so structure alone has to tell.
+SILENT = ("a1", "row", "box-2", "performance", "col left", "")
+
+
 def labelled_examples() -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of pages made of each example: its other part before, after, beside and inside the main one."""
     xs, ys = [], []
@@ -309,6 +364,28 @@ def labelled_examples() -> tuple[np.ndarray, np.ndarray]:
             label[at : page.end[at]] = 0
             xs.append(node_features(page))
             ys.append(label)
+    for bare in BARE:
+        for _, other in EXAMPLES[:16]:
+            head = read_page(other)
+            for body in (f"{bare}{other}", f"{other}{bare}"):
+                page = read_page(f"<html><body>{body}</body></html>")
+                at = next(k for k in range(1, len(page.tag)) if (page.tag[k], page.tokens[k]) == (head.tag[1], head.tokens[1]) and page.end[k] - k == head.end[1] - 1)
+                label = np.ones(len(page.tag), int)
+                label[at : page.end[at]] = 0
+                xs.append(node_features(page))
+                ys.append(label)
+    for alone in ALONE:
+        for body in (alone, f"<html><body>{alone}</body></html>", f'<html><body><div class="page">{alone}</div></body></html>'):
+            page = read_page(body)
+            for _ in range(4):
+                xs.append(node_features(page))
+                ys.append(np.ones(len(page.tag), int))
+    for name in SILENT:
+        page = read_page(f'<html><body><article><h1>A title</h1><p class="{name}">{_LINES * 2}</p><div class="{name}"><p>{_LINES}</p></div></article><nav><ul>{_LINKS}</ul></nav></body></html>')
+        label = np.ones(len(page.tag), int)
+        label[page.tag.index("nav") :] = 0
+        xs.append(node_features(page))
+        ys.append(label)
     return np.concatenate(xs), np.concatenate(ys)
 
 
@@ -358,10 +435,9 @@ def decode(page: Page, p: np.ndarray) -> np.ndarray:
 
 def main_text(page: Page, accepted: np.ndarray) -> str:
     """The accepted blocks' texts in page order, white space made single, one line each."""
-    blocks, last, loose = [], None, ("#root", "html", "body")
-    previous = -1
+    blocks, previous = [], -1
     for node, run in page.runs:
-        if accepted[node] and page.tag[node] not in loose:
+        if accepted[node]:
             if node != previous:
                 blocks.append([])
             blocks[-1].append(run)
@@ -380,17 +456,21 @@ def extract_text(html: str, trees: Trees) -> str:
 
 def extract(pages: DataFrame, trees: Trees, html: str = "html", into: str = "main_text") -> DataFrame:
     """Add text column ``into``.  The trees' size is fixed (some kB), so they are broadcast."""
+    bounded_batches(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(trees)
 
-    def run(texts: pd.Series) -> pd.Series:
-        out = []
-        for part in range(0, len(texts), 64):
-            read = [read_page(t) for t in texts.iloc[part : part + 64]]
-            p = shared.value.probability(np.concatenate([node_features(x) for x in read]))
-            at = 0
-            for page in read:
-                out.append(main_text(page, decode(page, p[at : at + len(page.tag)])))
-                at += len(page.tag)
-        return pd.Series(out)
-
-    return pages.withColumn(into, F.pandas_udf(run, "string")(blank(html)))
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            out = []
+            for part in range(0, len(texts), 64):
+                read = [read_page(t) for t in texts.iloc[part : part + 64]]
+                p = shared.value.probability(np.concatenate([node_features(x) for x in read]))
+                at = 0
+                for page in read:
+                    out.append(main_text(page, decode(page, p[at : at + len(page.tag)])))
+                    at += len(page.tag)
+            yield pd.Series(out)
+        give_back()
+
+    return pages.withColumn(into, run(blank(html)))

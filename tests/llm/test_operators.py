@@ -214,10 +214,44 @@ def test_html_text(spark):
     odd = [(1, None), (2, ""), (3, "plain words"), (4, "<p>cut <b>off"), (5, "</div></p><<<"), (6, "<script>var x='<p>no</p>'"), (7, "<!-- open"), (8, "<div " * 3000)]
     df = spark.createDataFrame(odd, "page_id long, html string").withColumn("x", F.lit(1))
     got = {r["page_id"]: r["main_text"] for r in html_extract.extract(df, trees).collect()}
-    assert got[1] == got[2] == got[6] == got[7] == ""
+    assert got[1] == got[2] == got[6] == got[7] == "" and got[3] == "plain words"
     assert html_extract.extract(df.limit(0), html_extract.train(df.limit(0))).count() == 0
 
 
+LINE = "A tale of many words was told here, and it went on for long. Nobody knew how it would end. "
+MENU = '<ul class="menu">' + "".join(f'<li><a href="/{k}">Topic {k}</a></li>' for k in range(7)) + "</ul>"
+FOOT = '<div class="footer"><p>Copyright 2020 all rights reserved.</p></div>'
+#: Pages of templates that no example has, without an article element, and their main text.
+TEMPLATES = [
+    ("<html><body>Some plain words of a page.</body></html>", "Some plain words of a page."),
+    ("Some plain words", "Some plain words"),
+    (f"<html><body>{LINE * 3}<br><br>{LINE}</body></html>", f"{LINE * 3} {LINE}"),
+    (f"<html><body>{MENU}{LINE * 3}<br>{LINE}{FOOT}</body></html>", f"{LINE * 3} {LINE}"),
+    (f"<article><p title=it's>{LINE}</p><p data-x=a\"b>{LINE * 2}</p></article>", f"{LINE}\n{LINE * 2}"),
+    (f'<html><body><nav>{MENU}</nav><article><h1>T</h1><p class="performance">{LINE}</p><p>{LINE}</p></article></body></html>', f"T\n{LINE}\n{LINE}"),
+    (f'<html><body>{MENU}<div id="page"><div class="post"><h1>Head</h1><p>{LINE * 2}</p><p>{LINE}</p></div><div class="sidebar"><h3>More</h3>{MENU}</div></div>{FOOT}</body></html>', f"Head\n{LINE * 2}\n{LINE}"),
+    (f"<html><body><table><tr><td>{MENU}</td><td><h1>Head</h1><p>{LINE * 2}</p><p>{LINE}</p></td></tr></table>{FOOT}</body></html>", f"Head\n{LINE * 2}\n{LINE}"),
+    (f'<html><body><div class="x1"><div class="x2">{MENU}</div><div class="x3"><h2>Head</h2><p>{LINE * 2}</p><blockquote><p>{LINE}</p></blockquote></div><div class="comments"><div class="comment"><p>{LINE}</p></div></div></div></body></html>', f"Head\n{LINE * 2}\n{LINE}"),
+    (f'<html><body><div id="wrapper"><div id="header"><h1>My site</h1>{MENU}</div><div id="main"><h2>Head</h2>{LINE * 2}<p>{LINE}</p><ul><li>{LINE}</li></ul></div></div>{FOOT}</body></html>', f"Head\n{LINE * 2}\n{LINE}\n{LINE}"),
+    (f'<html><body><section class="entry-content"><h1>Head</h1><p>{LINE * 2}</p><pre>code here</pre></section><section class="related"><h3>Related</h3>{MENU}</section><form><p>Name</p></form></body></html>', f"Head\n{LINE * 2}\ncode here"),
+]
+
+
+def test_html_of_other_templates(spark):
+    trees = html_extract.train(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+    tidy = lambda t: "\n".join(" ".join(x.split()) for x in t.split("\n"))
+    rows = [(k, html, tidy(text)) for k, (html, text) in enumerate(TEMPLATES)]
+    df = spark.createDataFrame([*rows, rows[6]], "page_id long, html string, text string")
+    for r in html_extract.extract(df, trees).collect():
+        assert r["main_text"] == r["text"], r["page_id"]
+
+
+def test_html_is_read_in_linear_time():
+    for page in ("<p><div>" * 20_000, "<div>" * 20_000 + "</x>" * 50_000, '<a x="' * 50_000, "<" * 50_000, "<a " * 50_000):
+        html_extract.read_page(page)
+    assert html_extract.attribute_tokens(""" data-class="no" title='class=no' CLASS="Yes it" id=is""") == "yes it is"
+
+
 def test_html_decoding_is_consistent_and_best():
     page = html_extract.read_page("<body><div><p>a</p><ul><li>b<li>c</ul></div><nav><a>d</a></nav></body>")
     assert page.tag == ["#root", "body", "div", "p", "ul", "li", "li", "nav"] and page.parent == [-1, 0, 1, 2, 2, 4, 4, 1]

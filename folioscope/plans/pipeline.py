@@ -68,7 +68,7 @@ def run_pipeline(pages: DataFrame, actions: Sequence[dict[str, Any]], skips: Dat
         if conditions := action.get("conditions"):
             apply = rule(conditions, df.columns)
         if skips is not None:
-            own = F.broadcast(skips.filter(F.col("step") == step).select("book", "page", F.lit(True).alias("_skip")).distinct())
+            own = skips.filter(F.col("step") == step).select("book", "page", F.lit(True).alias("_skip")).distinct()
             df = df.join(own, ["book", "page"], "left")
             apply = apply & F.col("_skip").isNull()
         before = df.drop("_skip").columns

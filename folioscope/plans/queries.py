@@ -62,15 +62,21 @@ def skip_existing(spark, sf):
 
 @query("select archive, count(*) as n_pages, min(name) as first_name, max(name) as last_name from (select concat('Series ', book, ' v', lpad(cast(book % 100 as varchar), 2, '0'), '.cbz') as archive, name from v1) group by archive", "v1")
 def sink_pack(spark, sf):
-    """What each archive of the sink holds."""
-    p = view(spark, sf, "v1").withColumn("archive", F.concat(F.lit("Series "), c("book").cast("string"), F.lit(" v"), F.format_string("%02d", c("book") % 100), F.lit(".cbz")))
-    return p.groupBy("archive").agg(F.count("*").alias("n_pages"), F.min("name").alias("first_name"), F.max("name").alias("last_name"))
+    """What each archive holds, read back from the packs that the sink writes."""
+    p = view(spark, sf, "v1").select("name", F.concat(F.lit("Series "), c("book").cast("string"), F.lit(" v"), F.format_string("%02d", c("book") % 100), F.lit(".cbz")).alias("archive"))
+    path = scratch(spark, "packs")
+    archives.write_packs(p, path)
+    packs = spark.read.schema("name string, archive string").option("basePath", path).parquet(path)
+    return packs.groupBy("archive").agg(F.count("*").alias("n_pages"), F.min("name").alias("first_name"), F.max("name").alias("last_name"))
 
 
 @query("select image, count(*) as n, min(v) as lo, max(v) as hi, round(avg(v), 6) as mean from v3 group by image", "v3")
 def sink_manifest(spark, sf):
-    """The rows that the manifest sink writes."""
-    return view(spark, sf, "v3").groupBy("image").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.round(F.avg("v"), 6).alias("mean"))
+    """The rows of the manifest, read back from what the sink writes."""
+    rows = view(spark, sf, "v3").groupBy("image").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.round(F.avg("v"), 6).alias("mean"))
+    path = scratch(spark, "manifest")
+    archives.write_manifest(rows, path)
+    return spark.read.schema(rows.schema).json(path)
 
 
 @query(f"select concat('Series ', book, '.cbz') as archive, 'CBZ' as container, name, row_number() over (partition by book order by name) - 1 as index, count(*) over (partition by book) as total_count from v1 where {IMAGES}", "v1")
@@ -82,12 +88,17 @@ def scan_archives(spark, sf):
 
 
 def _scanned(spark, sf):
-    """Pages with the header that a PNG of their size has; text files hold their name."""
+    """Sizes read from the members of archives that are packed from all pages: PNG heads, and text where the page is a text file."""
     size = F.concat(*(F.lpad(F.hex(c(x)), 8, F.lit("0")) for x in ("width", "height")))
     kind = F.when(c("width") == c("height"), "02").otherwise("00")
     png = F.unhex(F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), size, F.lit("08"), kind, F.lit("00000000000000")))
-    p = view(spark, sf, "v1").withColumn("content", F.when(c("name").endswith(".txt"), c("name").cast("binary")).otherwise(png))
-    return p.select("book", "page", *(x.alias(k) for k, x in archives.png_meta(c("content")).items()))
+    content = F.when(c("name").endswith(".txt"), c("name").cast("binary")).otherwise(png)
+    p = view(spark, sf, "v1").select(c("book").cast("string").alias("archive"), F.concat(c("page").cast("string"), F.lit(".png")).alias("name"), content.alias("content"))
+    path = scratch(spark, "archives")
+    archives.pack_archives(p).select(c("archive").alias("path"), "content").write.parquet(path)
+    members = archives.explode_archives(spark.read.parquet(path))
+    where = (c("archive").cast("long").alias("book"), F.regexp_extract("name", r"^(\d+)", 1).cast("int").alias("page"))
+    return members.select(*where, *(x.alias(k) for k, x in archives.png_meta(c("content")).items()))
 
 
 @query("select book, page, width, height, case when width = height then 3 else 1 end as nChannels from v1 where not ends_with(name, '.txt')", "v1")
@@ -225,7 +236,8 @@ def join_page_spread(spark, sf):
     return ranges.spread_pages(p.select("book", "page", "name"), sp, c("name").contains("-0")).select("book", "page", "ord")
 
 
-@query("select p.book, p.page, concat(s.page, '-', s.page + 1, '-', s.page + 2) as spread from v1 p join v1 s on p.book = s.book and p.page between s.page and s.page + 2 where s.page % 6 = 4", "v1")
+@query(""", s as (select book, page + k as page, concat(page, '-', page + 1, '-', page + 2) as spread from v1 cross join (values (0), (1), (2)) as t(k) where page % 6 = 4)
+  select p.book, p.page, spread from v1 p join s on p.book = s.book and p.page = s.page""", "v1")
 def join_spread_list(spark, sf):
     p = view(spark, sf, "v1")
     text = lambda k: (c("page") + k).cast("string")
@@ -257,11 +269,12 @@ def join_pub_type(spark, sf):
     return _with_publication(spark, view(spark, sf, "v1").select("book").distinct()).select("book", "key", "image", "archive")
 
 
-@query(""", a as (select row_number() over (order by stem_a) as place, stem_a as stem, size_a from v6a), b as (select row_number() over (order by stem_b) as place, stem_b, size_b from v6a)
-  select stem, size_a, size_b, case when size_a <= size_b then 'A' else 'B' end as pick from a join b using (place) where stem = stem_b""", "v6a")
+@query(""", a as (select id // 5 as folder, row_number() over (partition by id // 5 order by stem_a) as place, stem_a as stem, size_a from v6a), b as (select id // 5 as folder, row_number() over (partition by id // 5 order by stem_b) as place, stem_b, size_b from v6a)
+  select folder, stem, size_a, size_b, case when size_a <= size_b then 'A' else 'B' end as pick from a join b using (folder, place) where stem = stem_b""", "v6a")
 def join_mixmatch(spark, sf):
-    p = view(spark, sf, "v6a").withColumn("folder", F.lit(0))
-    return ranges.mix_and_match(p.select("folder", c("stem_a").alias("stem"), c("size_a").alias("size")), p.select("folder", c("stem_b").alias("stem"), c("size_b").alias("size"))).select("stem", "size_a", "size_b", "pick")
+    """Folders of five pairs; where a stem differs, what follows it by name no longer agrees by place."""
+    p = view(spark, sf, "v6a").withColumn("folder", F.expr("id div 5"))
+    return ranges.mix_and_match(p.select("folder", c("stem_a").alias("stem"), c("size_a").alias("size")), p.select("folder", c("stem_b").alias("stem"), c("size_b").alias("size"))).select("folder", "stem", "size_a", "size_b", "pick")
 
 
 @query(""", m as (select page_id as doc, concat('i', pos % 5) as id, max_by(href, pos) as href from v4 where pos <> 2 group by all), s as (select page_id as doc, pos, concat('i', pos % 6) as id from v4)
@@ -450,9 +463,9 @@ def win_shift_spreads(spark, sf):
     return ranges.shift_names(view(spark, sf, "v1"), 10, spreads=True).select("book", "name", "span", "new_name")
 
 
-@query("select book, pos, concat(kind, '-', row_number() over (partition by book, kind order by pos)) as step from (select book, page as pos, case page % 3 when 0 then 'level' when 1 then 'rename' else 'pack' end as kind from v1 where page < 12)", "v1")
+@query("select book, pos, concat(kind, '-', row_number() over (partition by book, kind order by pos)) as step from (select book, page as pos, case page % 3 when 0 then 'level' when 1 then 'rename' else 'pack' end as kind from v1)", "v1")
 def win_step_names(spark, sf):
-    s = view(spark, sf, "v1").filter("page < 12").select("book", c("page").alias("pos"), F.when(c("page") % 3 == 0, "level").when(c("page") % 3 == 1, "rename").otherwise("pack").alias("kind"))
+    s = view(spark, sf, "v1").select("book", c("page").alias("pos"), F.when(c("page") % 3 == 0, "level").when(c("page") % 3 == 1, "rename").otherwise("pack").alias("kind"))
     return ranges.step_names(s, ("book",)).select("book", "pos", "step")
 
 
@@ -538,10 +551,10 @@ def pad_shades(spark, sf):
     return pixels.padded_shades(_shades(spark, sf)).select("image", "n_shades", F.concat_ws(",", F.transform("palette", lambda x: x.cast("string"))).alias("palette"))
 
 
-@query("select name, count(*) as n from (select name from v1 where book % 2 = 0 union all select name from v1 where book % 3 = 0) group by name", "v1")
+@query("select name, count(*) as n from (select name from v1 where book % 3 <> 1 union all select name from v1 where book % 3 <> 0) group by name", "v1")
 def union_merge(spark, sf):
     p = view(spark, sf, "v1").select("book", F.concat(F.lit("x/"), c("name")).alias("name"))
-    return catalog.merge_books([p.filter("book % 2 = 0"), p.filter("book % 3 = 0")])[0].groupBy("name").agg(F.count("*").alias("n"))
+    return catalog.merge_books([p.filter("book % 3 <> 1"), p.filter("book % 3 <> 0")])[0].groupBy("name").agg(F.count("*").alias("n"))
 
 
 def _named(spark, sf):

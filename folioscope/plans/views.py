@@ -104,8 +104,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder of the session, or in a temporary one where none is set (local runs)."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="folioscope-")
+    """A new path in the shared folder of the session; only on a local master, where none is set, in a temporary one."""
+    context = spark.sparkContext
+    shared = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not shared:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="folioscope-")
     return f"{shared.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 

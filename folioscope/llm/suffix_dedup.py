@@ -16,8 +16,8 @@ about one in a hundred.)
    and named again, and at last into single suffixes.
 4. *Compare adjacent prefixes*: equal names of ``LENGTH`` bytes are repeats.
 
-Names are 128 bits of two hashes of the bytes, so equal names are taken as
-equal strings.
+Names are 128 bits of two unlike hashes of the bytes (running sums of powers,
+and XXH3), so equal names are taken as equal strings.
 
 Defined results: null and empty texts, and texts shorter than ``LENGTH``, keep
 all bytes; repeated rows count as separate texts, so all of a long repeated row
@@ -34,10 +34,11 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blank, materialize
+from .common import blank, bounded_batches, give_back, materialize, quoted, text_key
 
 LENGTH = 400
 #: Bytes that a minimiser is chosen by, and suffixes of a short block.
@@ -45,8 +46,8 @@ GRAM, SHORT = 24, 16
 #: Positions handled at once; longer texts are read in overlapping parts.
 PART = 1 << 20
 
-_BASE = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-_SEED = np.random.default_rng(20).integers(0, 1 << 63, (2, 256), dtype=np.int64).view(np.uint64) | np.uint64(1)
+_BASE = 0x9E3779B97F4A7C15
+_SEED = np.random.default_rng(20).integers(0, 1 << 63, 256, dtype=np.int64).view(np.uint64) | np.uint64(1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -56,9 +57,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 @functools.cache
-def _powers(which: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     out = []
-    for base in (_BASE[which], pow(_BASE[which], -1, 1 << 64)):
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
         x = np.full(size, np.uint64(base))
         x[0] = 1
         out.append(np.multiply.accumulate(x))
@@ -68,17 +69,23 @@ def _powers(which: int, size: int) -> tuple[np.ndarray, np.ndarray]:
 class Hashes:
     """Hashes of any substring of ``data``, from running sums."""
 
-    def __init__(self, data: bytes, which: int):
+    def __init__(self, data: bytes):
         n = len(data)
         size = 1 << max(12, (n + 1).bit_length())
-        powers, self.inverse = _powers(which, size)
+        powers, self.inverse = _powers(size)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_SEED[which][np.frombuffer(data, np.uint8)] * powers[:n], out=self.sums[1:])
+        np.cumsum(_SEED[np.frombuffer(data, np.uint8)] * powers[:n], out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return _mix((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(np.uint64))
 
 
+def digests(data: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """XXH3 of each substring, read as a whole."""
+    view, digest = memoryview(data), xxhash.xxh3_64_intdigest
+    return np.fromiter((digest(view[a:b]) for a, b in zip(start.tolist(), end.tolist())), np.uint64, len(start))
+
+
 def _least(keys: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each ``width`` keys in a row."""
     n = 1
@@ -102,7 +109,7 @@ def sampled(data: bytes, length: int = LENGTH) -> Iterator[dict[str, np.ndarray]
         # blocks that start in [at, stop); one position before, and a window after, to see whole blocks
         stop, lo, hi = min(at + PART, last), max(at - 1, 0), min(at + PART + window, last)
         part = data[lo : hi - 1 + length]
-        hashes = Hashes(part, 0)
+        hashes = Hashes(part)
         start = np.arange(len(part) - GRAM + 1)
         order = hashes.of(start, start + GRAM) & np.uint64(0xFFFFFFFFFF000000)
         least = _least(order | np.uint64(0xFFFFFF) - start.astype(np.uint64), window)[: hi - lo]
@@ -112,7 +119,7 @@ def sampled(data: bytes, length: int = LENGTH) -> Iterator[dict[str, np.ndarray]
         keep = (p0 + lo < stop) & (p0 + lo >= at) if not at else (p0 + lo < stop) & (p0 > 0)
         p0, p1 = p0[keep], p1[keep]
         a = mine[p0]
-        yield {"a": a + lo, "p0": p0 + lo, "p1": p1 + lo, "name": hashes.of(a, a + length - window + 1), "whole": Hashes(part, 1).of(p0, p1 - 1 + length)}
+        yield {"a": a + lo, "p0": p0 + lo, "p1": p1 + lo, "name": hashes.of(a, a + length - window + 1), "whole": digests(part, p0, p1 - 1 + length)}
 
 
 SAMPLES = "doc_id long, t long, a int, p0 int, p1 int, name long, whole long"
@@ -149,8 +156,8 @@ def _samples(docs: DataFrame, length: int) -> DataFrame:
     return docs.mapInArrow(find, SAMPLES)
 
 
-def _resolve(blocks: DataFrame, payload: list[str], tag: str) -> tuple[DataFrame, DataFrame]:
-    """Blocks that are repeated as a whole, and those that must be cut.
+def _resolve(blocks: DataFrame, payload: list[str], tag: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Blocks that are repeated as a whole, those that must be cut, and all whose name another has.
 
     ``blocks`` has ``name`` (what all its suffixes share), ``whole``, a weight
     ``n`` and the payload.  Only blocks of weight one are still to be decided;
@@ -165,20 +172,21 @@ def _resolve(blocks: DataFrame, payload: list[str], tag: str) -> tuple[DataFrame
     counted = wholes.groupBy("name").agg(F.count("*").alias("k"), F.count_if(F.col("n") == 1).alias("open"))
     differ = materialize(counted.filter("k > 1 and open > 0").select("name"), f"{tag}-differ")
     to_cut = wholes.join(differ, "name", "left_semi").select("n", "first.*")
-    return repeated, materialize(to_cut, f"{tag}-cut")
-
-
-def _row_key(text: Column) -> Column:
-    """Tells rows of one id apart; equal rows share it and their result."""
-    return F.xxhash64(text)
+    return repeated, materialize(to_cut, f"{tag}-cut"), kept
 
 
 def repeated_starts(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
-    """``doc_id, t, starts``: for each row, runs ``[p0, p1)`` of positions at which a repeated string starts."""
-    rows = docs.select("doc_id", _row_key(blank(text)).alias("t"), blank(text).cast("binary").alias("b"))
+    """``doc_id, t, starts, across``: runs ``[p0, p1)`` of positions at which a repeated string starts.
+
+    ``across`` is true where a row shares the name of a sample with another row;
+    a name is a string of ``length - window_of(length) + 1`` bytes.  Rows with
+    neither are left out.
+    """
+    bounded_batches(docs.sparkSession)
+    rows = docs.select("doc_id", text_key(text).alias("t"), blank(text).cast("binary").alias("b"))
     samples = materialize(_samples(rows.filter(F.length("b") >= length), length), "samples")
     payload = ["doc_id", "t", "a", "p0", "p1"]
-    whole_blocks, to_cut = _resolve(samples.withColumn("n", F.lit(1).cast("long")), payload, "blocks")
+    whole_blocks, to_cut, shared = _resolve(samples.withColumn("n", F.lit(1).cast("long")), payload, "blocks")
 
     wanted = to_cut.groupBy("doc_id", "t").agg(F.collect_list(F.struct("a", "p0", "p1", "n")).alias("w"))
     once = rows.filter(F.length("b") >= length).alias("r")
@@ -187,7 +195,7 @@ def repeated_starts(docs: DataFrame, text: str = "text", length: int = LENGTH) -
     cut = joined.select("doc_id", "t", "w", "b").mapInArrow(partial(_cut_out, length=length), CUT)
     passages = materialize(cut.dropDuplicates(["doc_id", "t", "a"]), "passages")
 
-    short_blocks, to_split = _resolve(passages.mapInArrow(partial(_short_blocks, length=length), SHORTS), payload, "short")
+    short_blocks, to_split, _ = _resolve(passages.mapInArrow(partial(_short_blocks, length=length), SHORTS), payload, "short")
     split = passages.select("doc_id", "t", "a", F.col("p0").alias("at"), "b").alias("l")
     need = materialize(to_split.groupBy("doc_id", "t", "a").agg(F.collect_list(F.struct("p0", "p1", "n")).alias("w")), "split").alias("w")
     split = split.join(need, F.col("l.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("l.t") == F.col("w.t")) & (F.col("l.a") == F.col("w.a"))).select("l.doc_id", "l.t", "l.at", "l.b", "w.w")
@@ -196,7 +204,12 @@ def repeated_starts(docs: DataFrame, text: str = "text", length: int = LENGTH) -
     single = singles.filter("n = 1").join(equal, ["h1", "h2"], "left_semi").select("doc_id", "t", "p0", (F.col("p0") + 1).alias("p1"))
 
     runs = whole_blocks.select("doc_id", "t", "p0", "p1").unionByName(short_blocks.select("doc_id", "t", "p0", "p1")).unionByName(single)
-    return runs.groupBy("doc_id", "t").agg(F.collect_list(F.struct("p0", "p1")).alias("starts"))
+    # names that stand in more than one row
+    row = F.xxhash64("doc_id", "t")
+    across = materialize(shared.groupBy("name").agg(F.min(row).alias("a"), F.max(row).alias("z")).filter("a < z").select("name"), "across")
+    across = shared.join(across, "name", "left_semi").select("doc_id", "t").distinct()
+    runs = runs.select("doc_id", "t", F.struct("p0", "p1").alias("run")).unionByName(across, allowMissingColumns=True)
+    return runs.groupBy("doc_id", "t").agg(F.collect_list("run").alias("starts"), F.max(F.col("run").isNull()).alias("across"))
 
 
 CUT = "doc_id long, t long, a int, p0 int, p1 int, n long, b binary"
@@ -234,9 +247,8 @@ def _short_blocks(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa
             j = np.arange((a - p1 + 1) // SHORT, (a - p0) // SHORT + 1)
             first, stop = np.maximum(a - SHORT * j - SHORT + 1, p0), np.minimum(a - SHORT * j + 1, p1)
             shared = a - SHORT * j - p0
-            one, two = Hashes(data, 0), Hashes(data, 1)
-            name = _mix(one.of(shared, shared + length - SHORT + 1) + j.astype(np.uint64))
-            whole = two.of(first - p0, stop - 1 - p0 + length)
+            name = _mix(Hashes(data).of(shared, shared + length - SHORT + 1) + j.astype(np.uint64))
+            whole = digests(data, first - p0, stop - 1 - p0 + length)
             rows += [row] * len(j)
             for k, v in (("a", np.full(len(j), a)), ("p0", first), ("p1", stop), ("n", np.full(len(j), n)), ("name", name.view(np.int64)), ("whole", whole.view(np.int64))):
                 out[k].append(v)
@@ -254,11 +266,11 @@ def _single(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
         rows, out = [], {k: [np.zeros(0, np.int64)] for k in ("p0", "n", "h1", "h2")}
         for row, (at, data, wanted) in enumerate(zip(batch.column("at").to_pylist(), batch.column("b"), batch.column("w"))):
             data = data.as_buffer().to_pybytes()
-            one, two = Hashes(data, 0), Hashes(data, 1)
+            hashes = Hashes(data)
             for w in wanted.as_py():
                 p = np.arange(w["p0"], w["p1"])
                 rows += [row] * len(p)
-                for k, v in (("p0", p), ("n", np.full(len(p), w["n"])), ("h1", one.of(p - at, p - at + length).view(np.int64)), ("h2", two.of(p - at, p - at + length).view(np.int64))):
+                for k, v in (("p0", p), ("n", np.full(len(p), w["n"])), ("h1", hashes.of(p - at, p - at + length).view(np.int64)), ("h2", digests(data, p - at, p - at + length).view(np.int64))):
                     out[k].append(v)
         joined = {k: np.concatenate(v) for k, v in out.items()}
         columns = [pa.array(joined["p0"], pa.int32()), *(pa.array(joined[k], pa.int64()) for k in ("n", "h1", "h2"))]
@@ -291,19 +303,26 @@ def _remove(data: pd.Series, starts: pd.Series, keep: bool, length: int) -> pd.D
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", keep_bytes: bool = False, columns: tuple[str, ...] = (), length: int = LENGTH) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256``, the named columns of ``docs`` and, if asked for, ``kept``."""
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, repeats``, the named columns of ``docs`` and, if asked for, ``kept``.
+
+    ``repeats`` is 1 where a sampled string of about half the length stands in another row too: of what is removed only
+    that which other rows share, and passages that are too short to be removed.
+    """
     starts = materialize(repeated_starts(docs, text, length), "starts").alias("s")
     body = blank(text)
-    rows = docs.select("doc_id", F.struct(*columns).alias("_own") if columns else F.lit(None).alias("_own"), _row_key(body).alias("t"), body.cast("binary").alias("b")).alias("r")
+    rows = docs.select("doc_id", F.struct(*map(quoted, columns)).alias("_own") if columns else F.lit(None).alias("_own"), text_key(text).alias("t"), body.cast("binary").alias("b")).alias("r")
     same = F.col("r.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("r.t") == F.col("s.t"))
-    joined = rows.join(starts, same, "left").select("r.doc_id", "r._own", "r.b", "s.starts")
+    joined = rows.join(starts, same, "left").select("r.doc_id", "r._own", "r.b", "s.starts", "s.across")
 
-    def run(data: pd.Series, runs: pd.Series) -> pd.DataFrame:
-        return _remove(data, runs, keep_bytes, length)
+    @F.pandas_udf(REMOVED)
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for data, runs in batches:
+            yield _remove(data, runs, keep_bytes, length)
+        give_back()
 
-    done = joined.select("doc_id", "_own", F.length("b").cast("long").alias("n_bytes"), F.pandas_udf(run, REMOVED)("b", "starts").alias("x"))
-    own = [F.col(f"_own.{c}").alias(c) for c in columns]
-    return done.select("doc_id", "n_bytes", "x.n_removed", "x.n_spans", "x.kept_sha256", *own, *(["x.kept"] if keep_bytes else []))
+    done = joined.select("doc_id", "_own", F.length("b").cast("long").alias("n_bytes"), F.coalesce(F.col("across").cast("int"), F.lit(0)).alias("repeats"), run("b", "starts").alias("x"))
+    own = [F.col(f"_own.{quoted(c)}").alias(c) for c in columns]
+    return done.select("doc_id", "n_bytes", "x.n_removed", "x.n_spans", "x.kept_sha256", "repeats", *own, *(["x.kept"] if keep_bytes else []))
 
 
 def whole_characters(kept: pd.Series) -> pd.Series:
@@ -313,5 +332,7 @@ def whole_characters(kept: pd.Series) -> pd.Series:
 
 def without_repeats(docs: DataFrame, text: str = "text", columns: tuple[str, ...] = (), length: int = LENGTH) -> DataFrame:
     """Documents that something is left of, with what is left as their text; empty texts stay as they are."""
-    done = remove_repeats(docs, text, True, columns, length).filter((F.col("n_removed") < F.col("n_bytes")) | (F.col("n_bytes") == 0))
-    return done.select("doc_id", F.pandas_udf(whole_characters, "string")("kept").alias(text), *columns)
+    names = {c: f"_own_{k}" for k, c in enumerate(columns)}
+    own = docs.select("doc_id", text, *(F.col(quoted(c)).alias(n) for c, n in names.items()))
+    done = remove_repeats(own, text, True, tuple(names.values()), length).filter((F.col("n_removed") < F.col("n_bytes")) | (F.col("n_bytes") == 0))
+    return done.select("doc_id", F.pandas_udf(whole_characters, "string")("kept").alias(text), *(F.col(n).alias(c) for c, n in names.items()))

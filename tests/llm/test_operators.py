@@ -342,6 +342,17 @@ def test_removal_on_odd_rows(odd_docs, no_docs, some_docs):
     assert suffix_dedup.remove_repeats(no_docs).count() == 0
 
 
+def test_shared_passages_are_told(spark):
+    rng = random.Random(15)
+    words = lambda n: [f"{rng.choice('bcdfg')}{rng.choice('aeiou')}{rng.randrange(1000)}" for _ in range(n)]
+    passages = [words(100) for _ in range(40)]
+    docs = [(2 * k + j, " ".join([*words(60), *passages[k], *words(60)])) for k in range(40) for j in range(2)]
+    own = words(120)
+    docs += [(1000 + k, " ".join(words(150))) for k in range(30)] + [(2000, " ".join([*own, *words(9), *own]))]
+    got = {r["doc_id"]: (r["repeats"], r["n_removed"]) for r in suffix_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(got[d][0] == (d < 1000) for d, _ in docs) and got[2000][1] > 0
+
+
 def test_long_texts_are_read_in_parts(monkeypatch):
     data = " ".join(f"w{k * k % 7919}" for k in range(4000)).encode()
     whole = [np.stack([x["a"], x["p0"], x["p1"], x["name"].view(np.int64), x["whole"].view(np.int64)]) for x in suffix_dedup.sampled(data)]

@@ -7,13 +7,15 @@ type; confirmed objects elsewhere are carved as embedded media.
 
 Defined results: a null payload is an empty one; an empty or unknown payload
 has type ``unknown`` and no embedded objects; of overlapping objects the first
-(on a tie the longest) wins.
+(on a tie the longest) wins; objects that lie whole inside another are embedded
+in it.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Callable
@@ -23,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blank
+from .common import blank, bounded_batches
 
 #: Payloads are padded to a positive multiple of so many samples.
 FRAME = 576
@@ -161,21 +163,36 @@ def _gzip(data: bytes, at: int) -> int | None:
     return min(pos, len(data)) - at - len(unpack.unused_data) if unpack.eof else None
 
 
-def _zip(data: bytes, at: int) -> int | None:
-    if len(data) < at + 30:
-        return None
-    end = at
-    while (end := data.find(b"PK\x05\x06", end)) != -1 and end + 22 <= len(data):
+@functools.lru_cache(2)
+def _zip_lengths(data: bytes) -> dict[int, int]:
+    """Length of the archive that begins at each place, by the end records, each read once."""
+    found, end = {}, -1
+    while (end := data.find(b"PK\x05\x06", end + 1)) != -1 and end + 22 <= len(data):
         size, offset, comment = struct.unpack_from("<IIH", data, end + 12)
-        if at + offset + size == end and end + 22 + comment <= len(data):
-            return end + 22 + comment - at
-        end += 4
-    return None
+        start = end - offset - size
+        if start >= 0 and end + 22 + comment <= len(data):
+            found[start] = end + 22 + comment - start
+    return found
+
+
+def _zip(data: bytes, at: int) -> int | None:
+    return _zip_lengths(data).get(at)
+
+
+@functools.lru_cache(2)
+def _pdf_lengths(data: bytes) -> dict[int, int]:
+    """Length of the file that begins at each header: to the last end mark before the next header, as updates add further ones."""
+    found = {}
+    starts = [m.start() for m in re.finditer(rb"%PDF-", data)]
+    for start, stop in zip(starts, [*starts[1:], len(data)]):
+        end = data.rfind(b"%%EOF", start, stop)
+        if end != -1 and data.rfind(b"startxref", start, end) != -1:
+            found[start] = end + 5 - start
+    return found
 
 
 def _pdf(data: bytes, at: int) -> int | None:
-    end = data.find(b"%%EOF", at)
-    return end + 5 - at if end != -1 and data.rfind(b"startxref", at, end) != -1 else None
+    return _pdf_lengths(data).get(at)
 
 
 def _flac(data: bytes, at: int) -> int | None:
@@ -236,36 +253,43 @@ def _automaton():
     return out
 
 
-def sniff(data: bytes) -> list[tuple[str, int, int]]:
-    """Confirmed objects ``(type, start, length)`` of a payload; those inside another are left out."""
-    confirmed, free = [], 0
+def sniff(data: bytes, inside: bool = False) -> list[tuple[str, int, int]]:
+    """Confirmed objects ``(type, start, length)`` of a payload, and with ``inside`` also those that lie whole in one of them."""
+    confirmed, free, free_inside = [], 0, 0
     for last, (length, checks) in _automaton().iter(data.decode("latin-1")):
         at = last + 1 - length
-        if at < free:
+        if at < (free_inside if inside else free):
             continue
         sized = [(size, name) for name, check in checks if (size := check(data, at))]
-        if sized:
-            size, name = max(sized)
+        if not sized:
+            continue
+        size, name = max(sized)
+        if at >= free:
             confirmed.append((name, at, size))
             free = at + size
+            free_inside = at + length
+        elif at + size <= free:
+            confirmed.append((name, at, size))
+            free_inside = at + size
     return confirmed
 
 
 FOUND = "detected string, corrected boolean, embedded array<struct<type:string,start:bigint,length:bigint>>"
 
 
+def _typed(data: bytes, said: str | None) -> tuple[str, bool, list[dict]]:
+    found = sniff(data, inside=True)
+    kind = found[0][0] if found and found[0][1] == 0 else "unknown"
+    rest = [{"type": t, "start": a, "length": n} for t, a, n in found if a]
+    return kind, kind != "unknown" and kind != said, rest
+
+
 def _sniffed(payload: pd.Series, declared: pd.Series) -> pd.DataFrame:
-    rows = []
-    for data, said in zip(payload, declared):
-        found = sniff(data or b"")
-        kind = found[0][0] if found and found[0][1] == 0 else "unknown"
-        rest = [{"type": t, "start": a, "length": n} for t, a, n in found if a]
-        rows.append((kind, kind != "unknown" and kind != said, rest))
-    return pd.DataFrame(rows, columns=["detected", "corrected", "embedded"])
+    return pd.DataFrame([_typed(data or b"", said) for data, said in zip(payload, declared)], columns=["detected", "corrected", "embedded"])
 
 
 def sniff_media(df: DataFrame, payload: str, declared: str, into: str = "media_type") -> DataFrame:
-    """Add struct column ``into``: the detected type, whether it corrects ``declared``, and the embedded objects."""
+    """Add struct column ``into``: the detected type, whether it corrects ``declared``, and the objects after the first one or inside it."""
     return df.withColumn(into, F.pandas_udf(_sniffed, FOUND)(F.col(payload), F.col(declared)))
 
 
@@ -277,39 +301,47 @@ def to_wav(text: bytes) -> bytes:
     return b"".join((head, text, bytes([PAD]) * missing))
 
 
-def text_as_wav(text: pd.Series) -> pd.Series:
-    """UTF-8 bytes (as binary; null: empty) stored as 8-bit samples."""
-    return text.map(lambda x: to_wav(x or b""))
-
-
+#: What a document is declared to be before it is stored.
+DECLARED = "text"
 STORED = (
     "n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, "
-    "feature string, media_type string, n_embedded bigint"
+    "feature string, media_type string, corrected boolean, n_embedded bigint, embedded array<struct<type:string,start:bigint,length:bigint>>"
 )
 
 
-def inspect_wav(media: pd.Series) -> pd.DataFrame:
+def inspect_wav(data: bytes) -> tuple:
     """Sniff stored media, read the samples back, and compute digests and features of them.
 
     UTF-8 never holds byte 255, so the unpadded length is found from the samples themselves.
     """
-    rows = []
-    for data in media:
-        found = sniff(data)
-        if not found or found[0][:2] != ("wav", 0):
-            raise ValueError("the stored bytes are no valid wav object")
-        start, end = riff_chunks(data)[1][b"data"]
-        samples = data[start:end]
-        counts = np.bincount(np.frombuffer(samples, np.uint8), minlength=256)
-        share = counts[counts > 0] / len(samples)
-        mean = float(counts @ np.arange(256)) / len(samples)
-        feature = f"wav;pcm_u8;rate={WAV_RATE};samples={len(samples)};mean={mean:.4f};entropy={float(-(share * np.log2(share)).sum()):.4f};distinct={len(share)}"
-        rows.append((len(samples.rstrip(b"\xff")), len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature, found[0][0], len(found) - 1))
-    return pd.DataFrame(rows, columns=[x.split()[0] for x in STORED.split(", ")])
+    kind, corrected, embedded = _typed(data, DECLARED)
+    if kind != "wav":
+        raise ValueError("the stored bytes are no valid wav object")
+    start, end = riff_chunks(data)[1][b"data"]
+    samples = data[start:end]
+    counts = np.bincount(np.frombuffer(samples, np.uint8), minlength=256)
+    share = counts[counts > 0] / len(samples)
+    mean = float(counts @ np.arange(256)) / len(samples)
+    feature = f"wav;pcm_u8;rate={WAV_RATE};samples={len(samples)};mean={mean:.4f};entropy={float(-(share * np.log2(share)).sum()):.4f};distinct={len(share)}"
+    return (len(samples.rstrip(b"\xff")), len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature, kind, corrected, len(embedded), embedded)
 
 
 def store_documents(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row per document: its id and what the stored media of its whole text holds."""
-    store, inspect = F.pandas_udf(text_as_wav, "binary"), F.pandas_udf(inspect_wav, STORED)
+    """One row per document: its id and what the stored media of its whole text holds.
+
+    The declared type is that of a text; what is detected corrects it, and
+    media inside the samples (a text may hold any) are carved with their places
+    in the stored bytes.
+    """
+    bounded_batches(docs.sparkSession)
+
+    def stored_as(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: to_wav(x or b""))
+
+    def inspected(media: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(map(inspect_wav, media), columns=[x.split()[0] for x in STORED.split(", ")])
+
+    # of series, not iterators, so both run in one pass of a worker
+    store, inspect = F.pandas_udf(stored_as, "binary"), F.pandas_udf(inspected, STORED)
     stored = docs.select("doc_id", inspect(store(blank(text).cast("binary"))).alias("m"))
     return stored.select("doc_id", "m.*")

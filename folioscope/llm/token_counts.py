@@ -23,10 +23,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, blank, hash_sample
+from .common import BoundedCache, blank, bounded_batches, give_back, hash_sample
 
-#: Bound of the warm-up sample and of the frequent tier.
-SAMPLE_DOCS = 2048
+#: Bound of the warm-up sample, in documents and in bytes of one, and of the frequent tier.
+SAMPLE_DOCS, SAMPLE_BYTES = 2048, 1 << 16
 PER_PARTITION = 8192
 FREQUENT = 32_768
 #: Cuts that a worker keeps the lengths of.
@@ -90,7 +90,7 @@ def frequent_table(docs: DataFrame, text: str, model: str) -> tuple[bytes, np.nd
             yield pd.DataFrame({"w": [w for w, _ in top], "n": [n for _, n in top]})
 
     texts = docs.select("doc_id", blank(text).alias("t"))
-    sample = hash_sample(texts, ("doc_id", "t"), SAMPLE_DOCS, docs.count()).select("t")
+    sample = hash_sample(texts, ("doc_id", "t"), SAMPLE_DOCS, docs.count()).select("t").filter(F.octet_length("t") <= SAMPLE_BYTES)
     seen: Counter[str] = Counter()
     for w, n in sample.mapInPandas(count, "w string, n long").collect():
         seen[w] += n
@@ -102,6 +102,7 @@ def frequent_table(docs: DataFrame, text: str, model: str) -> tuple[bytes, np.nd
 
 def count_tokens(docs: DataFrame, text: str = "text", model: str = "piece_bpe_32k.model") -> DataFrame:
     """``doc_id, n_bytes, n_tokens`` of every whole text."""
+    bounded_batches(docs.sparkSession)
     blob, lengths = frequent_table(docs, text, model)
     if len(blob) + lengths.nbytes > BROADCAST_BYTES:
         raise ValueError("the table of frequent pre-tokens exceeds its bound")
@@ -115,6 +116,8 @@ def count_tokens(docs: DataFrame, text: str = "text", model: str = "piece_bpe_32
         cache = BoundedCache(lambda w: token_length(encoder, w), CACHED, known if len(sizes) else ())
         for batch in batches:
             yield batch.map(lambda x: sum(map(cache.__getitem__, pre_tokens(x)))).astype("int64")
+        del cache, known
+        give_back()
 
     whole = blank(text)
     return docs.select("doc_id", F.octet_length(whole).cast("long").alias("n_bytes"), counted(whole).alias("n_tokens"))

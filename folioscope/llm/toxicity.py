@@ -21,10 +21,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, blank, hash_sample
+from .common import BoundedCache, blank, bounded_batches, give_back, hash_sample
 
 #: Expected bound of the labelled documents that the model is fitted on.
 TRAIN_DOCS = 5000
+#: Bytes of a text beyond which it isn't taken for the fit, so the sample is bounded in bytes too.
+TRAIN_BYTES = 1 << 16
 #: Words are hashed to so many features; one must stand in so many documents to count.
 FEATURES, LEAST_DOCS = 1 << 20, 4
 STEMS = (4, 5)
@@ -128,7 +130,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: Column, text: str = "text")
     """Fit on a bounded sample of the labelled documents for which ``rows`` holds."""
     known = labels.filter(F.col("toxic").isNotNull() & rows).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = hash_sample(known, ("doc_id",), TRAIN_DOCS, known.count())
-    texts = docs.select("doc_id", blank(text).alias("t")).join(sample, "doc_id").select("t", "toxic")
+    short = docs.select("doc_id", blank(text).alias("t")).filter(F.octet_length("t") <= TRAIN_BYTES)
+    texts = short.join(sample, "doc_id").select("t", "toxic")
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cached = BoundedCache(features_of)
@@ -152,6 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: Column, text: str = "text")
 
 def score_documents(docs: DataFrame, model: BagModel, text: str = "text", locate_from: float = 0.5) -> DataFrame:
     """``doc_id, score, offending``: the noisy-or score and the sentences of at least ``locate_from``."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("score double, offending array<struct<start:int,end:int,p:double>>")
@@ -159,5 +163,7 @@ def score_documents(docs: DataFrame, model: BagModel, text: str = "text", locate
         scorer = shared.value.scorer()
         for batch in batches:
             yield pd.DataFrame([scorer.score(t, locate_from) for t in batch], columns=["score", "offending"])
+        del scorer
+        give_back()
 
     return docs.select("doc_id", scored(blank(text)).alias("s")).select("doc_id", "s.*")

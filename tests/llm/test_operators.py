@@ -65,6 +65,21 @@ def test_media_types_are_corrected(spark):
     assert got[5]["embedded"][0]["type"] == "gif" and got[5]["embedded"][0]["start"] == 1
 
 
+def test_media_inside_media_are_carved(spark):
+    outer = media.to_wav(b"ab" + SAMPLES["png"] + b"cd" + SAMPLES["gif"])
+    assert media.sniff(outer) == [("wav", 0, len(outer))]
+    inner = [("png", 46, len(SAMPLES["png"])), ("gif", 48 + len(SAMPLES["png"]), len(SAMPLES["gif"]))]
+    assert media.sniff(outer, inside=True) == [("wav", 0, len(outer)), *inner]
+    updated = SAMPLES["pdf"] + b"\n2 0 obj\nstartxref\n33\n%%EOF"
+    assert media.sniff(updated + b" tail " + SAMPLES["pdf"])[0] == ("pdf", 0, len(updated))
+    for many in (b"%PDF-" * 40_000, b"PK\x03\x04" * 40_000, b"RIFF" * 40_000):
+        assert media.sniff(many) == []
+    text = f"so {SAMPLES['pdf'].decode()} it is"
+    (row,) = media.store_documents(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert (row["media_type"], row["corrected"], row["n_embedded"]) == ("wav", True, 1)
+    assert (row["embedded"][0]["type"], row["embedded"][0]["start"], row["embedded"][0]["length"]) == ("pdf", 47, len(SAMPLES["pdf"]))
+
+
 def test_texts_are_stored_without_loss(odd_docs, no_docs, some_docs):
     for docs in (odd_docs, some_docs):
         got = collections.Counter((r["doc_id"], r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) for r in media.store_documents(docs).collect())

@@ -34,9 +34,16 @@ RESTORE_FROM, RESTORE_TO = "：＜＞”“’‘＼？⋆｜", ":<>\"\"''\\?*|"
 #: Ranges of emoji.
 EMOJI = r"[\x{1F1E0}-\x{1F1FF}\x{1F300}-\x{1F5FF}\x{1F600}-\x{1F64F}\x{1F680}-\x{1F6FF}\x{1F700}-\x{1F77F}\x{1F780}-\x{1F7FF}\x{1F800}-\x{1F8FF}\x{1F900}-\x{1F9FF}\x{1FA00}-\x{1FA6F}\x{1FA70}-\x{1FAFF}\x{2702}-\x{27B0}]"
 
-PAGE = r"(?d)^(.*)p([0-9]{1,3})-?([0-9]{1,3})?(.*)"
-COMIX = r"^([\s\S]+?)(?:- (v[0-9]{1,3}))?(\.[0-9]{1,2})? - p([0-9]{1,3})-?([0-9]{1,3})?"
-_CHAPTER = r" - c([0-9]+)([#x.][0-9]{1,2})? \(?c?([0-9]{1,4}\.[0-9]{1,4})?\)? ?\(?(v[0-9]+([#x][0-9]{1,3})?|[A-Za-z\-]+)?\)? ?- p[0-9]+x?[0-9]?-?[0-9]+x?[0-9]?.*"
+#: The grammar of page names, which decides what names are taken apart and how; by its parts.
+_PAGES = "p([0-9]{1,3})-?([0-9]{1,3})?"
+PAGE = rf"(?d)^(.*){_PAGES}(.*)"
+_COMIX_VOLUME, _COMIX_PART = r"(?:- (v[0-9]{1,3}))?", r"(\.[0-9]{1,2})?"
+COMIX = rf"^([\s\S]+?){_COMIX_VOLUME}{_COMIX_PART} - {_PAGES}"
+_NUMBER, _PART = "([0-9]+)", "([#x.][0-9]{1,2})?"
+_ACTUAL = r"\(?c?([0-9]{1,4}\.[0-9]{1,4})?\)?"
+_VOLUME = r"\(?(v[0-9]+([#x][0-9]{1,3})?|[A-Za-z\-]+)?\)?"
+_TAIL = "p[0-9]+x?[0-9]?-?[0-9]+x?[0-9]?.*"
+_CHAPTER = f" - c{_NUMBER}{_PART} {_ACTUAL} ?{_VOLUME} ?- {_TAIL}"
 
 
 def _quoted(text: str) -> str:

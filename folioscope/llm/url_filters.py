@@ -24,7 +24,7 @@ from .common import blank, materialize
 
 #: Fixed rules of the filter: verdict and host/path prefix.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-#: A longer list belongs in a table to join.
+#: A longer list is a table that hosts are joined with, a shorter one an expression.
 MOST_RULES = 500
 #: STEPS is the SQL's; here a step follows until no host's ranks move by more than SETTLED of their own size.
 DAMPING, STEPS, SETTLED = 0.85, 30, 1e-4
@@ -50,9 +50,7 @@ def _rest(url: Column) -> Column:
 
 
 def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RULES) -> Column:
-    """The rule that decides, as text, or null."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"at most {MOST_RULES} rules")
+    """The rule that decides, as text, or null, as one expression."""
     out = F.lit(None).cast("string")
     for _, rule in sorted(rules, key=lambda r: (len(r[1]), r[0] == "block", [-ord(c) for c in r[1]])):
         at, _, prefix = rule.partition("/")
@@ -61,6 +59,20 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RUL
     return out
 
 
+def join_rules(ruled: DataFrame, rules: tuple[tuple[str, str], ...]) -> DataFrame:
+    """Add ``rule`` and ``said`` to rows with ``host`` and ``path``: each host meets the rules of all domains above it by equality."""
+    spark = ruled.sparkSession
+    listed = spark.createDataFrame(list(rules), "said string, rule string")
+    at, prefix = F.substring_index("rule", "/", 1), F.concat(F.lit("/"), F.expr("substring(rule, instr(rule, '/') + 1)"))
+    listed = listed.select("said", "rule", at.alias("domain"), prefix.alias("prefix"))
+    labels = F.split("host", r"\.")
+    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    places = ruled.select("host", "path").distinct().withColumn("domain", F.explode(domains))
+    order = F.struct(-F.length("rule"), F.col("said") != "block", "rule")
+    best = places.join(listed, "domain").filter(F.col("path").startswith(F.col("prefix"))).groupBy("host", "path").agg(F.min_by(F.struct("rule", "said"), order).alias("best"))
+    return ruled.join(best, ["host", "path"], "left").select(ruled["*"], "best.rule", "best.said")
+
+
 def host_edges(pages: DataFrame) -> DataFrame:
     """``src, dst, n``: links between different hosts."""
     links = pages.select(host_of(blank("url")).alias("src"), F.explode(F.regexp_extract_all(blank("html"), F.lit(LINK), F.lit(1))).alias("dst"))
@@ -106,9 +118,12 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataF
     """``page_id, host, path, rule, verdict, trust, distrust`` of every page."""
     url = blank("url")
     ruled = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"))
-    ruled = ruled.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
-    said = reduce(lambda out, r: F.when(F.col("rule") == r[1], F.lit(r[0])).otherwise(out), rules, F.lit(None).cast("string"))
-    ruled = ruled.withColumn("said", said)
+    if len(rules) > MOST_RULES:
+        ruled = join_rules(ruled, rules)
+    else:
+        ruled = ruled.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
+        said = reduce(lambda out, r: F.when(F.col("rule") == r[1], F.lit(r[0])).otherwise(out), rules, F.lit(None).cast("string"))
+        ruled = ruled.withColumn("said", said)
     seeds = ruled.filter("said is not null").groupBy("host").agg(F.count_if(F.col("said") == "allow").alias("allowed"), F.count_if(F.col("said") == "block").alias("blocked"))
     ranks = propagate(seeds, host_edges(pages))
     judged = ruled.join(ranks, "host", "left")

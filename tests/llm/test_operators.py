@@ -400,6 +400,21 @@ def test_urls_and_rules(spark):
     assert url_filters.judge(df.limit(0)).count() == 0
 
 
+def test_long_lists_of_rules_are_joined(spark):
+    rng = random.Random(16)
+    domains = ["org", "com", "a.org", "b.a.org", "x.com", *(f"h{k}.net" for k in range(300))]
+    rules = tuple(dict.fromkeys((rng.choice(("allow", "block")), f"{rng.choice(domains)}/{rng.choice(('', 'a', 'ab/', 'c/1'))}") for _ in range(900)))
+    rules = tuple({rule: (said, rule) for said, rule in rules}.values())
+    assert len(rules) > url_filters.MOST_RULES
+    rows = [(k, f"http://{rng.choice(('', 'www.', 'q.'))}{rng.choice([*domains, 'xa.org', 'net'])}/{rng.choice(('', 'a', 'ab/c', 'c/12'))}", "") for k in range(600)] + [(600, None, None), (600, None, None)]
+    got = url_filters.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), rules).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        fitting = sorted(((-len(rule), said != "block", rule) for said, rule in rules if url_filters.fits(r["host"], r["path"], rule)))
+        assert r["rule"] == (fitting[0][2] if fitting else None)
+        assert not fitting or r["verdict"] == ("allow" if fitting[0][1] else "block")
+
+
 def test_trust_and_distrust_follow_links(spark):
     edges = [("a.org", "b.net", 3), ("a.org", "c.net", 1), ("b.net", "c.net", 1), ("d.net", "bad.com", 1), ("e.net", "d.net", 2), ("c.net", "a.org", 1)]
     seeds = [("a.org", 2, 0), ("bad.com", 0, 3)]

@@ -663,6 +663,14 @@ def test_packing_is_whole_and_tight(spark, odd_docs, no_docs, some_docs):
     assert [ids.of(x) for x in tried] == [np.array(e.ids, "<u4").tobytes() for e in ids.encoder.encode_batch(tried, add_special_tokens=False)]
 
 
+def test_packing_keeps_other_columns(spark):
+    pieces = spark.createDataFrame([(k, 1 + k * 37 % 2048, 1, 2, 3, "x", 4) for k in range(60)], "doc_id long, length long, item int, bin int, at int, `odd name` string, offset int")
+    out = packing.pack(pieces)
+    assert out.columns == ["doc_id", "length", "item", "bin", "at", "odd name", "sequence_id", "offset"]
+    rows = out.collect()
+    assert len(rows) == 60 and all((r["item"], r["bin"], r["at"], r["odd name"]) == (1, 2, 3, "x") for r in rows)
+
+
 def test_packing_in_rounds(spark, monkeypatch):
     monkeypatch.setattr(packing, "GROUP", 40)
     rng = random.Random(9)

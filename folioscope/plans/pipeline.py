@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.catalog import duplicates, resize, route_by_color, suffix, unsorted_starts
-from ..operators.pixels import level_decision
+from ..operators.pixels import autoposterize, level_decision
 from ..operators.ranges import shift_names
 from ..operators.rules import rule
 
@@ -31,10 +31,34 @@ def _level(df: DataFrame, p: dict[str, Any]) -> DataFrame:
     return df.withColumn("status", level_decision(F.col("black"), F.col("white"), F.col("is_color"), p.get("limit", 60), p.get("skip_white", False)))
 
 
+def _posterize(df: DataFrame, p: dict[str, Any]) -> DataFrame:
+    """To the given bits, or to what the count of shades in ``column`` asks for."""
+    if bits := p.get("bits"):
+        return df.withColumn("bits", F.lit(bits)).withColumn("status", F.lit("COPIED" if bits >= 8 else "PROCESSED"))
+    decided = autoposterize(F.col(p.get("column", "shades")))
+    return df.withColumn("bits", decided["bits"]).withColumn("status", decided["status"])
+
+
+def _regray(df: DataFrame, p: dict[str, Any]) -> DataFrame:
+    """Pages without colour whose format can be written anew without loss become gray, the others are copied."""
+    gray = route_by_color(F.col("is_color"), F.lit(True), suffix(F.col("name"))) == "regray"
+    return df.withColumn("status", F.when(gray, "GRAYSCALED").otherwise("COPIED"))
+
+
+def _spreads(df: DataFrame, p: dict[str, Any]) -> DataFrame:
+    """The first given spread (a text like ``4-5``) that holds the page."""
+    inside = [F.when(F.col("page").between(*(int(x) for x in (text.split("-")[0], text.split("-")[-1]))), F.lit(text)) for text in p["spreads"]]
+    return df.withColumn("spread", F.coalesce(*inside) if inside else F.lit(None).cast("string"))
+
+
 #: Kinds of actions that are column or window work.
 ACTIONS: dict[str, Action] = {
     "shift_rename": _rename,
     "rescale": _rescale,
+    "spreads": _spreads,
+    "posterize": _posterize,
+    "autoposterize": _posterize,
+    "regray": _regray,
     "autolevel": _level,
     "level": _level,
     "tagging": lambda df, p: df.withColumn("tag", F.lit(p["title"])),

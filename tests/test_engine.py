@@ -206,3 +206,17 @@ def test_windows_survive_empty_input(spark):
     assert ranges.assign_chapters(pages, chapters).count() == 0
     assert ranges.shift_names(pages, spreads=True).count() == 0
     assert pixels.histogram(spark.createDataFrame([], "image int, v int")).count() == 0
+
+
+def test_pipeline_of_posterize_regray_and_spreads(spark):
+    pages = spark.createDataFrame([(1, p, f"p{p:03d}.{e}", s, c) for p, e, s, c in ((0, "png", 3, True), (4, "png", 4, False), (5, "jpg", 200, False), (6, "webp", 256, False))], "book long, page int, name string, shades int, is_color boolean")
+    skips = spark.createDataFrame([(1, 6, "regray-1")], "book long, page int, step string")
+    actions = [{"kind": "spreads", "spreads": ["4-5", "5-6"]}, {"kind": "regray"}]
+    done = pipeline.run_pipeline(pages, actions, skips).orderBy("page").collect()
+    assert [r["spread"] for r in done] == [None, "4-5", "4-5", "5-6"]
+    assert [r["status"] for r in done] == ["COPIED", "GRAYSCALED", "COPIED", None]
+    assert done[3]["history"] == ["spreads-1:done", "regray-1:ignored"]
+    auto = pipeline.run_pipeline(pages, [{"kind": "autoposterize"}]).orderBy("page").collect()
+    assert [(r["bits"], r["status"]) for r in auto] == [(1, "PROCESSED"), (2, "PROCESSED"), (7, "PROCESSED"), (8, "COPIED")]
+    fixed = pipeline.run_pipeline(pages, [{"kind": "posterize", "bits": 4}]).collect()
+    assert {(r["bits"], r["status"]) for r in fixed} == {(4, "PROCESSED")}

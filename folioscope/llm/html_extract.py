@@ -455,7 +455,7 @@ def extract_text(html: str, trees: Trees) -> str:
 
 
 def extract(pages: DataFrame, trees: Trees, html: str = "html", into: str = "main_text") -> DataFrame:
-    """Add text column ``into``.  The trees' size is fixed (some kB), so they are broadcast."""
+    """Add text column ``into``, in place of one of that name.  The trees' size is fixed (some kB), so they are broadcast."""
     bounded_batches(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(trees)
 

@@ -139,7 +139,7 @@ def train(docs: DataFrame, rows: Column, text: str = "text", lang: str = "lang")
 
 
 def predict(docs: DataFrame, model: LanguageFilters, text: str = "text", into: str = "language") -> DataFrame:
-    """Add struct column ``into`` with ``lang_pred`` and ``score``.
+    """Add struct column ``into``, in place of one of that name, with ``lang_pred`` and ``score``.
 
     The filters' size is fixed by the number of languages (1 MB for each 64), so they are broadcast.
     """

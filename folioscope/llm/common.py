@@ -8,6 +8,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,7 +49,23 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+_temporary: list[list[str]] = []
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables materialized inside are deleted at the end, but those that are kept; what is returned may read only these."""
+    _temporary.append([])
+    try:
+        yield
+    finally:
+        jvm, settings = spark._jvm, spark._jsc.hadoopConfiguration()
+        for name in _temporary.pop():
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(settings).delete(path, True)
+
+
+def materialize(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     Cuts the lineage at a place that survives lost executors, and gives later
@@ -57,6 +74,8 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if _temporary and not keep:
+        _temporary[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, blank, bounded_batches, free_name, give_back, materialize, text_key
+from .common import BoundedCache, blank, bounded_batches, free_name, give_back, materialize, temporary_tables, text_key
 
 WORDS, SIMILARITY = 5, 0.8
 #: Bits that differ at most; blocks of the index as start and width, so some block differs by RADIUS // len(BLOCKS) bits at most.
@@ -273,7 +273,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, with all their columns."""
-    found = materialize(contaminated(docs, benchmark, text, item_text).select("doc_id", "text_key"), "contaminated").alias("c")
+    with temporary_tables(docs.sparkSession):
+        found = materialize(contaminated(docs, benchmark, text, item_text).select("doc_id", "text_key"), "contaminated", keep=True).alias("c")
     key = free_name(docs, "text_key")
     keyed = docs.withColumn(key, text_key(text)).alias("d")
     same = F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col(f"d.{key}") == F.col("c.text_key"))

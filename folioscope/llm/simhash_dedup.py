@@ -36,10 +36,10 @@ from itertools import combinations, product
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, blank, bounded_batches, free_name, give_back, materialize, text_key
+from .common import BoundedCache, blank, bounded_batches, free_name, give_back, materialize, temporary_tables, text_key
 from .components import connected_components
 from .decontaminate import shingles
 
@@ -73,8 +73,9 @@ SMALL = Cover(1, THREE, 1, RADIUS)
 LARGE = Cover(1, (((0, 23), (23, 7), (30, 2)), ((32, 23), (55, 7), (62, 2))), 2, RADIUS)
 #: Distinct fingerprints from which fewer comparisons outweigh more rows.
 LARGE_FROM = 50_000_000
-#: Of 128 bits 19 differ on average at a similarity of 0.8; 38 are 4.6 standard deviations above.
-WIDE = Cover(4, THREE, 1, 38, 2)
+#: Of 128 bits 19 differ on average at a similarity of 0.8, of 256 bits 39; the bounds are over three standard deviations above.
+WIDE = Cover(4, THREE, 1, 33, 2)
+WIDE_RADIUS = 60
 SIMILARITY = 0.8
 #: Rounds in which the members of a cell's group meet one of them, before all pairs that are left.
 STARS = 2
@@ -278,18 +279,19 @@ def near_links(points: DataFrame, how: Cover = SMALL) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, text: str = "text", how: Cover | None = None) -> DataFrame:
     """``doc_id, fp, component_id``: the least id that is reachable by links of at most ``how.radius`` bits."""
-    hashed = materialize(fingerprints(docs, text), "fingerprints")
-    distinct = materialize(hashed.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    if how is None:
-        how = SMALL if distinct.count() < LARGE_FROM else LARGE
-    if not how.keeps_all():
-        raise ValueError("the blocks cover a smaller radius only")
-    links = near_links(distinct.select(F.col("fp").alias("id"), F.col("fp").alias("w0")), how)
-    stars = connected_components(links.select("u", "v"))
-    rooted = distinct.join(stars.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    rooted = materialize(rooted, "rooted")
-    least = materialize(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "components")
-    classes = materialize(rooted.join(least, "root").select("fp", "component_id"), "classes")
+    with temporary_tables(docs.sparkSession):
+        hashed = materialize(fingerprints(docs, text), "fingerprints", keep=True)
+        distinct = materialize(hashed.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+        if how is None:
+            how = SMALL if distinct.count() < LARGE_FROM else LARGE
+        if not how.keeps_all():
+            raise ValueError("the blocks cover a smaller radius only")
+        links = near_links(distinct.select(F.col("fp").alias("id"), F.col("fp").alias("w0")), how)
+        stars = connected_components(links.select("u", "v"))
+        rooted = distinct.join(stars.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        rooted = materialize(rooted, "rooted")
+        least = materialize(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "components")
+        classes = materialize(rooted.join(least, "root").select("fp", "component_id"), "classes", keep=True)
     return hashed.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -316,7 +318,7 @@ def wide_fingerprint(grams: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``doc_id, t, text, node, w0, ...``: nodes are equal for texts of the same words, ``t`` is the text's key."""
+    """``doc_id, t, node, w0, ...``: nodes are equal for texts of the same words, ``t`` is the text's key."""
     bounded_batches(docs.sparkSession)
     names = [f"w{k}" for k in range(WIDE.words)]
 
@@ -334,8 +336,7 @@ def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
         del cache
         give_back()
 
-    body = blank(text)
-    return docs.select("doc_id", text_key(text).alias("t"), body.alias("text"), read(body.cast("binary")).alias("s")).select("doc_id", "t", "text", "s.*")
+    return docs.select("doc_id", text_key(text).alias("t"), read(blank(text).cast("binary")).alias("s")).select("doc_id", "t", "s.*")
 
 
 @functools.lru_cache(64)
@@ -352,40 +353,57 @@ def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=float)
 
 
-def similar_links(signed: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def similar_links(docs: DataFrame, signed: DataFrame, text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """``u, v``: links whose components are those of all pairs of nodes that meet and have at least the similarity.
 
     What a cell finds near each other is a group; its members are first compared with one of them, then those that are still in
     different components with each other, so a large group of copies costs a star and no pair of a group stays undecided.
+    Only pairs within ``WIDE_RADIUS`` bits are compared by their texts.
     """
     names = [f"w{k}" for k in range(WIDE.words)]
-    points = materialize(signed.groupBy(F.col("node").alias("id")).agg(*(F.first(w).alias(w) for w in names)), "points")
+    # one row stands for all of a node
+    points = materialize(signed.groupBy(F.col("node").alias("id")).agg(F.min_by(F.struct("doc_id", "t", *names), "t").alias("x")).select("id", "x.*"), "points")
     stars = materialize(near_links(points, WIDE), "stars")
     group = F.xxhash64("cell", "v").alias("key")
-    members = materialize(stars.select(group, F.col("u").alias("node")).unionByName(stars.select(group, F.col("v").alias("node"))).distinct(), "members")
-    wanted = materialize(members.select("node").distinct(), "proposed")
-    texts = signed.select("node", "text").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").cast("binary").alias("text"))
-    texts = materialize(texts, "texts")
+    members = stars.select(group, F.col("u").alias("node")).unionByName(stars.select(group, F.col("v").alias("node"))).distinct()
+    members = materialize(members.join(points.select(F.col("id").alias("node"), *names), "node"), "members")
+    wanted = materialize(members.select(F.col("node").alias("id")).distinct(), "proposed")
+    wanted = materialize(points.join(wanted, "id", "left_semi").select("id", "doc_id", "t"), "wanted").alias("w")
+    rows = docs.select("doc_id", text_key(text).alias("t"), blank(text).cast("binary").alias("text")).alias("d")
+    texts = rows.join(wanted, F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.t") == F.col("w.t"))).select(F.col("w.id").alias("node"), "d.text")
+    # equal rows are one
+    texts = materialize(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
 
     def decided(pairs: DataFrame) -> DataFrame:
         both = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
         return both.select("u", "v", (F.pandas_udf(jaccard, "double")("a", "b") >= similarity).alias("near"))
 
+    def close(x: str, y: str) -> Column:
+        apart = (F.bit_count(F.col(f"{x}.{w}").bitwiseXOR(F.col(f"{y}.{w}"))) for w in names)
+        return functools.reduce(lambda a, b: a + b, apart) <= WIDE_RADIUS
+
     empty = members.sparkSession.createDataFrame([], "u long, v long, near boolean")
-    known, links, rooted = empty, empty.select("u", "v"), members.withColumn("root", F.col("node"))
+    known = empty
     for turn in range(STARS + 1):
-        if turn:
+        if not turn:
+            # each cell's star as it is
+            left, right = points.alias("x"), points.alias("y")
+            pairs = stars.select("u", "v").distinct().join(left, F.col("u") == F.col("x.id")).join(right, (F.col("v") == F.col("y.id")) & close("x", "y")).select("u", "v")
+        else:
             roots = materialize(connected_components(links), "roots")
             rooted = materialize(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
-        open_keys = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("z"), F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(turn))).alias("hub")).filter("a < z")
-        open_keys = materialize(open_keys.select("key", F.col("hub.node").alias("hub"), F.col("hub.root").alias("hub_root")), "open")
-        left = rooted.join(open_keys, "key")
-        if turn < STARS:
-            pairs = left.filter("root <> hub_root").select(F.col("hub").alias("x"), F.col("node").alias("y"))
-        else:
-            other = left.select("key", F.col("node").alias("y"), F.col("root").alias("other"))
-            pairs = left.join(other, "key").filter("root < other").select(F.col("node").alias("x"), "y")
-        pairs = pairs.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
+            open_keys = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("z"), F.min_by(F.struct("node", "root", *names), F.xxhash64("node", F.lit(turn))).alias("hub")).filter("a < z")
+            open_keys = materialize(open_keys.select("key", "hub.*"), "open").alias("y")
+            left = rooted.alias("x")
+            if turn < STARS:
+                apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & close("x", "y")
+                pairs = left.join(open_keys, apart)
+            else:
+                still = materialize(rooted.join(open_keys.select("key"), "key", "left_semi"), "still")
+                apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & close("x", "y")
+                pairs = still.alias("x").join(still.alias("y"), apart)
+            pairs = pairs.select(F.col("x.node").alias("u"), F.col("y.node").alias("v"))
+        pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         fresh = materialize(decided(materialize(pairs.join(known, ["u", "v"], "left_anti"), "pairs")), "decided")
         known = known.unionByName(fresh)
         links = known.filter("near").select("u", "v")
@@ -395,15 +413,16 @@ def similar_links(signed: DataFrame, similarity: float = SIMILARITY) -> DataFram
 def similar_groups(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """``doc_id, t, root``: rows, told apart by id and text key, of one root are linked by texts of at least the similarity."""
     signed = materialize(signatures(docs, text), "signatures")
-    roots = materialize(connected_components(similar_links(signed, similarity)), "roots")
+    roots = materialize(connected_components(similar_links(docs, signed, text, similarity)), "roots")
     return signed.select("doc_id", "t", "node").join(roots, "node", "left").select("doc_id", "t", F.coalesce("root", "node").alias("root"))
 
 
 def first_of_each_group(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """The row with the least id (then the least text key; rows without an id come last) of each group, with all its columns, once."""
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")
-    first = similar_groups(docs, text, similarity).groupBy("root").agg(F.min(order).alias("k")).select("k.none", F.coalesce(F.col("k.doc_id").cast("string"), F.lit("")).alias("id"), "k.t")
-    first = materialize(first.distinct(), "first").alias("f")
+    with temporary_tables(docs.sparkSession):
+        first = similar_groups(docs, text, similarity).groupBy("root").agg(F.min(order).alias("k")).select("k.none", F.coalesce(F.col("k.doc_id").cast("string"), F.lit("")).alias("id"), "k.t")
+        first = materialize(first.distinct(), "first", keep=True).alias("f")
     names = [free_name(docs, c) for c in ("none", "id", "t")]
     keys = (F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text_key(text))
     keyed = docs.select("*", *(k.alias(n) for k, n in zip(keys, names))).alias("d")

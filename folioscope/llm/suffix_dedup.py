@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blank, bounded_batches, give_back, materialize, quoted, text_key
+from .common import blank, bounded_batches, give_back, materialize, quoted, temporary_tables, text_key
 
 LENGTH = 400
 #: Bytes that a minimiser is chosen by, and suffixes of a short block.
@@ -308,7 +308,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", keep_bytes: bool = False
     ``repeats`` is 1 where a sampled string of about half the length stands in another row too: of what is removed only
     that which other rows share, and passages that are too short to be removed.
     """
-    starts = materialize(repeated_starts(docs, text, length), "starts").alias("s")
+    with temporary_tables(docs.sparkSession):
+        starts = materialize(repeated_starts(docs, text, length), "starts", keep=True).alias("s")
     body = blank(text)
     rows = docs.select("doc_id", F.struct(*map(quoted, columns)).alias("_own") if columns else F.lit(None).alias("_own"), text_key(text).alias("t"), body.cast("binary").alias("b")).alias("r")
     same = F.col("r.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("r.t") == F.col("s.t"))

@@ -54,7 +54,10 @@ _temporary: list[list[str]] = []
 
 @contextmanager
 def temporary_tables(spark: SparkSession) -> Iterator[None]:
-    """Tables materialized inside are deleted at the end, but those that are kept; what is returned may read only these."""
+    """Tables materialized inside are deleted at the end, but those that are kept; what is returned may read only these.
+
+    A table kept inside a nested use goes with the tables of the outer one.
+    """
     _temporary.append([])
     try:
         yield
@@ -74,8 +77,8 @@ def materialize(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    if _temporary and not keep:
-        _temporary[-1].append(path)
+    if scopes := _temporary[:-1] if keep else _temporary:
+        scopes[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, temporary_tables
 
 MOST_ROUNDS = 40
 
@@ -23,6 +23,12 @@ def connected_components(links: DataFrame) -> DataFrame:
     A hub's links are split by adaptive execution, as both sides of each join
     are plain scans; no neighbour list is ever gathered.
     """
+    with temporary_tables(links.sparkSession):
+        return materialize(_stars(links), "stars", keep=True)
+
+
+def _stars(links: DataFrame) -> DataFrame:
+    """The same, as a plan over tables that are still there."""
     ordered = links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     links = materialize(ordered, "links")
     before = _digest(links)

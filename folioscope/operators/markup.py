@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,12 +60,78 @@ def image_only(html: Column) -> Column:
     return F.when(plain & (text == "") & (F.size(refs) == 1), F.nullif(refs.getItem(0), F.lit("")))
 
 
-def rewrite_refs(pages: DataFrame, mapping: DataFrame, html: str = "html", key: str = "page_id") -> DataFrame:
-    """Pages with every quoted ``src`` or ``href`` in ``mapping(old, new)`` replaced."""
-    refs = pages.select(key, F.explode(F.array_distinct(F.regexp_extract_all(html, F.lit(r"""\b(?:src|href)="([^"]*)\""""), F.lit(1)))).alias("old"))
-    found = refs.join(mapping, "old").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("old", "new"))).alias("_m"))
-    swap = F.aggregate(F.coalesce("_m", F.array().cast("array<struct<old:string,new:string>>")), F.col(html), lambda acc, m: F.replace(acc, F.concat(F.lit('"'), m.old, F.lit('"')), F.concat(F.lit('"'), m.new, F.lit('"'))))
-    return pages.join(found, key, "left").withColumn(html, swap).drop("_m")
+#: Inside a tag: up to its end nothing but attributes follows.
+_IN_TAG = r"""(?=(?:[^<>"']|"[^"]*"|'[^']*')*+>)"""
+#: A comment, a css url, or an attribute with its value; of a style the urls inside are found instead.
+_PIECE = rf"""(?is)<!--.*?-->|\burl\(\s*+(?:"[^"]*"|'[^']*'|[^)"']*+)\s*+\)|(?<![\w:.-])(?!style\s*+=)[\w:.-]++\s*+=\s*+(?:"[^"]*"|'[^']*'|[^\s"'<>]++){_IN_TAG}"""
+#: What stands before, in and behind the reference of a piece.
+_ATTRIBUTE = r"""(?is)^((?:[\w.-]+:)?(?:src|href)\s*=\s*["']?)(.*?)(["']?)$"""
+_URL = r"""(?is)^(url\(\s*["']?)(.*?)(["']?\s*\))$"""
+_SET = r"""(?is)^(srcset\s*=\s*["'])(.*)(["'])$"""
+#: A candidate of a srcset: white space, its reference, and its descriptor.
+_CANDIDATE = r"(?s)^(\s*)(\S*)(.*)$"
+
+
+def _rewritten(html: Column, swap: Callable[[Column], Column]) -> Column:
+    """``html`` with each reference replaced by ``swap`` of it, all at once: what is put in isn't looked at again."""
+    group = lambda x, pattern, n: F.regexp_extract(x, pattern, n)
+    whole = lambda x, pattern: F.concat(group(x, pattern, 1), swap(group(x, pattern, 2)), group(x, pattern, 3))
+    several = lambda x: F.concat(group(x, _SET, 1), F.array_join(F.transform(F.split(group(x, _SET, 2), ","), lambda y: whole(y, _CANDIDATE)), ","), group(x, _SET, 3))
+    piece = lambda x: F.when(x.rlike(_ATTRIBUTE), whole(x, _ATTRIBUTE)).when(x.rlike(_URL), whole(x, _URL)).when(x.rlike(_SET), several(x)).otherwise(x)
+    between, pieces = F.split(html, _PIECE, -1), F.regexp_extract_all(html, F.lit(_PIECE), F.lit(0))
+    return F.array_join(F.flatten(F.zip_with(between, F.transform(pieces, piece), lambda a, b: F.array(a, b))), "")
+
+
+def page_refs(html: Column) -> Column:
+    """The distinct references of a page: of ``src`` and ``href`` (with any prefix), ``srcset`` and css ``url()``, outside comments."""
+    pieces = F.regexp_extract_all(html, F.lit(_PIECE), F.lit(0))
+    of_set = lambda x: F.transform(F.split(F.regexp_extract(x, _SET, 2), ","), lambda y: F.regexp_extract(y, _CANDIDATE, 2))
+    each = F.transform(pieces, lambda x: F.when(x.rlike(_ATTRIBUTE), F.array(F.regexp_extract(x, _ATTRIBUTE, 2))).when(x.rlike(_URL), F.array(F.regexp_extract(x, _URL, 2))).when(x.rlike(_SET), of_set(x)).otherwise(F.array().cast("array<string>")))
+    return F.array_distinct(F.filter(F.flatten(each), lambda x: F.trim(x) != ""))
+
+
+def relative_href(base: Column, target: Column) -> Column:
+    """The path from a base file's folder to a file, both seen from the root, percent-encoded."""
+    parts = F.split(base, "/")
+    folder, to = F.slice(parts, 1, F.size(parts) - 1), F.split(target, "/")
+    apart = F.array_position(F.zip_with(folder, to, lambda a, b: F.coalesce(a == b, F.lit(False))), F.lit(False))
+    common = F.least(F.when(apart > 0, apart - 1).otherwise(F.size(folder)), F.size(to) - 1).cast("int")
+    path = F.concat(F.array_repeat(F.lit(".."), F.size(folder) - common), F.slice(to, common + 1, F.size(to) - common))
+    code = F.url_encode(F.array_join(path, "/"))
+    for plain, escaped in (("%20", "+"), ("/", "%2F"), ("~", "%7E"), ("%2A", "*")):
+        code = F.replace(code, F.lit(escaped), F.lit(plain))
+    return code
+
+
+def rewrite_refs(pages: DataFrame, mapping: DataFrame, html: str = "html", key: str = "page_id", base: str | None = None, within: tuple[str, ...] = ()) -> DataFrame:
+    """Pages with their references replaced as ``mapping(old, new)`` says, all at once: a mapping may swap names.
+
+    A reference is looked up as it stands.  With ``base``, a column with the page's
+    own path, it is resolved from there: ``old`` and ``new`` are paths from the
+    root, and what is put in is relative to the page again, with the query and
+    fragment that were there; references that lead elsewhere stay.  ``within``
+    are columns of both tables, as of a book, in which a mapping holds.
+
+    Pages and mapping meet by reference, in a join, so either may be large; a
+    page's own pairs come back to it as one map.  Of several new names of an old one
+    the least is taken; a null page stays null.
+    """
+    look_up = list(dict.fromkeys((key, *within)))
+    refs = pages.select(*look_up, *([F.col(base).alias("_base")] if base else []), F.explode(page_refs(F.col(html))).alias("_ref")).distinct()
+    ref = F.trim("_ref")
+    if base:
+        relative = (F.regexp_extract(ref, r"^([a-zA-Z][a-zA-Z0-9+.\-]*:|//)", 1) == "") & (F.regexp_extract(ref, r"^([^?#]*)", 1) != "")
+        refs = refs.withColumn("old", F.when(relative, resolve_href(F.col("_base"), ref))).filter("old is not null")
+    else:
+        refs = refs.withColumn("old", ref)
+    one = mapping.groupBy(*within, "old").agg(F.min("new").alias("new"))
+    met = refs.join(one, [*within, "old"])
+    if base:
+        met = met.withColumn("new", F.concat(relative_href(F.col("_base"), F.col("new")), F.regexp_extract(ref, r"^[^?#]*(.*)$", 1)))
+    padded = F.concat(F.regexp_extract("_ref", r"^(\s*)", 1), "new", F.regexp_extract("_ref", r"(\s*)$", 1))
+    found = met.select(*look_up, "_ref", padded.alias("new")).distinct().groupBy(*look_up).agg(F.map_from_entries(F.collect_list(F.struct("_ref", "new"))).alias("_map"))
+    swapped = _rewritten(F.col(html), lambda x: F.coalesce(F.col("_map")[x], x))
+    return pages.join(found, look_up, "left").withColumn(html, F.when(F.col("_map").isNotNull(), swapped).otherwise(F.col(html))).select(*pages.columns)
 
 
 def spine_order(manifest: DataFrame, spine: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -72,9 +140,13 @@ def spine_order(manifest: DataFrame, spine: DataFrame) -> tuple[DataFrame, DataF
     return spine.join(hrefs, ["doc", "id"]), spine.join(hrefs, ["doc", "id"], "left_anti")
 
 
-def match_replacements(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Old and new files of equal stems, letter case aside; and what is ambiguous either way."""
-    o = old.select(F.col("file").alias("old"), F.lower("stem").alias("stem")).dropDuplicates(["old"])
-    both = o.join(new.select(F.col("file").alias("new"), F.lower("stem").alias("stem")), "stem")
-    both = both.withColumn("n_new", F.count("*").over(Window.partitionBy("old"))).withColumn("n_old", F.count("*").over(Window.partitionBy("new")))
-    return both.filter("n_new = 1 and n_old = 1").select("old", "new"), both.filter("n_new > 1 or n_old > 1").select("old", "new")
+def match_replacements(old: DataFrame, new: DataFrame, within: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Old and new files of equal stems, letter case aside; and what is ambiguous either way.
+
+    ``within`` are columns of both tables, as of a folder, in which names are matched.
+    """
+    o = old.select(*within, F.col("file").alias("old"), F.lower("stem").alias("stem")).dropDuplicates([*within, "old"])
+    n = new.select(*within, F.col("file").alias("new"), F.lower("stem").alias("stem"))
+    both = o.join(n, [*within, "stem"])
+    both = both.withColumn("n_new", F.count("*").over(Window.partitionBy(*within, "old"))).withColumn("n_old", F.count("*").over(Window.partitionBy(*within, "new")))
+    return both.filter("n_new = 1 and n_old = 1").select(*within, "old", "new"), both.filter("n_new > 1 or n_old > 1").select(*within, "old", "new")

@@ -890,12 +890,20 @@ def resolve_href(spark, sf):
     return view(spark, sf, "v4").select("page_id", "pos", markup.resolve_href(F.lit("OPS/text/page.xhtml"), href).alias("path"))
 
 
-@query("""select page_id, md5(replace(html, concat('"', first, '"'), '"/new"')) as digest from pages join (select page_id, min(href) as first from v4 group by page_id) using (page_id)""", "v4")
+_TAGGED = "concat('href=\"', {}, '\"')"
+
+
+@query(f"""select page_id, md5(case when lo = hi then replace(html, {_TAGGED.format('hi')}, 'href="/new"')
+  else replace(replace(replace(html, {_TAGGED.format('lo')}, {_TAGGED.format('chr(1)')}), {_TAGGED.format('hi')}, 'href="/new"'), {_TAGGED.format('chr(1)')}, {_TAGGED.format('hi')}) end) as digest
+  from pages join (select page_id, min(href) as lo, max(href) as hi from v4 group by page_id) using (page_id)""", "v4")
 def rewrite_refs(spark, sf):
-    first = view(spark, sf, "v4").groupBy("page_id").agg(F.min("href").alias("old"))
-    pages = table(spark, sf, "pages").join(first, "page_id")
-    swapped = markup.rewrite_refs(pages.select("page_id", F.replace("html", F.concat(F.lit('"'), c("old"), F.lit('"')), F.lit('"/old"')).alias("html")), spark.createDataFrame([("/old", "/new")], "old string, new string"))
-    return swapped.select("page_id", F.md5("html").alias("digest"))
+    """In every page its least link becomes its greatest, and that one a new name: a chain, taken as one step."""
+    ends = view(spark, sf, "v4").groupBy("page_id").agg(F.min("href").alias("lo"), F.max("href").alias("hi"))
+    pair = lambda old, new: F.struct(old.alias("old"), new.alias("new"))
+    last = pair(c("hi"), F.lit("/new"))
+    mapping = ends.select("page_id", F.inline(F.when(c("lo") == c("hi"), F.array(last)).otherwise(F.array(pair(c("lo"), c("hi")), last))))
+    pages = table(spark, sf, "pages").join(ends.select("page_id"), "page_id")
+    return markup.rewrite_refs(pages.select("page_id", "html"), mapping, within=("page_id",), key="page_id").select("page_id", F.md5("html").alias("digest"))
 
 
 @query("select page_id, pos, href as ref from v4", "v4")

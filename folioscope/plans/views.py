@@ -50,7 +50,7 @@ _NEEDS = {"v2": ("v1",), "v3c": ("v3",)}
 
 #: The same in DuckDB's dialect.
 SQL = {
-    "v1": """v1 as (
+    "v1": """v1 as materialized (
         with r as (select l_suppkey as book,
           cast(row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_shipdate) - 1 as int) as page,
           1200 + cast(l_partkey % 5 as int) * 300 as height, cast(l_quantity as int) as q from lineitem)

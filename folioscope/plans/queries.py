@@ -269,11 +269,11 @@ def join_pub_type(spark, sf):
     return _with_publication(spark, view(spark, sf, "v1").select("book").distinct()).select("book", "key", "image", "archive")
 
 
-@query(""", a as (select id // 5 as folder, row_number() over (partition by id // 5 order by stem_a) as place, stem_a as stem, size_a from v6a), b as (select id // 5 as folder, row_number() over (partition by id // 5 order by stem_b) as place, stem_b, size_b from v6a)
+@query(""", a as (select folder, row_number() over (partition by folder order by stem_a) as place, stem_a as stem, size_a from v6a), b as (select folder, row_number() over (partition by folder order by stem_b) as place, stem_b, size_b from v6a)
   select folder, stem, size_a, size_b, case when size_a <= size_b then 'A' else 'B' end as pick from a join b using (folder, place) where stem = stem_b""", "v6a")
 def join_mixmatch(spark, sf):
-    """Folders of five pairs; where a stem differs, what follows it by name no longer agrees by place."""
-    p = view(spark, sf, "v6a").withColumn("folder", F.expr("id div 5"))
+    """Folders of 97 pairs; where a stem differs, what follows it by name no longer agrees by place."""
+    p = view(spark, sf, "v6a")
     return ranges.mix_and_match(p.select("folder", c("stem_a").alias("stem"), c("size_a").alias("size")), p.select("folder", c("stem_b").alias("stem"), c("size_b").alias("size"))).select("folder", "stem", "size_a", "size_b", "pick")
 
 
@@ -287,12 +287,13 @@ def join_spine_manifest(spark, sf):
     return found.select("doc", "pos", "id", "href").unionByName(missing.select("doc", "pos", "id"), allowMissingColumns=True)
 
 
-@query("select concat(stem_a, '.png') as old, concat(upper(stem_b), '.jpg') as new from v6a a where lower(stem_a) = lower(stem_b)", "v6a")
+@query("select folder, concat(stem_a, '.png') as old, concat(upper(stem_b), '.jpg') as new from v6a a where lower(stem_a) = lower(stem_b)", "v6a")
 def join_replacements(spark, sf):
+    """Stems recur in every folder; they meet in their own."""
     p = view(spark, sf, "v6a")
-    old = p.select(F.concat("stem_a", F.lit(".png")).alias("file"), c("stem_a").alias("stem"))
-    new = p.select(F.concat(F.upper("stem_b"), F.lit(".jpg")).alias("file"), F.upper("stem_b").alias("stem"))
-    return markup.match_replacements(old, new)[0]
+    old = p.select("folder", F.concat("stem_a", F.lit(".png")).alias("file"), c("stem_a").alias("stem"))
+    new = p.select("folder", F.concat(F.upper("stem_b"), F.lit(".jpg")).alias("file"), F.upper("stem_b").alias("stem"))
+    return markup.match_replacements(old, new, ("folder",))[0]
 
 
 @query("select distinct book, concat('level-', page % 4) as step from v1 where page % 4 not in (1, 2)", "v1")

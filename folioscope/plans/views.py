@@ -30,16 +30,16 @@ _SPARK = {
         from {embeddings} lateral view posexplode(embedding) t as pos, e""",
     "v3c": """
         select image, vec_id, pos div 3 as px, max(case when pos % 3 = 0 then v end) as r, max(case when pos % 3 = 1 then v end) as g,
-          max(case when pos % 3 = 2 then v end) as b from v3 where pos < 63 group by image, vec_id, pos div 3""",
+          max(case when pos % 3 = 2 then v end) as b from v3 group by image, vec_id, pos div 3 having count(*) = 3""",
     "v4": """
         select page_id, url, pos, href from (select page_id, url, regexp_extract_all(html, 'href="([^"]*)"', 1) a from {pages})
         lateral view posexplode(a) t as pos, href""",
     "v5": """select event_id, ts, user_id, event_type, value, cast(get_json_object(props, '$.k') as int) as k from {events}""",
     "v6a": """
-        select d.doc_id as id, concat('doc', cast(d.doc_id as string)) as stem_a,
-          concat(case when d.doc_id % 11 = 0 then 'x' else 'doc' end, cast(d.doc_id as string)) as stem_b,
-          d.n_chars as size_a, cast(length(b.text) as bigint) as size_b
-        from {documents} d join {benchmark} b on d.doc_id = b.item_id""",
+        select doc_id as id, doc_id div 97 as folder, concat('doc', cast(doc_id % 97 as string)) as stem_a,
+          concat(case when doc_id % 11 = 0 then 'x' else 'doc' end, cast(doc_id % 97 as string)) as stem_b,
+          n_chars as size_a, n_chars div 100 * (90 + doc_id % 21) + n_chars % 7 as size_b
+        from {documents}""",
     "v6b": """
         select p_partkey as page_id, 0D as mx0, 0D as my0, p_size * 40D as mx1, 800D as my1,
           case when p_size % 3 = 0 then p_size * 1D else 0D end as cx0, 10D as cy0,
@@ -69,17 +69,17 @@ SQL = {
         from (select label, vec_id, embedding, unnest(range(1, len(embedding) + 1)) as i from embeddings))""",
     "v3c": """v3c as (
         select image, vec_id, pos // 3 as px, max(case when pos % 3 = 0 then v end) as r, max(case when pos % 3 = 1 then v end) as g,
-          max(case when pos % 3 = 2 then v end) as b from v3 where pos < 63 group by image, vec_id, pos // 3)""",
+          max(case when pos % 3 = 2 then v end) as b from v3 group by image, vec_id, pos // 3 having count(*) = 3)""",
     "v4": """v4 as (
         select page_id, url, cast(i - 1 as int) as pos, a[i] as href from (
           select page_id, url, a, unnest(range(1, len(a) + 1)) as i from (
             select page_id, url, regexp_extract_all(html, 'href="([^"]*)"', 1) as a from pages)))""",
     "v5": """v5 as (select event_id, ts, user_id, event_type, value, cast(json_extract_string(props, '$.k') as int) as k from events)""",
     "v6a": """v6a as (
-        select d.doc_id as id, concat('doc', cast(d.doc_id as varchar)) as stem_a,
-          concat(case when d.doc_id % 11 = 0 then 'x' else 'doc' end, cast(d.doc_id as varchar)) as stem_b,
-          d.n_chars as size_a, cast(length(b.text) as bigint) as size_b
-        from documents d join benchmark b on d.doc_id = b.item_id)""",
+        select doc_id as id, doc_id // 97 as folder, concat('doc', cast(doc_id % 97 as varchar)) as stem_a,
+          concat(case when doc_id % 11 = 0 then 'x' else 'doc' end, cast(doc_id % 97 as varchar)) as stem_b,
+          n_chars as size_a, n_chars // 100 * (90 + doc_id % 21) + n_chars % 7 as size_b
+        from documents)""",
     "v6b": """v6b as (
         select p_partkey as page_id, 0::double as mx0, 0::double as my0, p_size * 40::double as mx1, 800::double as my1,
           case when p_size % 3 = 0 then p_size * 1::double else 0::double end as cx0, 10::double as cy0,

@@ -26,6 +26,18 @@ def score_features(df: DataFrame, features: list[str], make_predict: Callable, n
     return df.withColumn("heads", run(F.array(*(F.col(c).cast("double") for c in features))))
 
 
+def guarded_scores(df: DataFrame, decided: Column, answers: dict[str, Column], features: list[str], make_predict: Callable, n_heads: int, batch_size: int = 1024) -> DataFrame:
+    """``is_color, confidence, should_convert``: ``answers`` where the cheap test ``decided`` holds, the model's vote elsewhere.
+
+    Only undecided rows reach the model's workers: a condition around a model's
+    column would still send all rows there.
+    """
+    sure = F.coalesce(decided, F.lit(False))
+    asked = score_features(df.filter(~sure), features, make_predict, n_heads, batch_size)
+    voted = asked.withColumns(vote(F.col("heads"))).drop("heads")
+    return df.filter(sure).withColumns({k: answers[k].cast(voted.schema[k].dataType) for k in ("is_color", "confidence", "should_convert")}).unionByName(voted)
+
+
 def tile_starts(length: Column, tile: int, overlap: int) -> Column:
     stride = tile - 2 * overlap
     if stride < 1:
@@ -34,31 +46,39 @@ def tile_starts(length: Column, tile: int, overlap: int) -> Column:
     return F.transform(F.sequence(F.lit(0), n.cast("int") - 1), lambda k: k * stride)
 
 
-def tile_score(pixels: DataFrame, tile: int, overlap: int, predict: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """Score overlapping tiles of images ``image, y, x, v`` and blend them: ``image, y, x, out``.
+def tile_score(pixels: DataFrame, tile: int, overlap: int, predict: Callable[[np.ndarray], np.ndarray], keys: tuple[str, ...] = ("image",), scale: int = 1, padding: int = 0) -> DataFrame:
+    """Score overlapping tiles of images ``(keys), y, x, v`` and blend them: ``(keys), y, x, out``.
 
     A tile is the largest thing a task holds.  Weights fall off towards a
-    tile's edges; the blend is their weighted mean, clipped to 0..255.
+    tile's edges; the blend is their weighted mean, clipped to 0..255.  A model
+    that gives back tiles ``scale`` times as large makes images as much larger;
+    what a tile has beyond its image is ``padding``.
     """
-    size = pixels.groupBy("image").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
+    size = pixels.groupBy(*keys).agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
     stride = tile - 2 * overlap
     ys = lambda c, n: F.transform(F.sequence(F.greatest(F.ceil((c - tile + 1) / stride), F.lit(0)), F.least(F.floor(c / stride), F.greatest(F.ceil((n - tile) / stride), F.lit(0)))), lambda k: k.cast("int") * stride)
-    placed = pixels.join(size, "image").select("image", "y", "x", "v", F.explode(ys(F.col("y"), F.col("h"))).alias("ty"), "w")
-    placed = placed.select("image", "y", "x", "v", "ty", F.explode(ys(F.col("x"), F.col("w"))).alias("tx"))
-    ramp = np.minimum(np.minimum(np.arange(tile) + 1, tile - np.arange(tile)), max(1, 2 * overlap)) / max(1, 2 * overlap)
+    at = [*keys, "ty", "tx"]
+    placed = pixels.join(size, [*keys]).select(*keys, "y", "x", "v", F.explode(ys(F.col("y"), F.col("h"))).alias("ty"), "w")
+    placed = placed.select(*keys, "y", "x", "v", "ty", F.explode(ys(F.col("x"), F.col("w"))).alias("tx"))
+    side, feather = tile * scale, max(1, 2 * overlap * scale)
+    ramp = np.minimum(np.minimum(np.arange(side) + 1, side - np.arange(side)), feather) / feather
+    grown = np.arange(scale)
 
     def score(rows: pd.DataFrame) -> pd.DataFrame:
         """Whole tiles, sorted by tile: each is filled, scored and weighted."""
-        key = rows[["image", "ty", "tx"]].to_numpy(np.int64)
-        cuts = np.flatnonzero(np.any(key[1:] != key[:-1], axis=1)) + 1
+        cuts = np.flatnonzero((rows[at].to_numpy()[1:] != rows[at].to_numpy()[:-1]).any(axis=1)) + 1
         y, x = (rows["y"] - rows["ty"]).to_numpy(), (rows["x"] - rows["tx"]).to_numpy()
-        v, out = rows["v"].to_numpy() / 255, np.empty(len(rows))
+        v = rows["v"].to_numpy() / 255
+        # each pixel becomes a square of scale by scale
+        ys_, xs_ = (y[:, None] * scale + np.repeat(grown, scale)).ravel(), (x[:, None] * scale + np.tile(grown, scale)).ravel()
+        n, out = scale * scale, np.empty(len(rows) * scale * scale)
         for a, b in zip([0, *cuts], [*cuts, len(rows)]):
-            block = np.zeros((tile, tile))
+            block = np.full((tile, tile), padding / 255)
             block[y[a:b], x[a:b]] = v[a:b]
-            out[a:b] = predict(block)[y[a:b], x[a:b]]
-        weight = ramp[y] * ramp[x]
-        return rows[["image", "y", "x"]].assign(wv=out * weight, w=weight)
+            out[a * n : b * n] = predict(block)[ys_[a * n : b * n], xs_[a * n : b * n]]
+        weight = ramp[ys_] * ramp[xs_]
+        repeated = rows[[*keys, "ty", "tx"]].loc[rows.index.repeat(n)].reset_index(drop=True)
+        return repeated[[*keys]].assign(y=repeated["ty"].to_numpy() * scale + ys_, x=repeated["tx"].to_numpy() * scale + xs_, wv=out * weight, w=weight)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -66,18 +86,18 @@ def tile_score(pixels: DataFrame, tile: int, overlap: int, predict: Callable[[np
             rows = batch if rest is None else pd.concat((rest, batch), ignore_index=True)
             if rows.empty:
                 continue
-            last = rows.iloc[-1]
-            tail = (rows["image"] == last["image"]) & (rows["ty"] == last["ty"]) & (rows["tx"] == last["tx"])
+            tail = (rows[at] == rows[at].iloc[-1]).all(axis=1)
             rest = rows[tail]
             if not tail.all():
-                yield score(rows[~tail])
+                yield score(rows[~tail].reset_index(drop=True))
         if rest is not None:
-            yield score(rest)
+            yield score(rest.reset_index(drop=True))
 
-    dealt = placed.repartition("image", "ty", "tx").sortWithinPartitions("image", "ty", "tx").drop("w")
-    scored = dealt.mapInPandas(run, "image int, y int, x int, wv double, w double")
-    blended = scored.groupBy("image", "y", "x").agg((F.sum("wv") / F.sum("w")).alias("s"))
-    return blended.select("image", "y", "x", F.rint(F.greatest(F.lit(0.0), F.least(F.lit(1.0), "s")) * 255).cast("int").alias("out"))
+    dealt = placed.repartition(*at).sortWithinPartitions(*at).drop("w")
+    kinds = ", ".join(f"{k} {pixels.schema[k].dataType.simpleString()}" for k in keys)
+    scored = dealt.mapInPandas(run, f"{kinds}, y int, x int, wv double, w double")
+    blended = scored.groupBy(*keys, "y", "x").agg((F.sum("wv") / F.sum("w")).alias("s"))
+    return blended.select(*keys, "y", "x", F.rint(F.greatest(F.lit(0.0), F.least(F.lit(1.0), "s")) * 255).cast("int").alias("out"))
 
 
 def n_tiles(length: int, tile: int, overlap: int) -> int:

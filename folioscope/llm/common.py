@@ -9,6 +9,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,12 +20,23 @@ BATCH_BYTES = 8 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bound batches for Python workers by their bytes, as 10,000 long texts would fill a worker."""
+    """Bound batches for Python workers by their bytes, as 10,000 long texts would fill a worker.
+
+    The session keeps the lower bound: plans are run after an operator has returned them.
+    """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(re.sub(r"\D", "", spark.conf.get(key))) > BATCH_BYTES:
+    if not 0 < byte_size(spark.conf.get(key)) <= BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+def byte_size(text: str) -> int:
+    """A size as Spark's settings have it: a whole number, with a unit of powers of 1024 or without."""
+    found = re.fullmatch(r"\s*(-?\d+)\s*([kmgtp]?)i?b?\s*", text.lower())
+    if not found:
+        raise ValueError(f"not a size: {text}")
+    return int(found[1]) << 10 * " kmgtp".index(found[2] or " ")
+
+
 def give_back() -> None:
     """At the end of a task: return what it took to the system, as workers are used again for later stages."""
     import pyarrow as pa
@@ -49,7 +61,8 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
-_temporary: list[list[str]] = []
+#: The scopes that are open, of each thread its own.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
 @contextmanager
@@ -57,13 +70,17 @@ def temporary_tables(spark: SparkSession) -> Iterator[None]:
     """Tables materialized inside are deleted at the end, but those that are kept; what is returned may read only these.
 
     A table kept inside a nested use goes with the tables of the outer one.
+    Tables that a query's result reads are its caller's: a caller that has
+    written the result inside a use of its own leaves nothing behind.
     """
-    _temporary.append([])
+    token = _scopes.set((*_scopes.get(), []))
     try:
         yield
     finally:
         jvm, settings = spark._jvm, spark._jsc.hadoopConfiguration()
-        for name in _temporary.pop():
+        names = _scopes.get()[-1]
+        _scopes.reset(token)
+        for name in names:
             path = jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(settings).delete(path, True)
 
@@ -77,7 +94,7 @@ def materialize(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    if scopes := _temporary[:-1] if keep else _temporary:
+    if scopes := _scopes.get()[: -1 if keep else None]:
         scopes[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -13,8 +13,10 @@ losing no pair; its blocks and codes are chosen by the number of fingerprints,
 so that what meets at an anchor stays in bounds.  ``similar_groups`` links texts
 whose sets of five-word shingles have a Jaccard similarity of 0.8 or more:
 fingerprints of 256 bits meet the same way, and exact similarity decides what
-is linked (at the least similarity about one pair in a thousand never meets,
-measured by a test; above it fewer).
+is linked (of texts of ``SHORT`` shingles or more about one pair in a thousand
+never meets at the least similarity, measured by a test; above it fewer).  What
+is near but still apart after that, and every shorter text, meets by a prefix
+filter on its rarest shingles, which loses no pair.
 
 Equal fingerprints (or texts) are one row before covering.  An anchor with very
 many fingerprints is cut into a grid of bounded cells, so no pair is lost and
@@ -77,8 +79,12 @@ LARGE_FROM = 50_000_000
 WIDE = Cover(4, THREE, 1, 33, 2)
 WIDE_RADIUS = 60
 SIMILARITY = 0.8
-#: Rounds in which the members of a cell's group meet one of them, before all pairs that are left.
+#: Rounds in which the members of a cell's group meet one of them, before the prefix filter takes what is left.
 STARS = 2
+#: Texts of fewer shingles are compared by the prefix filter, as too few bits agree in their fingerprints.
+SHORT = 30
+#: Counters of how common shingles are, two megabytes; and bits of 128 in which longer texts differ at most, six standard deviations above what 0.8 gives.
+COUNTERS, APART = 1 << 18, 45
 
 
 def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
@@ -305,8 +311,7 @@ _MIX = np.random.default_rng(11).integers(0, 1 << 63, WIDE.words, np.uint64) * n
 
 
 def wide_fingerprint(grams: np.ndarray) -> np.ndarray:
-    """SimHash of ``WIDE.words`` words over a set of shingle hashes."""
-    grams = np.unique(grams)
+    """SimHash of ``WIDE.words`` words over shingle hashes, each once."""
     counts = np.zeros(64 * WIDE.words, np.int64)
     for at in range(0, len(grams), 255):
         x = grams[at : at + 255, None] * _MIX
@@ -318,21 +323,22 @@ def wide_fingerprint(grams: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``doc_id, t, node, w0, ...``: nodes are equal for texts of the same words, ``t`` is the text's key."""
+    """``doc_id, t, node, n, w0, ...``: nodes are equal for texts of the same words, ``t`` is the text's key, ``n`` counts distinct shingles."""
     bounded_batches(docs.sparkSession)
     names = [f"w{k}" for k in range(WIDE.words)]
 
-    @F.pandas_udf(", ".join(f"{c} long" for c in ("node", *names)))
+    @F.pandas_udf(", ".join(f"{c} long" for c in ("node", "n", *names)))
     def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        cache = BoundedCache(lambda w: xxhash.xxh64_intdigest(w, 7), 100_000)
+        cache = _hash_of_words()
         for texts in batches:
             rows = []
             for t in texts:
                 tokens = t.lower().split()
                 words = np.fromiter(map(cache.__getitem__, tokens), np.uint64, len(tokens))
                 node = int(np.uint64(xxhash.xxh64_intdigest(b" ".join(tokens), 5)).view(np.int64))
-                rows.append((node, *wide_fingerprint(shingles(words)).tolist()))
-            yield pd.DataFrame(rows, columns=["node", *names])
+                grams = np.unique(shingles(words))
+                rows.append((node, len(grams), *wide_fingerprint(grams).tolist()))
+            yield pd.DataFrame(rows, columns=["node", "n", *names])
         del cache
         give_back()
 
@@ -353,22 +359,95 @@ def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=float)
 
 
+def _grams(text: bytes, cache: BoundedCache) -> np.ndarray:
+    tokens = text.lower().split()
+    return np.unique(shingles(np.fromiter(map(cache.__getitem__, tokens), np.uint64, len(tokens))))
+
+
+def _hash_of_words() -> BoundedCache:
+    return BoundedCache(lambda w: xxhash.xxh64_intdigest(w, 7), 100_000)
+
+
+def prefixes(n: int, similarity: float = SIMILARITY) -> tuple[int, int]:
+    """How many of a set's first members one that is at least as large, or one that is at most as large, must meet.
+
+    Of two sets in one order whose similarity is reached, the first common member is among that
+    many of the smaller and of the larger one: they share at least 2 s / (1 + s) of the smaller, and s of the larger.
+    """
+    least = lambda share: n - int(np.ceil(share * n - 1e-9)) + 1
+    return least(2 * similarity / (1 + similarity)), least(similarity)
+
+
+def prefix_pairs(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``u, v``: all pairs of ``texts(node, root, a, b, text)`` of different roots that may have the similarity.
+
+    Shingles are ordered by how common they are (by counters that several may
+    share: any order is right, as long as it is one), so what many texts have in common comes last; texts meet
+    by a shingle in their prefixes, where what follows it is long enough for the
+    overlap that the similarity needs.  Of pairs of long texts those whose fingerprints ``a, b`` are far apart are left out.
+    """
+    spark = texts.sparkSession
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cache, seen = _hash_of_words(), np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for text in batch["text"]:
+                np.add.at(seen, (_grams(text, cache) % np.uint64(COUNTERS)).astype(np.int64), 1)
+        at = np.flatnonzero(seen)
+        yield pd.DataFrame({"counter": at, "n": seen[at]})
+        del cache
+        give_back()
+
+    got = texts.select("text").mapInPandas(count, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    common = np.zeros(COUNTERS, np.int64)
+    common[got["counter"].to_numpy()] = got["n"].to_numpy()
+    shared = spark.sparkContext.broadcast(common)
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cache = _hash_of_words()
+        for batch in batches:
+            grams, sizes = [np.zeros(0, np.uint64)], np.zeros((len(batch), 3), np.int64)
+            for k, text in enumerate(batch["text"]):
+                own = _grams(text, cache)
+                if len(own):
+                    sizes[k] = len(own), *prefixes(len(own), similarity)
+                    grams.append(own[np.lexsort((own, shared.value[(own % np.uint64(COUNTERS)).astype(np.int64)]))[: sizes[k, 2]]])
+            row = np.repeat(np.arange(len(batch)), sizes[:, 2])
+            at = np.arange(len(row)) - np.repeat(np.cumsum(sizes[:, 2]) - sizes[:, 2], sizes[:, 2])
+            own = {c: batch[c].to_numpy()[row] for c in ("node", "root", "a", "b")}
+            yield pd.DataFrame({"gram": np.concatenate(grams).view(np.int64), "at": at, "n": sizes[row, 0], "first": at < sizes[row, 1]} | own)
+        del cache
+        give_back()
+
+    met = materialize(texts.mapInPandas(cut, "gram long, at int, n int, first boolean, node long, root long, a long, b long"), "prefixes")
+    x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
+    smaller = (x("n") < y("n")) | (x("n") == y("n")) & (x("node") < y("node"))
+    needed = (x("n") + y("n")) * F.lit(similarity / (1 + similarity)) - 1e-9
+    bits = F.bit_count(x("a").bitwiseXOR(y("a"))) + F.bit_count(x("b").bitwiseXOR(y("b")))
+    may = smaller & (x("root") != y("root")) & (F.least(x("n") - x("at"), y("n") - y("at")) >= needed) & ((x("n") < SHORT) | (bits <= APART))
+    both = met.filter("first").alias("x").join(met.alias("y"), (x("gram") == y("gram")) & may)
+    return both.select(F.least(x("node"), y("node")).alias("u"), F.greatest(x("node"), y("node")).alias("v")).distinct()
+
+
 def similar_links(docs: DataFrame, signed: DataFrame, text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """``u, v``: links whose components are those of all pairs of nodes that meet and have at least the similarity.
 
-    What a cell finds near each other is a group; its members are first compared with one of them, then those that are still in
-    different components with each other, so a large group of copies costs a star and no pair of a group stays undecided.
-    Only pairs within ``WIDE_RADIUS`` bits are compared by their texts.
+    What a cell finds near each other is a group; its members are first compared with one of them, so a large group of copies
+    costs a star.  Those that are still in different components, and short texts, meet by the prefix filter, so a large
+    group of texts that are all a little less similar costs no pair for each two of them.  What meets in cells is compared by
+    texts within ``WIDE_RADIUS`` bits only.
     """
     names = [f"w{k}" for k in range(WIDE.words)]
     # one row stands for all of a node
-    points = materialize(signed.groupBy(F.col("node").alias("id")).agg(F.min_by(F.struct("doc_id", "t", *names), "t").alias("x")).select("id", "x.*"), "points")
-    stars = materialize(near_links(points, WIDE), "stars")
+    points = materialize(signed.groupBy(F.col("node").alias("id")).agg(F.min_by(F.struct("doc_id", "t", "n", *names), "t").alias("x")).select("id", "x.*"), "points")
+    stars = materialize(near_links(points.select("id", *names), WIDE), "stars")
     group = F.xxhash64("cell", "v").alias("key")
     members = stars.select(group, F.col("u").alias("node")).unionByName(stars.select(group, F.col("v").alias("node"))).distinct()
     members = materialize(members.join(points.select(F.col("id").alias("node"), *names), "node"), "members")
-    wanted = materialize(members.select(F.col("node").alias("id")).distinct(), "proposed")
-    wanted = materialize(points.join(wanted, "id", "left_semi").select("id", "doc_id", "t"), "wanted").alias("w")
+    # a partner of a short text has no more than this
+    short = points.filter(F.col("n") <= int(SHORT / similarity)).select(F.col("id").alias("node"))
+    wanted = materialize(members.select("node").unionByName(short).distinct(), "proposed")
+    wanted = materialize(points.join(wanted.withColumnRenamed("node", "id"), "id", "left_semi").select("id", "doc_id", "t"), "wanted").alias("w")
     rows = docs.select("doc_id", text_key(text).alias("t"), blank(text).cast("binary").alias("text")).alias("d")
     texts = rows.join(wanted, F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.t") == F.col("w.t"))).select(F.col("w.id").alias("node"), "d.text")
     # equal rows are one
@@ -397,12 +476,12 @@ def similar_links(docs: DataFrame, signed: DataFrame, text: str = "text", simila
             left = rooted.alias("x")
             if turn < STARS:
                 apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & close("x", "y")
-                pairs = left.join(open_keys, apart)
+                pairs = left.join(open_keys, apart).select(F.col("x.node").alias("u"), F.col("y.node").alias("v"))
             else:
-                still = materialize(rooted.join(open_keys.select("key"), "key", "left_semi"), "still")
-                apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & close("x", "y")
-                pairs = still.alias("x").join(still.alias("y"), apart)
-            pairs = pairs.select(F.col("x.node").alias("u"), F.col("y.node").alias("v"))
+                still = rooted.join(open_keys.select("key"), "key", "left_semi").select("node").unionByName(short).distinct()
+                still = materialize(still.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "still")
+                left = still.join(points.select(F.col("id").alias("node"), F.col("w0").alias("a"), F.col("w1").alias("b")), "node")
+                pairs = prefix_pairs(materialize(left.join(texts, "node"), "left"), similarity)
         pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         fresh = materialize(decided(materialize(pairs.join(known, ["u", "v"], "left_anti"), "pairs")), "decided")
         known = known.unionByName(fresh)

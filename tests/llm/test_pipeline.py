@@ -122,6 +122,67 @@ def test_chains_of_close_copies_are_one_group(spark):
     assert sorted(map(sorted, found.values())) == sorted(map(sorted, want.values()))
 
 
+def exact_pairs(rows):
+    sets = {d: simhash_dedup.shingle_set(t.encode()) for d, t in rows}
+    return {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8}
+
+
+def test_prefix_filter_loses_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(simhash_dedup, "COUNTERS", 16)  # counters that very many share
+    monkeypatch.setattr(simhash_dedup, "SHORT", 10**6)  # no fingerprints
+    rng = np.random.default_rng(6)
+    rows, at = [], 0
+    for g in range(60):
+        base = [f"w{x}" for x in rng.integers(0, 40 if g % 2 else 3000, int(rng.integers(4, 60)))]
+        for _ in range(int(rng.integers(2, 8))):
+            copy = list(base)
+            for _ in range(int(rng.integers(0, 3))):
+                k = int(rng.integers(0, len(copy)))
+                copy[k : k + 1] = [[], ["new"], [copy[k], "more"]][int(rng.integers(0, 3))]
+            rows.append((at, " ".join(copy)))
+            at += 1
+    texts = spark.createDataFrame([(d, d, 0, 0, t.encode()) for d, t in rows], "node long, root long, a long, b long, text binary")
+    tried = {(r["u"], r["v"]) for r in simhash_dedup.prefix_pairs(texts).collect()}
+    want = exact_pairs(rows)
+    assert want <= tried and len(want) > 60 and len(tried) < 10 * len(want)
+
+
+def test_short_texts_lose_no_pair(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for g in range(300):
+        base = [f"w{x}" for x in rng.integers(0, 5000, int(rng.integers(8, 32)))]
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(base[: -max(1, len(base) // 8)] if g % 3 else base[1:]))]
+    root = least_of_groups([r for r in rows])
+    found = {}
+    for r in simhash_dedup.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        found.setdefault(r["root"], set()).add(r["doc_id"])
+    want = {}
+    for d, least in root.items():
+        want.setdefault(least, set()).add(d)
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, want.values())) and len(want) < 500
+
+
+def test_a_large_group_just_below_the_similarity_costs_no_square(spark, monkeypatch):
+    """2,000 texts that have 88 of 100 shingles in common: each two are 0.78 alike."""
+    core = " ".join(f"c{k}" for k in range(92))
+    rows = [(d, f"{core} " + " ".join(f"u{d}x{k}" for k in range(12 + d % 2))) for d in range(2000)]
+    rows += [(5000 + d, f"{core} " + " ".join(f"u{d}x{k}" for k in range(11 + d % 2))) for d in range(5)]
+    tried = []
+    write = simhash_dedup.materialize
+
+    def counted(df, tag, keep=False):
+        out = write(df, tag, keep)
+        if tag == "pairs":
+            tried.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash_dedup, "materialize", counted)
+    roots = [r["root"] for r in simhash_dedup.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    # a member more or less is all that the filter can't tell
+    assert len(set(roots)) == 2000 and sum(tried) < 40_000
+
+
 ODD = "doc_id long, text string, lang string, source string, n_chars long, _text int, language int, item int, bin int, at int, t int, node int, text_key int"
 
 

@@ -96,7 +96,17 @@ def materialize(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     if scopes := _scopes.get()[: -1 if keep else None]:
         scopes[-1].append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._table = path
+    return written
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that ``materialize`` has given and nothing reads any more; any other DataFrame is left alone."""
+    if path := getattr(df, "_table", None):
+        spark = df.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def quoted(name: str) -> str:

@@ -37,6 +37,8 @@ TRAIN_PAGES, TRAIN_NODES = 400, 40_000
 TREES, DEPTH, RATE, BINS, RIDGE = 40, 4, 0.3, 24, 1.0
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements of the head; any other tag, or text, ends it where ``</head>`` is left out.
+HEAD = frozenset("html head title meta link base style script noscript template".split())
 RAW = frozenset("script style noscript template iframe svg textarea select title".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big button cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 #: A start tag of these ends an open paragraph.
@@ -56,7 +58,7 @@ AGAINST = _words(
 )
 IN_FAVOUR = _words("article", "content", "main", "post", "entry", "story", "body", "text", "prose", "artikel", "inhalt", "beitrag", "contenu", "contenido", "articulo")
 #: Quotes delimit a value directly after an equals sign only.
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>][^\s>]*+)?)*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
+TAG = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?>[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>][^\s>]*+)?)*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s/>=]++)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++))")
 NAMING = frozenset(("class", "id", "role"))
 SPACE = re.compile(r"\s+")
@@ -109,6 +111,9 @@ def read_page(html: str) -> Page:
 
     def text(a: int, b: int) -> None:
         nonlocal loose
+        nonlocal head
+        if a < b and head:
+            head = not html[a:b].strip()
         if a < b and not head:
             run = entities.unescape(html[a:b])
             blank_run = not run.strip()
@@ -156,6 +161,7 @@ def read_page(html: str) -> Page:
                         close(k)
                         break
             continue
+        head = head and name in HEAD
         if name in RAW:
             stop = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
             at = stop.end() if stop else end
@@ -391,6 +397,7 @@ def labelled_examples() -> tuple[np.ndarray, np.ndarray]:
 
 def train(pages: DataFrame, html: str = "html") -> Trees:
     """Fit the trees; at most about ``TRAIN_NODES`` feature rows of a bounded sample of pages come to the driver."""
+    bounded_batches(pages.sparkSession)
     whole = pages.select("page_id", blank(html).alias("h"))
     sample = hash_sample(whole, ("page_id", "h"), TRAIN_PAGES, pages.count()).select("h")
 

@@ -26,16 +26,14 @@ from .common import blank, bounded_batches, give_back, quoted
 UNKNOWN = "und"
 #: Expected bound of training documents of each language; of longer ones the share falls.
 TRAIN_DOCS = 1500
-#: Below so many training documents every trigram of a language counts, not those met ``LEAST_COUNT`` times only.
-FEW_DOCS = 100
-#: Trigrams kept for each language, and how much rarer than in another language one may be.
-GRAMS, LEAST_SHARE, LEAST_COUNT = 6000, 0.25, 3
+#: Trigrams kept for each language; the share of its trigrams that one must have, and how much rarer than in another language one may be.
+GRAMS, LEAST_PART, LEAST_SHARE = 6000, 6e-7, 0.25
 #: Filter positions and hash functions; a position holds one word of bits for each 64 languages.
 POSITIONS, HASHES, WORD_BITS = 1 << 17, 3, 64
 #: Labelled values that may be languages; more are taken for a column that holds something else.
 MOST_LANGUAGES = 4096
-#: Letters handled at once.
-BLOCK = 1 << 20
+#: Letters handled at once, and trigrams counted at once.
+BLOCK, COUNTED = 1 << 20, 1 << 22
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -108,6 +106,7 @@ def train(docs: DataFrame, rows: Column, text: str = "text", lang: str = "lang")
 
     Trigrams are counted in Spark; only those frequent enough come to the driver.
     """
+    bounded_batches(docs.sparkSession)
     labelled = docs.filter(rows & F.col(lang).isNotNull()).select("doc_id", F.col(lang).alias("lang"), blank(text).alias("t"))
     totals = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
     if len(totals) > MOST_LANGUAGES:
@@ -121,18 +120,29 @@ def train(docs: DataFrame, rows: Column, text: str = "text", lang: str = "lang")
     sample = labelled.filter(F.pmod(F.xxhash64("doc_id", "t"), F.lit(grain)) < cut).select("lang", "t")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def counted(name: str, held: list[np.ndarray]) -> pd.DataFrame:
+            values, n = np.unique(np.concatenate(held), return_counts=True)
+            return pd.DataFrame({"lang": name, "gram": values.view(np.int64), "n": n.astype(np.int64)})
+
         for batch in batches:
             for name, texts in batch.groupby("lang")["t"]:
-                grams = np.concatenate([g for t in texts for g in trigrams(t)] or [np.zeros(0, np.uint64)])
-                values, n = np.unique(grams, return_counts=True)
-                yield pd.DataFrame({"lang": name, "gram": values.view(np.int64), "n": n.astype(np.int64)})
+                held, n = [], 0
+                for grams in (g for t in texts for g in trigrams(t)):
+                    held.append(grams)
+                    n += len(grams)
+                    if n >= COUNTED:
+                        yield counted(name, held)
+                        held, n = [], 0
+                if held:
+                    yield counted(name, held)
+        give_back()
 
     counts = sample.mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    # ranked within each language, so one of few rows keeps its own; of those rows also what occurs once
+    # ranked within each language, so one of few rows keeps its own
     ranked = counts.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram")))
-    least = F.create_map(*(F.lit(x) for name, n in totals.items() for x in (name, LEAST_COUNT if n >= FEW_DOCS else 1)))[F.col("lang")]
-    frequent = ranked.filter((F.col("place") <= 2 * GRAMS) & (F.col("n") >= least)).drop("place").toPandas()
+    frequent = ranked.filter(F.col("place") <= 2 * GRAMS).drop("place").toPandas()
     frequent["share"] = frequent["n"] / frequent.groupby("lang")["n"].transform("sum")
+    frequent = frequent[frequent["share"] >= LEAST_PART]
     frequent = frequent[frequent["share"] >= LEAST_SHARE * frequent.groupby("gram")["share"].transform("max")]
     kept = frequent.sort_values(["n", "gram"], ascending=[False, True]).groupby("lang").head(GRAMS)
     return LanguageFilters.build({name: g["gram"].to_numpy(np.int64).view(np.uint64) for name, g in kept.groupby("lang")})

@@ -100,6 +100,11 @@ class WordIds:
         for word in words:
             if word not in self.cache:
                 self.cache[word] = self._encode(word)
+        # of long words no part stays either; the words themselves go when they have been read
+        for word, front, core in cut:
+            for x in (front[: len(front) - len(core)], core, word[len(front) :]):
+                if len(x) > LONG and x not in words:
+                    self.cache.pop(x, None)
 
     def of(self, text: str) -> bytes:
         words = BREAKS.sub(" ", text).split(" ") if UNEVEN.search(text) else TAIL.sub(r" \g<0>", text.lower()).split()

@@ -188,7 +188,7 @@ def repeated_starts(docs: DataFrame, text: str = "text", length: int = LENGTH) -
     payload = ["doc_id", "t", "a", "p0", "p1"]
     whole_blocks, to_cut, shared = _resolve(samples.withColumn("n", F.lit(1).cast("long")), payload, "blocks")
 
-    wanted = to_cut.groupBy("doc_id", "t").agg(F.collect_list(F.struct("a", "p0", "p1", "n")).alias("w"))
+    wanted = to_cut.groupBy("doc_id", "t").agg(F.collect_set(F.struct("a", "p0", "p1", "n")).alias("w"))
     once = rows.filter(F.length("b") >= length).alias("r")
     joined = once.join(materialize(wanted, "wanted").alias("w"), F.col("r.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("r.t") == F.col("w.t"))).select("r.doc_id", "r.t", "w.w", "r.b")
     # of equal rows one is enough
@@ -197,7 +197,7 @@ def repeated_starts(docs: DataFrame, text: str = "text", length: int = LENGTH) -
 
     short_blocks, to_split, _ = _resolve(passages.mapInArrow(partial(_short_blocks, length=length), SHORTS), payload, "short")
     split = passages.select("doc_id", "t", "a", F.col("p0").alias("at"), "b").alias("l")
-    need = materialize(to_split.groupBy("doc_id", "t", "a").agg(F.collect_list(F.struct("p0", "p1", "n")).alias("w")), "split").alias("w")
+    need = materialize(to_split.groupBy("doc_id", "t", "a").agg(F.collect_set(F.struct("p0", "p1", "n")).alias("w")), "split").alias("w")
     split = split.join(need, F.col("l.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("l.t") == F.col("w.t")) & (F.col("l.a") == F.col("w.a"))).select("l.doc_id", "l.t", "l.at", "l.b", "w.w")
     singles = materialize(split.mapInArrow(partial(_single, length=length), SINGLES), "singles")
     equal = materialize(singles.groupBy("h1", "h2").agg(F.sum("n").alias("k")).filter("k > 1").select("h1", "h2"), "equal")
@@ -209,7 +209,8 @@ def repeated_starts(docs: DataFrame, text: str = "text", length: int = LENGTH) -
     across = materialize(shared.groupBy("name").agg(F.min(row).alias("a"), F.max(row).alias("z")).filter("a < z").select("name"), "across")
     across = shared.join(across, "name", "left_semi").select("doc_id", "t").distinct()
     runs = runs.select("doc_id", "t", F.struct("p0", "p1").alias("run")).unionByName(across, allowMissingColumns=True)
-    return runs.groupBy("doc_id", "t").agg(F.collect_list("run").alias("starts"), F.max(F.col("run").isNull()).alias("across"))
+    # sets, as equal rows have the same runs
+    return runs.groupBy("doc_id", "t").agg(F.collect_set("run").alias("starts"), F.max(F.col("run").isNull()).alias("across"))
 
 
 CUT = "doc_id long, t long, a int, p0 int, p1 int, n long, b binary"

@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blank, materialize
+from .common import blank, discard, materialize
 
 #: Fixed rules of the filter: verdict and host/path prefix.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -30,8 +30,6 @@ MOST_RULES = 500
 DAMPING, STEPS, SETTLED = 0.85, 30, 1e-4
 #: A verdict stands when its margin is so many times what the ranks still move by, or they move by rounding only.
 MARGIN, ROUNDING = 10, 1e-12
-#: Steps that no host graph should need; an error beyond.
-MOST_STEPS = 2000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)\bhref\s*=\s*["']?\s*(?:[a-z][a-z0-9+.\-]*:)?//([^/?#"'\s>]+)"""
 
@@ -92,7 +90,8 @@ def propagate(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     out, into = edges.groupBy("src").agg(F.sum("n").alias("n_out")), edges.groupBy("dst").agg(F.sum("n").alias("n_in"))
     weighted = edges.join(materialize(out, "out"), "src").join(materialize(into, "in"), "dst")
     edges = materialize(weighted.select("src", "dst", (F.col("n") / F.col("n_out")).alias("forward"), (F.col("n") / F.col("n_in")).alias("back")), "edges")
-    for _ in range(MOST_STEPS):
+    # ends, as what a step brings falls by DAMPING and at last below the least number
+    while True:
         zero = F.lit(0.0)
         ahead = edges.join(ranks, edges.src == ranks.host).select(F.col("dst").alias("host"), (F.col("trust") * F.col("forward")).alias("t"), zero.alias("d"))
         behind = edges.join(ranks, edges.dst == ranks.host).select(F.col("src").alias("host"), zero.alias("t"), (F.col("distrust") * F.col("back")).alias("d"))
@@ -106,12 +105,10 @@ def propagate(seeds: DataFrame, edges: DataFrame) -> DataFrame:
         moves = (dt > t * SETTLED) | (dd > d * SETTLED)
         unsure = (dt + dd > (t + d) * ROUNDING) & (F.abs(d - t) <= (dt + dd) * MARGIN)
         left = now.join(was, "host", "left").filter(moves | unsure | ((d > t) != (d0 > t0)))
-        ranks = now
-        if left.isEmpty():
-            break
-    else:
-        raise RuntimeError(f"ranks did not settle in {MOST_STEPS} steps")
-    return ranks
+        settled, old, ranks = left.isEmpty(), ranks, now
+        discard(old)
+        if settled:
+            return ranks
 
 
 def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:

@@ -748,3 +748,131 @@ def test_url_filter_equals_sql(spark, tmp_path):
         rel = con.sql(queries.ORACLE_SQL["op6_url_filters"])
         at = [rel.columns.index(c) for c in got.columns]
         assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(str(tuple(r[i] for i in at)) for r in rel.fetchall())
+
+
+# what several operators share ------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("text, want", [("67108864", 64 << 20), ("64m", 64 << 20), ("512MB", 512 << 20), ("1g", 1 << 30), ("8 k", 8192), ("-1", -1), ("3b", 3)])
+def test_sizes_have_units(text, want):
+    from folioscope.llm.common import byte_size
+
+    assert byte_size(text) == want
+
+
+def test_batches_are_bounded_whatever_the_unit(spark):
+    from folioscope.llm.common import BATCH_BYTES, bounded_batches
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    for value, want in (("64m", BATCH_BYTES), ("1m", "1m")):
+        spark.conf.set(key, value)
+        bounded_batches(spark)
+        assert spark.conf.get(key) == str(want)
+    spark.conf.set(key, before)
+
+
+def test_scopes_of_threads_are_apart(spark):
+    import threading
+
+    from folioscope.llm.common import materialize, temporary_tables
+
+    kept, inside, leave = [], threading.Event(), threading.Event()
+
+    def other():
+        with temporary_tables(spark):
+            kept.append(materialize(spark.range(3), "other"))
+            inside.set()
+            leave.wait(60)
+
+    t = threading.Thread(target=other)
+    t.start()
+    inside.wait(60)
+    with temporary_tables(spark):
+        mine = materialize(spark.range(5), "mine")
+        assert mine.count() == 5
+    # the other's table is still there
+    assert kept[0].count() == 3
+    leave.set()
+    t.join()
+    with pytest.raises(Exception):
+        kept[0].count()
+
+
+# short items, repeated rows, pages in valid html ------------------------------------------------------------------------
+
+
+def test_short_items_lose_no_window(spark):
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(4000)}"
+    items = {k: [word() for _ in range(rng.randrange(8, 34))] for k in range(120)}
+    docs, want = [], set()
+    for d in range(400):
+        item = rng.choice(list(items))
+        own = list(items[item])
+        for _ in range(rng.randrange(0, 3)):
+            own[rng.choice((0, 1, len(own) - 1, rng.randrange(len(own))))] = word()
+        docs.append((d, [word() for _ in range(rng.randrange(0, 9))] + own + [word() for _ in range(rng.randrange(0, 9))]))
+    grams = lambda w: collections.Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
+    own = {k: grams(w) for k, w in items.items()}
+    for d, w in docs:
+        for k, item in items.items():
+            for at in range(max(1, len(w) - len(item) + 1)):
+                x = grams(w[at : at + len(item)])
+                both = sum((x & own[k]).values())
+                if both / (sum(x.values()) + sum(own[k].values()) - both) >= 0.8:
+                    want.add((d, k, at))
+    frame = lambda rows, name: spark.createDataFrame([(k, " ".join(w)) for k, w in rows], f"{name} long, text string")
+    got = decontaminate.matches(frame(docs, "doc_id"), frame(items.items(), "item_id")).collect()
+    assert {(r["doc_id"], r["item_id"], r["start"]) for r in got} == want and len(want) > 200
+
+
+def test_windows_are_counted_once(spark):
+    item = " ".join(f"w{k}" for k in range(30))
+    bench = spark.createDataFrame([(1, item), (2, item)], "item_id long, text string")
+    docs = spark.createDataFrame([(7, f"{item} and more"), (7, f"{item} and more"), (None, item)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_windows"], r["n_items"], r["item_id"]) for r in decontaminate.contaminated(docs, bench).collect()}
+    # with one and two words left out 25 and 24 of 26 shingles are the same
+    assert got == {7: (3, 2, 1), None: (1, 2, 1)}
+
+
+def test_many_equal_rows_cost_no_square(spark):
+    long = " ".join(f"word{k * 7919 % 9973}" for k in range(700))
+    rows = [(None, long)] * 1000 + [(1, long[:600]), (2, "short")]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 1002 and all(r["n_removed"] == r["n_bytes"] and r["n_spans"] == 1 for r in got if r["doc_id"] is None)
+    assert {r["doc_id"]: r["n_removed"] for r in got if r["doc_id"]} == {1: 600, 2: 0}
+    starts = suffix_dedup.repeated_starts(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert max(len(r["starts"]) for r in starts) < 100
+
+
+ARTICLE = "<article><h1>The headline of it</h1><p>" + "A first paragraph of the story, with some words in it. " * 3 + "</p><p>" + "A second one, which goes on about the same things. " * 3 + "</p></article>"
+
+
+@pytest.mark.parametrize(
+    "before, after",
+    [
+        ("<html><head><meta charset=utf-8><title>T</title><nav><a href=/>Home</a></nav>", "</html>"),
+        ("<html><head><title>T</title><link rel=x href=y><style>p{}</style>", ""),
+        ("<!doctype html><html><head><title>T</title><script>var a='<p>';</script><main>", "</main>"),
+        ("<html><head></head><body><!--><div>", "</div><!-- gone --!>"),
+        ("<html><body><!---><!-- a -- b -->", "</body>"),
+        ("<head><title>T</title>", ""),
+    ],
+)
+def test_pages_in_valid_html_keep_their_article(some_trees, before, after):
+    text = html_extract.extract_text(f"{before}{ARTICLE}{after}", some_trees)
+    assert text.startswith("The headline of it\nA first paragraph") and "which goes on about the same things." in text
+    assert "gone" not in text and "var a" not in text and "Home" not in text
+
+
+@pytest.fixture(scope="module")
+def some_trees(spark):
+    return html_extract.train(spark.read.parquet("/root/testdata/sf0.001/pages.parquet"))
+
+
+def test_broken_pages_have_defined_texts(some_trees):
+    long = "Some words of a story, told at length. " * 4
+    assert html_extract.extract_text(f"<article><p>{long}<b>off", some_trees) == f"{long}off"
+    assert html_extract.extract_text(f"<article><p>{long}</div></p><<<", some_trees).startswith(long.strip())
+    assert html_extract.extract_text("<div " * 3000, some_trees) == ""

@@ -59,7 +59,7 @@ def _rename(df: DataFrame, p: dict[str, Any]) -> DataFrame:
     """Full page names from the chapter that a page falls into and its volume; a page before every chapter keeps its name."""
     v, ch = (lambda x: F.col(f"_volume.{x}")), (lambda x: F.col(f"_chapter.{x}"))
     parsed = N.parse_page(F.col("name"))
-    number = F.concat_ws("-", F.format_string("%03d", parsed["a"]), F.format_string("%03d", parsed["b"]))
+    number = F.concat_ws("-", N.padded(parsed["a"], 3), N.padded(parsed["b"], 3))
     title = F.coalesce(F.lit(p.get("title")), v("volume_title"), v("title"))
     quality = N.quality_suffix(v("quality"), F.col("height"))
     tag = reduce(lambda x, t: F.when(v("pub_type") == t[0], F.lit(t[1])).otherwise(x), N.PUBLICATIONS, F.lit(None).cast("string"))

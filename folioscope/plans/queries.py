@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import names as N
 from ..operators import boxes, catalog, markup, pixels, ranges, rules, scoring
 from ..sources import archives
-from ..sources.config import read_config
+from ..sources.config import action_lists, read_config
 from ..streaming.ingest import ingest
 from . import pipeline
 from .views import scratch, table, view, with_views
@@ -931,17 +932,20 @@ def tag_map(spark, sf):
 # User models and pipelines --------------------------------------------------------------------------------------------
 
 
-@query("select book, page, (p1 + 0.5) / 2 >= 0.5 as is_color, cast(floor(greatest((p1 + 0.5) / 2, 1 - (p1 + 0.5) / 2) * 100) as int) as confidence from (select book, page, (page % 16) / 16.0::double as p1 from v1)", "v1")
+@query("""select book, page, case when width = height then false else (p1 + 0.5) / 2 >= 0.5 end as is_color, case when width = height then 100 else cast(floor(greatest((p1 + 0.5) / 2, 1 - (p1 + 0.5) / 2) * 100) as int) end as confidence, width = height as should_convert
+  from (select book, page, width, height, (page % 16) / 16.0::double as p1 from v1)""", "v1")
 def udf_model(spark, sf):
+    """A model's vote, asked only where a cheap test doesn't decide (here, by the shape of the page)."""
+
     def make_predict():
         import numpy as np
 
         return lambda x: np.stack([x[:, 0] / 16, np.full(len(x), 0.5)], axis=1)
 
     p = view(spark, sf, "v1").withColumn("f0", (c("page") % 16).cast("double")).withColumn("f1", F.lit(0.0))
-    scored = scoring.score_features(p, ["f0", "f1"], make_predict, 2)
-    v = scoring.vote(c("heads"))
-    return scored.select("book", "page", v["is_color"].alias("is_color"), v["confidence"].alias("confidence"))
+    answers = {"is_color": F.lit(False), "confidence": F.lit(100), "should_convert": F.lit(True)}
+    scored = scoring.guarded_scores(p, c("width") == c("height"), answers, ["f0", "f1"], make_predict, 2)
+    return scored.select("book", "page", "is_color", "confidence", "should_convert")
 
 
 @query("select book, page, cast(regexp_extract(name, 'p([0-9]+)', 1) as int) as found from v1", "v1")
@@ -980,14 +984,74 @@ def pipeline_run(spark, sf):
 @query("""select 'unsorted_start' as "check", cast(book as varchar) as book, cast(start as varchar) as detail from (select book, start, lag(start) over (partition by book order by ord) as b from (select book, ord, case when ord % 7 = 6 then 1 else start end as start from v2)) where start <= b
   union all select 'duplicate_start', cast(book as varchar), '1' from v2 where ord % 7 = 6 group by book having count(*) > 1
   union all select 'unknown_step', cast(book as varchar), 'level-9' from v2 where ord = 2
-  union all select 'unknown_action', null, 'upscale'""", "v1 v2")
+  union all select 'unknown_action', null, 'interrupt'""", "v1 v2")
 def pipeline_validate(spark, sf):
     ch = view(spark, sf, "v2").withColumn("start", F.when(c("ord") % 7 == 6, 1).otherwise(c("start")))
     volumes = ch.select(F.concat(F.lit("v"), c("book").cast("string")).alias("path")).distinct()
-    steps = ranges.step_names(spark.createDataFrame([(0, "level"), (1, "upscale")], "pos int, kind string"))
+    steps = ranges.step_names(spark.createDataFrame([(0, "level"), (1, "interrupt")], "pos int, kind string"))
     return pipeline.violations(ch, volumes, steps, ch.filter("ord = 2").select("book", F.lit("level-9").alias("step")))
 
 
+_LIST_A = [
+    {"kind": "rescale", "rescale": {"mode": "fit", "width": 800, "height": 1000}, "kernel": "lanczos", "conditions": {"op": "and", "rules": [{"op": "condition", "field": "height", "operator": ">=", "value": 2000}, {"op": "not", "rule": {"op": "condition", "field": "width", "operator": "==", "value": "ctx:height"}}]}},
+    {"kind": "color_detect"},
+    {"kind": "level", "black_level": 20, "white_level": 255, "skip_color": True},
+    {"kind": "spreads"},
+    {"kind": "change_cwd", "directory": "done"},
+    {"kind": "pack"},
+]
+_LIST_B = [{"kind": "shift_rename", "start": 3, "conditions": {"op": "condition", "field": "page", "operator": "not in", "value": [0, 1, 5]}}, {"kind": "shift_rename", "start": 1, "title": "Again"}, {"kind": "posterize", "bpc": 4}]
+
+
+def _written_config(spark, sf) -> str:
+    """The path of configurations, a line for each book: skip lists, colour pages, spreads, and one of two lists of actions."""
+    p = view(spark, sf, "v1")
+    pages = lambda test: F.array_sort(F.collect_list(F.when(test, c("page"))))
+    volume = p.groupBy("book").agg(pages(c("page") % 10 == 0).alias("none"), pages(c("page") % 11 == 0).alias("colors"), F.array_sort(F.collect_list(F.when(c("page") % 40 == 6, F.array(c("page"), c("page") + 1)))).alias("spreads"))
+    whole = c("book") % 4 != 3
+    skips = F.array(F.struct(F.lit("rescale-1").alias("step"), F.lit("copy").alias("action"), c("none").alias("pages")), F.struct(F.lit("shift_rename-2").alias("step"), F.lit("ignore").alias("action"), c("none").alias("pages")))
+    fields = F.struct(
+        F.concat(F.lit("v"), c("book").cast("string")).alias("path"), F.when(whole, F.lit(1.5)).alias("number"), F.when(~whole, F.array(c("book"), c("book") + 1)).alias("number_range"),
+        F.lit(2020).alias("year"), "spreads", "colors", F.filter(skips, lambda x: (F.size(x.pages) > 0) & (x.step == F.when(c("book") % 2 == 0, "rescale-1").otherwise("shift_rename-2"))).alias("skip_actions"),
+    )
+    # a number, or a range of numbers, under one name
+    text = F.replace(F.to_json(F.array(fields)), F.lit('"number_range"'), F.lit('"number"'))
+    actions = F.when(c("book") % 2 == 0, F.lit(json.dumps(_LIST_A))).otherwise(F.lit(json.dumps(_LIST_B)))
+    path = scratch(spark, "configurations")
+    volume.select(F.concat(F.lit('{"title":"Series","publisher":"P","credit":"crd","email":"me@x.org","volumes":'), text, F.lit(',"actions":'), actions, F.lit("}"))).write.text(path)
+    return path
+
+
+_DO = "(height >= 2000 and width <> height and page % 10 <> 0)"
+_CONFIGURED = f"""cf as (select book, page, name, {_DO} as fits, page % 40 = 6 as s0, page % 40 = 7 as s1, height, width, row_number() over (partition by book order by name) as k, {_digits('count(*) over (partition by book)').replace('+ 10', '+ 1')} as g, page % 11 = 0 as col from v1)"""
+
+
+@query(f""", {_CONFIGURED} select 'v' || book as book, page,
+    case when book % 2 = 0 and fits then cast(trunc(width * least(800.0::double / width, 1000.0::double / height)) as int) else width end as width,
+    case when book % 2 = 0 then case when col then 'COPIED' else 'PROCESSED' end else 'PROCESSED' end as status,
+    case when book % 2 = 0 and s0 then page || '-' || (page + 1) when book % 2 = 0 and s1 then (page - 1) || '-' || page end as spread,
+    case when book % 2 = 0 then 'Series ' || case when book % 4 = 3 then 'v' || printf('%02d', book) || '-' || printf('%02d', book + 1) else 'v01.5' end || ' (2020) (Digital) (crd).cbz' end as archive,
+    case when book % 2 = 0 then 'done/v' || book else 'posterized/v' || book end as cwd,
+    case when book % 2 = 0 then case when fits then 'rescale-1:done' when page % 10 = 0 then 'rescale-1:copied' else 'rescale-1:ignored' end when page in (0, 1, 5) then 'shift_rename-1:ignored' else 'shift_rename-1:done' end as first_step from cf""", "v1")
+def config_run(spark, sf):
+    """Configurations with nested conditions, skip lists, colour pages and spreads, written, read back and run over all pages."""
+    p = view(spark, sf, "v1").withColumn("book", F.concat(F.lit("v"), c("book").cast("string")))
+    done = pipeline.run_config(spark, _written_config(spark, sf), p, multi_line=False).pages
+    return done.select("book", "page", "width", "status", "spread", "archive", "cwd", c("history").getItem(0).alias("first_step"))
+
+
+@query(f""", {_CONFIGURED}, n as (select book, count(*) as pages_in, count(*) filter (where fits) as d0, count(*) filter (where page % 10 = 0) as tens from cf where book % 2 = 0 group by book)
+  select 'v' || book as volume, step, pages_in, case when step = 'rescale-1' then d0 else pages_in end as pages_done, case when step in ('change_cwd-1', 'pack-1') then 'done' when step in ('level-1', 'spreads-1') then 'leveled' else 'rescaled' end || '/v' || book as cwd
+  from n, (values ('rescale-1'), ('color_detect-1'), ('level-1'), ('spreads-1'), ('change_cwd-1'), ('pack-1')) as t(step)""", "v1")
+def pipeline_dry_run(spark, sf):
+    """What each step of a configured list of actions would meet and do in each volume."""
+    t = read_config(spark, _written_config(spark, sf), multi_line=False)
+    p = view(spark, sf, "v1").filter("book % 2 = 0").withColumn("book", F.concat(F.lit("v"), c("book").cast("string")))
+    actions = next(x for text, x in action_lists(t["volumes"]) if x[0]["kind"] == "rescale")
+    report = pipeline.dry_run(p, actions, pipeline.Inputs(skips=t["skips"], colors=t["colors"], spreads=t["spreads"], volumes=t["volumes"]))
+    return report.select("volume", "step", "pages_in", "pages_done", "cwd")
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Which pages go to which chapter, and under what name."""
     return _named(spark, sf).groupBy("book", "ord", "number").agg(F.count("*").alias("n_pages"), F.min("full_name").alias("first_name"), F.max("full_name").alias("last_name"))

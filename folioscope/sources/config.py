@@ -55,6 +55,7 @@ def read_config(spark: SparkSession, path: str, multi_line: bool = True) -> dict
     meta = part("meta_naming", "array<variant>").select("book", F.col("p").alias("m"))
     one = configs.select("config", F.posexplode(F.variant_get("v", "$.actions", "array<variant>")).alias("pos", "a"))
     kind = F.variant_get("a", "$.kind", "string")
+    given = F.map_keys(F.variant_get("x", "$", "map<string,variant>"))
     place = F.row_number().over(Window.partitionBy("config", "kind").orderBy("pos"))
     actions = one.select("config", "pos", kind.alias("kind"), F.try_variant_get("a", "$.params", "map<string,string>").alias("params"), F.to_json("a").alias("spec"))
     return {
@@ -62,7 +63,7 @@ def read_config(spark: SparkSession, path: str, multi_line: bool = True) -> dict
             "config", "title", "publisher", "credit", "email", "bracket_type", "base_path", "actions", "pos", book,
             F.coalesce(F.try_variant_get("x", "$.number", "double"), F.least(pair[0], pair[1])).alias("number"), F.when(F.size(pair) > 1, F.greatest(pair[0], pair[1])).alias("number_end"),
             _own("title", "string").alias("volume_title"), _own("year", "int").alias("year"), F.coalesce(_own("oneshot", "boolean"), F.lit(False)).alias("oneshot"),
-            _own("extra_text", "string").alias("extra_text"), F.coalesce(_own("revision", "int"), F.lit(1)).alias("revision"), F.coalesce(_own("quality", "string"), F.lit("auto")).alias("quality"),
+            _own("extra_text", "string").alias("extra_text"), F.coalesce(_own("revision", "int"), F.lit(1)).alias("revision"), F.when(F.array_contains(given, "quality"), _own("quality", "string")).otherwise("auto").alias("quality"),
             F.coalesce(_own("pub_type", "string"), F.lit("digital")).alias("pub_type"), F.coalesce(F.try_variant_get("x", "$.colors", "string") == "auto", F.lit(False)).alias("auto_colors"),
         ),
         "chapters": part("chapters", CHAPTERS).select("book", "ord", "p.*"),
@@ -71,7 +72,7 @@ def read_config(spark: SparkSession, path: str, multi_line: bool = True) -> dict
         "colors": volumes.select(book, F.explode(colors).alias("page")),
         "skips": part("skip_actions", SKIPS).select("book", "p.step", "p.action", F.explode("p.pages").alias("page")),
         "actions": actions.withColumn("step", F.concat_ws("-", "kind", place.cast("string"))),
-        "unknown": volumes.select(book, F.explode(F.map_keys(F.variant_get("x", "$", "map<string,variant>"))).alias("field")).filter(~F.col("field").isin(*VOLUME_FIELDS)),
+        "unknown": volumes.select(book, F.explode(given).alias("field")).filter(~F.col("field").isin(*VOLUME_FIELDS)),
     }
 
 

@@ -83,8 +83,8 @@ SIMILARITY = 0.8
 STARS = 2
 #: Texts of fewer shingles are compared by the prefix filter, as too few bits agree in their fingerprints.
 SHORT = 30
-#: Counters of how common shingles are, two megabytes; and bits of 128 in which longer texts differ at most, six standard deviations above what 0.8 gives.
-COUNTERS, APART = 1 << 18, 45
+#: Counters of how common shingles are, two megabytes; and bits of a text's map of its shingles.
+COUNTERS, MAP_BITS = 1 << 18, 1024
 
 
 def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
@@ -379,14 +379,17 @@ def prefixes(n: int, similarity: float = SIMILARITY) -> tuple[int, int]:
 
 
 def prefix_pairs(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``u, v``: all pairs of ``texts(node, root, a, b, text)`` of different roots that may have the similarity.
+    """``u, v``: all pairs of ``texts(node, root, text)`` of different roots that may have the similarity.
 
     Shingles are ordered by how common they are (by counters that several may
     share: any order is right, as long as it is one), so what many texts have in common comes last; texts meet
     by a shingle in their prefixes, where what follows it is long enough for the
-    overlap that the similarity needs.  Of pairs of long texts those whose fingerprints ``a, b`` are far apart are left out.
+    overlap that the similarity needs.  Each carries a map with a bit set for each of its
+    shingles: a bit that the other lacks is a shingle that it lacks, so no more than the
+    rest can be shared.  All bounds are sound, so no pair is lost.
     """
     spark = texts.sparkSession
+    maps = [f"b{k}" for k in range(MAP_BITS // 64)]
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache, seen = _hash_of_words(), np.zeros(COUNTERS, np.int64)
@@ -406,25 +409,27 @@ def prefix_pairs(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache = _hash_of_words()
         for batch in batches:
-            grams, sizes = [np.zeros(0, np.uint64)], np.zeros((len(batch), 3), np.int64)
+            grams, sizes, bits = [np.zeros(0, np.uint64)], np.zeros((len(batch), 3), np.int64), np.zeros((len(batch), MAP_BITS), bool)
             for k, text in enumerate(batch["text"]):
                 own = _grams(text, cache)
                 if len(own):
+                    bits[k, (own % np.uint64(MAP_BITS)).astype(np.int64)] = True
                     sizes[k] = len(own), *prefixes(len(own), similarity)
                     grams.append(own[np.lexsort((own, shared.value[(own % np.uint64(COUNTERS)).astype(np.int64)]))[: sizes[k, 2]]])
             row = np.repeat(np.arange(len(batch)), sizes[:, 2])
             at = np.arange(len(row)) - np.repeat(np.cumsum(sizes[:, 2]) - sizes[:, 2], sizes[:, 2])
-            own = {c: batch[c].to_numpy()[row] for c in ("node", "root", "a", "b")}
+            words = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
+            own = {c: batch[c].to_numpy()[row] for c in ("node", "root")} | {c: words[row, k] for k, c in enumerate(maps)}
             yield pd.DataFrame({"gram": np.concatenate(grams).view(np.int64), "at": at, "n": sizes[row, 0], "first": at < sizes[row, 1]} | own)
         del cache
         give_back()
 
-    met = materialize(texts.mapInPandas(cut, "gram long, at int, n int, first boolean, node long, root long, a long, b long"), "prefixes")
+    met = materialize(texts.mapInPandas(cut, ", ".join(["gram long, at int, n int, first boolean", *(f"{c} long" for c in ("node", "root", *maps))])), "prefixes")
     x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
     smaller = (x("n") < y("n")) | (x("n") == y("n")) & (x("node") < y("node"))
     needed = (x("n") + y("n")) * F.lit(similarity / (1 + similarity)) - 1e-9
-    bits = F.bit_count(x("a").bitwiseXOR(y("a"))) + F.bit_count(x("b").bitwiseXOR(y("b")))
-    may = smaller & (x("root") != y("root")) & (F.least(x("n") - x("at"), y("n") - y("at")) >= needed) & ((x("n") < SHORT) | (bits <= APART))
+    lacks = lambda one, other: functools.reduce(lambda a, b: a + b, (F.bit_count(one(m).bitwiseAND(F.bitwise_not(other(m)))) for m in maps))
+    may = smaller & (x("root") != y("root")) & (F.least(x("n") - x("at"), y("n") - y("at")) >= needed) & (F.least(x("n") - lacks(x, y), y("n") - lacks(y, x)) >= needed)
     both = met.filter("first").alias("x").join(met.alias("y"), (x("gram") == y("gram")) & may)
     return both.select(F.least(x("node"), y("node")).alias("u"), F.greatest(x("node"), y("node")).alias("v")).distinct()
 
@@ -457,9 +462,9 @@ def similar_links(docs: DataFrame, signed: DataFrame, text: str = "text", simila
         both = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
         return both.select("u", "v", (F.pandas_udf(jaccard, "double")("a", "b") >= similarity).alias("near"))
 
-    def close(x: str, y: str) -> Column:
-        apart = (F.bit_count(F.col(f"{x}.{w}").bitwiseXOR(F.col(f"{y}.{w}"))) for w in names)
-        return functools.reduce(lambda a, b: a + b, apart) <= WIDE_RADIUS
+    # of what a text meets near it, it is compared with the nearest
+    apart = functools.reduce(lambda a, b: a + b, (F.bit_count(F.col(f"x.{w}").bitwiseXOR(F.col(f"y.{w}"))) for w in names))
+    nearest = lambda met, u, v: met.filter(apart <= WIDE_RADIUS).groupBy(u.alias("u")).agg(F.min_by(v, F.struct(apart, v)).alias("v"))
 
     empty = members.sparkSession.createDataFrame([], "u long, v long, near boolean")
     known = empty
@@ -467,7 +472,7 @@ def similar_links(docs: DataFrame, signed: DataFrame, text: str = "text", simila
         if not turn:
             # each cell's star as it is
             left, right = points.alias("x"), points.alias("y")
-            pairs = stars.select("u", "v").distinct().join(left, F.col("u") == F.col("x.id")).join(right, (F.col("v") == F.col("y.id")) & close("x", "y")).select("u", "v")
+            pairs = nearest(stars.select("u", "v").distinct().join(left, F.col("u") == F.col("x.id")).join(right, F.col("v") == F.col("y.id")), F.col("x.id"), F.col("y.id"))
         else:
             roots = materialize(connected_components(links), "roots")
             rooted = materialize(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
@@ -475,17 +480,18 @@ def similar_links(docs: DataFrame, signed: DataFrame, text: str = "text", simila
             open_keys = materialize(open_keys.select("key", "hub.*"), "open").alias("y")
             left = rooted.alias("x")
             if turn < STARS:
-                apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & close("x", "y")
-                pairs = left.join(open_keys, apart).select(F.col("x.node").alias("u"), F.col("y.node").alias("v"))
+                pairs = nearest(left.join(open_keys, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root"))), F.col("x.node"), F.col("y.node"))
             else:
                 still = rooted.join(open_keys.select("key"), "key", "left_semi").select("node").unionByName(short).distinct()
                 still = materialize(still.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "still")
-                left = still.join(points.select(F.col("id").alias("node"), F.col("w0").alias("a"), F.col("w1").alias("b")), "node")
-                pairs = prefix_pairs(materialize(left.join(texts, "node"), "left"), similarity)
+                pairs = prefix_pairs(materialize(still.join(texts, "node"), "left"), similarity)
         pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         fresh = materialize(decided(materialize(pairs.join(known, ["u", "v"], "left_anti"), "pairs")), "decided")
         known = known.unionByName(fresh)
-        links = known.filter("near").select("u", "v")
+        links = fresh.filter("near").select("u", "v")
+        if turn:
+            # what was linked before is a star to each root
+            links = links.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
     return links
 
 

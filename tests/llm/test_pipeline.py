@@ -129,7 +129,7 @@ def exact_pairs(rows):
 
 def test_prefix_filter_loses_no_pair(spark, monkeypatch):
     monkeypatch.setattr(simhash_dedup, "COUNTERS", 16)  # counters that very many share
-    monkeypatch.setattr(simhash_dedup, "SHORT", 10**6)  # no fingerprints
+    monkeypatch.setattr(simhash_dedup, "MAP_BITS", 64)
     rng = np.random.default_rng(6)
     rows, at = [], 0
     for g in range(60):
@@ -141,7 +141,7 @@ def test_prefix_filter_loses_no_pair(spark, monkeypatch):
                 copy[k : k + 1] = [[], ["new"], [copy[k], "more"]][int(rng.integers(0, 3))]
             rows.append((at, " ".join(copy)))
             at += 1
-    texts = spark.createDataFrame([(d, d, 0, 0, t.encode()) for d, t in rows], "node long, root long, a long, b long, text binary")
+    texts = spark.createDataFrame([(d, d, t.encode()) for d, t in rows], "node long, root long, text binary")
     tried = {(r["u"], r["v"]) for r in simhash_dedup.prefix_pairs(texts).collect()}
     want = exact_pairs(rows)
     assert want <= tried and len(want) > 60 and len(tried) < 10 * len(want)

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .running import running_total
+
 #: Suffixes of image files.
 IMAGE_SUFFIXES = ("jpg", "jpeg", "png", "gif", "bmp", "tiff", "tif", "webp", "avif", "heic", "heif", "jxl", "jp2")
 #: Suffixes whose images are kept without loss.
@@ -22,9 +24,12 @@ def is_image(name: Column) -> Column:
     return suffix(name).isin(*IMAGE_SUFFIXES)
 
 
-def number_pages(pages: DataFrame, book: str = "book", name: str = "name") -> DataFrame:
-    """Images only, numbered in name order within a book, with the book's count."""
+def number_pages(pages: DataFrame, book: str = "book", name: str = "name", parts: int | None = None) -> DataFrame:
+    """Images only, numbered in name order within a book, with the book's count; a book is one window, or with ``parts`` so many."""
     images = pages.filter(is_image(F.col(name)))
+    if parts:
+        rows = running_total(images, (book,), (name,), F.lit(1).cast("long"), parts)
+        return rows.withColumn("index", F.col("_ahead").cast("int")).withColumn("total_count", F.col("_all")).drop("_ahead", "_all")
     inside = Window.partitionBy(book)
     return images.withColumn("index", F.row_number().over(inside.orderBy(name)) - 1).withColumn("total_count", F.count("*").over(inside))
 

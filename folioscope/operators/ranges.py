@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import base_of, part_of
+from .running import last_value, running_total
 
 _UP_TO = (Window.unboundedPreceding, 0)
 
@@ -32,16 +33,42 @@ def assign_chapters(pages: DataFrame, chapters: DataFrame, columns: tuple[str, .
     return both.withColumn("_at", seen).filter("_kind = 1").select("book", "page", *own, *(F.col(f"_at.{c}").alias(c) for c in columns), F.col("_at.start").alias("chapter_start"))
 
 
+#: Bits of a page number; beyond the last page that may be.
+_LEVELS, _OPEN = 32, 2147483647
+
+
+def range_steps(ranges: DataFrame, keys: tuple[str, ...] = ("book",)) -> DataFrame:
+    """``page, ord``: the pages from which on the first (by ``ord``) range that holds a page is another one, or none.
+
+    A range is put together of at most two blocks of 2^k pages for each k; a block keeps the first of its ranges.  At the
+    ends of ranges, where alone the first one can change, the blocks around are looked up: work goes with the
+    number of ranges, however they overlap.
+    """
+    r = ranges.select(*keys, "ord", F.col("start").cast("long").alias("a"), (F.coalesce("end", F.lit(_OPEN)).cast("long") + 1).alias("z")).filter("a < z")
+    blocks = []
+    for k in range(_LEVELS + 1):
+        low, high = F.shiftright(F.col("a") + ((1 << k) - 1), k), F.shiftright("z", k)
+        for block, there in ((low, low % 2 != 0), (high - 1, high % 2 != 0)):
+            blocks.append(F.when((low < high) & there, F.struct(F.lit(k).alias("k"), block.alias("block"))))
+    cells = r.select(*keys, "ord", F.explode(F.filter(F.array(*blocks), lambda x: x.isNotNull())).alias("c")).groupBy(*keys, "c").agg(F.min("ord").alias("ord"))
+    ends = r.select(*keys, F.explode(F.array("a", "z")).alias("page")).distinct()
+    around = F.array(*(F.struct(F.lit(k).alias("k"), F.shiftright("page", k).alias("block")) for k in range(_LEVELS + 1)))
+    return ends.select(*keys, "page", F.explode(around).alias("c")).join(cells, [*keys, "c"], "left").groupBy(*keys, "page").agg(F.min("ord").alias("ord"))
+
+
 def first_range(pages: DataFrame, ranges: DataFrame, keys: tuple[str, ...] = ("book",)) -> DataFrame:
     """Pages with the first (by ``ord``) range ``[start, end]`` that holds them; an open end holds all pages on.
 
-    A book's ranges are few, so they meet its pages by the book and the first
-    hit is taken by grouping.
+    Pages are taken as of the steps of :func:`range_steps`, so work goes with pages and
+    ranges, not with how many ranges hold a page.
     """
-    own = [F.first(c).alias(c) for c in pages.columns if c not in (*keys, "page")]
-    inside = (F.col("page") >= F.col("start")) & (F.col("page") <= F.coalesce("end", F.lit(2147483647)))
-    hit = pages.join(ranges.select(*keys, "ord", "start", "end"), [*keys]).filter(inside)
-    return hit.groupBy(*keys, "page").agg(F.min("ord").alias("ord"), *own)
+    own = [c for c in pages.columns if c not in (*keys, "page", "ord")]
+    steps = range_steps(ranges, keys).select(*keys, "page", F.lit(0).alias("_kind"), F.struct("ord").alias("_step"))
+    rows = pages.select(*keys, F.col("page").cast("long").alias("page"), F.lit(1).alias("_kind"), *own)
+    seen = F.last("_step", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("page", "_kind").rowsBetween(*_UP_TO))
+    both = steps.unionByName(rows, allowMissingColumns=True).withColumn("_at", seen)
+    hit = both.filter((F.col("_kind") == 1) & F.col("_at.ord").isNotNull())
+    return hit.select(*keys, F.col("page").cast(pages.schema["page"].dataType).alias("page"), F.col("_at.ord").alias("ord"), *own)
 
 
 def spread_pages(pages: DataFrame, spreads: DataFrame, joined: Column) -> DataFrame:
@@ -56,27 +83,38 @@ def spread_members(pages: DataFrame, lists: DataFrame) -> DataFrame:
     return pages.join(member, ["book", "page"])
 
 
-def shift_names(pages: DataFrame, start: int = 0, title: str | None = None, volume: str | None = None, reverse: bool = False, spreads: bool = False) -> DataFrame:
+def shift_names(pages: DataFrame, start: int = 0, title: str | None = None, volume: str | None = None, reverse: bool = False, spreads: bool = False, parts: int | None = None) -> DataFrame:
     """New names that count on from ``start``.
 
     With ``spreads`` a page wider than high counts as many pages as the last
     upright page of its height fits into its width (its own width, if none came
-    before), at least one.
+    before), at least one.  A book is one window, or with ``parts`` so many, for folders that no task should hold.
     """
     order = F.desc("name") if reverse else F.asc("name")
     book = Window.partitionBy("book")
-    total = F.count("*").over(book)
+    narrow = F.when(F.col("width") < F.col("height"), F.col("width"))
     if spreads:
-        upright = F.last(F.when(F.col("width") < F.col("height"), F.col("width")), ignorenulls=True).over(Window.partitionBy("book", "height").orderBy(order).rowsBetween(*_UP_TO))
-        fits = F.floor(F.col("width") / F.coalesce(upright, F.lit(1)))
+        if parts:
+            pages = last_value(pages, ("book", "height"), ("name",), narrow, "_upright", parts, reverse)
+        else:
+            pages = pages.withColumn("_upright", F.last(narrow, ignorenulls=True).over(Window.partitionBy("book", "height").orderBy(order).rowsBetween(*_UP_TO)))
+        fits = F.floor(F.col("width") / F.coalesce("_upright", F.lit(1)))
         span = F.when(F.col("width") > F.col("height"), F.greatest(fits, F.lit(1))).otherwise(F.lit(1)).cast("int")
-        pages = pages.withColumn("span", span)
-        at = F.lit(start) + F.sum("span").over(book.orderBy(order).rowsBetween(*_UP_TO)) - F.col("span")
+        pages = pages.withColumn("span", span).drop("_upright")
     else:
         pages = pages.withColumn("span", F.lit(1))
-        at = F.lit(start) + F.row_number().over(book.orderBy(order)) - 1
+    if parts:
+        pages = running_total(pages, ("book",), ("name",), F.col("span").cast("long"), parts, reverse)
+        counts = pages.groupBy("book").agg(F.count("*").alias("_total")) if spreads else None
+        at = F.lit(start) + F.col("_ahead")
+        total = F.col("_all")
+        if counts is not None:
+            pages, total = pages.join(counts, "book"), F.col("_total")
+    else:
+        at = F.lit(start) + F.sum("span").over(book.orderBy(order).rowsBetween(*_UP_TO)) - F.col("span")
+        total = F.count("*").over(book)
     digits = F.greatest(F.lit(3), F.length((total + start).cast("string")))
-    pages = pages.withColumn("first_page", at.cast("int")).withColumn("_digits", digits)
+    pages = pages.withColumn("first_page", at.cast("int")).withColumn("_digits", digits).drop("_ahead", "_all", "_total")
     text = lambda x: F.lpad(x.cast("string"), F.greatest("_digits", F.length(x.cast("string"))), F.lit("0"))
     first, last = F.col("first_page"), F.col("first_page") + F.col("span") - 1
     number = F.concat(F.lit("p"), text(first), F.when(F.col("span") > 1, F.concat(F.lit("-"), text(last))).otherwise(""))

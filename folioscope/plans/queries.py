@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import names as N
-from ..operators import boxes, catalog, markup, pixels, ranges, rules, scoring
+from ..operators import boxes, catalog, markup, pixels, ranges, rules, running, scoring
 from ..sources import archives
 from ..sources.config import action_lists, read_config
-from ..streaming.ingest import ingest
+from ..streaming.ingest import ingest, taken_in
 from . import pipeline
 from .views import scratch, table, view, with_views
 
@@ -63,12 +63,12 @@ def skip_existing(spark, sf):
 
 @query("select archive, count(*) as n_pages, min(name) as first_name, max(name) as last_name from (select concat('Series ', book, ' v', lpad(cast(book % 100 as varchar), 2, '0'), '.cbz') as archive, name from v1) group by archive", "v1")
 def sink_pack(spark, sf):
-    """What each archive holds, read back from the packs that the sink writes."""
-    p = view(spark, sf, "v1").select("name", F.concat(F.lit("Series "), c("book").cast("string"), F.lit(" v"), F.format_string("%02d", c("book") % 100), F.lit(".cbz")).alias("archive"))
+    """What each archive holds, read back from the archives that the sink writes."""
+    p = view(spark, sf, "v1").select(c("name").cast("binary").alias("content"), "name", F.concat(F.lit("Series "), c("book").cast("string"), F.lit(" v"), F.format_string("%02d", c("book") % 100), F.lit(".cbz")).alias("archive"))
     path = scratch(spark, "packs")
-    archives.write_packs(p, path)
-    packs = spark.read.schema("name string, archive string").option("basePath", path).parquet(path)
-    return packs.groupBy("archive").agg(F.count("*").alias("n_pages"), F.min("name").alias("first_name"), F.max("name").alias("last_name"))
+    archives.write_archives(p, path, "packed")
+    packs = archives.read_archives(spark, path, images=False, content=False)
+    return packs.groupBy(F.regexp_extract("archive", r"([^/]*)$", 1).alias("archive")).agg(F.count("*").alias("n_pages"), F.min("name").alias("first_name"), F.max("name").alias("last_name"))
 
 
 @query("select image, count(*) as n, min(v) as lo, max(v) as hi, round(avg(v), 6) as mean from v3 group by image", "v3")
@@ -80,29 +80,42 @@ def sink_manifest(spark, sf):
     return spark.read.schema(rows.schema).json(path)
 
 
-@query(f"select concat('Series ', book, '.cbz') as archive, 'CBZ' as container, name, row_number() over (partition by book order by name) - 1 as index, count(*) over (partition by book) as total_count from v1 where {IMAGES}", "v1")
+@query(f"select concat('Series ', book, '.cbz') as archive, 'CBZ' as container, name, row_number() over (partition by book order by name) - 1 as index, count(*) over (partition by book) as total_count, length(name) as length from v1 where {IMAGES}", "v1")
 def scan_archives(spark, sf):
-    """Members of the archives that the packing sink makes of all pages."""
+    """Members of the archives that the packing sink makes of all pages, read by ranges."""
     p = view(spark, sf, "v1").select(F.concat(F.lit("Series "), c("book").cast("string"), F.lit(".cbz")).alias("archive"), "name", c("name").cast("binary").alias("content"))
-    packed = archives.pack_archives(p).select(c("archive").alias("path"), "content")
-    return archives.explode_archives(packed).select("archive", "container", "name", "index", "total_count")
+    path = scratch(spark, "scanned")
+    archives.write_archives(p, path)
+    found = archives.read_archives(spark, path, split=16 << 10)
+    return found.filter(F.length("content") == c("length")).select(F.regexp_extract("archive", r"([^/]*)$", 1).alias("archive"), "container", "name", "index", "total_count", "length")
+
+
+def _heads() -> F.Column:
+    """Heads of a PNG, JPEG, GIF or WebP of the page's size, by turns; text where the page is a text file."""
+    big = lambda x, n: F.lpad(F.hex(x), n, F.lit("0"))
+    little = lambda x, n: F.concat(*(F.substring(big(x, n), k, 2) for k in range(n - 1, 0, -2)))
+    w, h, colour = c("width"), c("height"), c("width") == c("height")
+    png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), big(w, 8), big(h, 8), F.lit("08"), F.when(colour, "02").otherwise("00"), F.lit("00000000000000"))
+    # an application's segment and a table before the frame header
+    jpeg = F.concat(F.lit("FFD8FFE000060102FFC0FFDB000300FFC2000B08"), big(h, 4), big(w, 4), F.when(colour, "03").otherwise("01"), F.lit("012200"))
+    gif = F.concat(F.lit(b"GIF89a".hex()), little(w, 4), little(h, 4), F.lit("800000"))
+    webp = F.concat(F.lit((b"RIFF" + bytes(4) + b"WEBPVP8X" + bytes((10, 0, 0, 0, 0, 0, 0, 0))).hex()), little(w - 1, 6), little(h - 1, 6))
+    kind = c("page") % 4
+    return F.when(c("name").endswith(".txt"), c("name").cast("binary")).otherwise(F.unhex(F.when(kind == 0, png).when(kind == 1, jpeg).when(kind == 2, gif).otherwise(webp)))
 
 
 def _scanned(spark, sf):
-    """Sizes read from the members of archives that are packed from all pages: PNG heads, and text where the page is a text file."""
-    size = F.concat(*(F.lpad(F.hex(c(x)), 8, F.lit("0")) for x in ("width", "height")))
-    kind = F.when(c("width") == c("height"), "02").otherwise("00")
-    png = F.unhex(F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), size, F.lit("08"), kind, F.lit("00000000000000")))
-    content = F.when(c("name").endswith(".txt"), c("name").cast("binary")).otherwise(png)
-    p = view(spark, sf, "v1").select(c("book").cast("string").alias("archive"), F.concat(c("page").cast("string"), F.lit(".png")).alias("name"), content.alias("content"))
+    """Sizes read from the headers of images in archives that are packed from all pages."""
+    p = view(spark, sf, "v1").select(c("book").cast("string").alias("archive"), F.concat(c("page").cast("string"), F.lit(".png")).alias("name"), _heads().alias("content"))
     path = scratch(spark, "archives")
-    archives.pack_archives(p).select(c("archive").alias("path"), "content").write.parquet(path)
-    members = archives.explode_archives(spark.read.parquet(path))
-    where = (c("archive").cast("long").alias("book"), F.regexp_extract("name", r"^(\d+)", 1).cast("int").alias("page"))
-    return members.select(*where, *(x.alias(k) for k, x in archives.png_meta(c("content")).items()))
+    archives.write_archives(p, path)
+    members = archives.read_archives(spark, path)
+    where = (F.regexp_extract("archive", r"([^/]*)$", 1).cast("long").alias("book"), F.regexp_extract("name", r"^(\d+)", 1).cast("int").alias("page"))
+    return members.select(*where, archives.image_meta(c("content")).alias("m")).select("book", "page", "m.*")
 
 
-@query("select book, page, width, height, case when width = height then 3 else 1 end as nChannels from v1 where not ends_with(name, '.txt')", "v1")
+@query("""select book, page, case page % 4 when 0 then 'PNG' when 1 then 'JPEG' when 2 then 'GIF' else 'WEBP' end as format, width, height, case when page % 4 >= 2 or width = height then 3 else 1 end as nChannels
+  from v1 where not ends_with(name, '.txt')""", "v1")
 def scan_image_meta(spark, sf):
     return _scanned(spark, sf).filter("height > 0")
 
@@ -136,9 +149,9 @@ def stream_ingest(spark, sf):
     """All events, taken in by a stream that runs twice; the second run finds nothing new."""
     at = scratch(spark, "ingest")
     schema = table(spark, sf, "events").schema
-    for run in ("first", "second"):
-        ingest(spark, f"{sf}/event[s].parquet", schema, f"{at}/done", f"{at}/{run}", lambda df: df.select("event_id", "event_type", F.length("event_type").alias("n")), ("event_id",)).awaitTermination()
-    return spark.read.parquet(f"{at}/done")
+    for _ in range(2):
+        ingest(spark, f"{sf}/event[s].parquet", schema, f"{at}/done", f"{at}/seen", lambda df: df.select("event_id", "event_type", F.length("event_type").alias("n")), ("event_id",)).awaitTermination()
+    return taken_in(spark, f"{at}/done")
 
 
 # Rules ----------------------------------------------------------------------------------------------------------------
@@ -454,7 +467,8 @@ def _digits(total: str) -> str:
 @query(f""", r as (select *, row_number() over (partition by book order by name) + 9 as n, {_digits('count(*) over (partition by book)')} as g from v1)
   select book, name, concat('Test - v01 - p', lpad(cast(n as varchar), greatest(g, length(cast(n as varchar)))::int, '0'), regexp_extract(name, '(\\.[^.]+)$', 1)) as new_name from r""", "v1")
 def win_shift_rename(spark, sf):
-    return ranges.shift_names(view(spark, sf, "v1"), 10, "Test", "v01").select("book", "name", "new_name")
+    """Each book in up to eight ranges of names."""
+    return ranges.shift_names(view(spark, sf, "v1"), 10, "Test", "v01", parts=8).select("book", "name", "new_name")
 
 
 @query(f""", u as (select *, last_value(case when width < height then width end ignore nulls) over (partition by book, height order by name rows unbounded preceding) as w1 from v1),
@@ -533,7 +547,7 @@ def win_extra_rank(spark, sf):
 @query("select book, name, row_number() over (partition by book order by regexp_extract(name, '^(.*)\\.[^.]*$', 1) desc, name desc) as place from v1", "v1")
 def sort_pages(spark, sf):
     stem = F.regexp_extract("name", r"^(.*)\.[^.]*$", 1)
-    return view(spark, sf, "v1").select("book", "name", F.row_number().over(Window.partitionBy("book").orderBy(stem.desc(), c("name").desc())).alias("place"))
+    return running.places(view(spark, sf, "v1").select("book", "name", stem.alias("stem")), ("book",), ("stem", "name"), 8, descending=True).select("book", "name", "place")
 
 
 @query(f", {_KEYS} select image, d2, count(*) as taken from ky where place <= 17 group by all", "v3c")

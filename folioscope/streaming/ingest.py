@@ -7,21 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.catalog import skip_existing
 
+def ingest(spark: SparkSession, landing: str, schema: str, done: str, checkpoint: str, process: Callable[[DataFrame], DataFrame], keys: tuple[str, ...] = ("book", "name"), late: tuple[str, str] | None = None) -> StreamingQuery:
+    """Process what is new in ``landing`` (parquet) and add it to ``done``; rows whose keys were seen before are dropped.
 
-def ingest(spark: SparkSession, landing: str, schema: str, done: str, checkpoint: str, process: Callable[[DataFrame], DataFrame], keys: tuple[str, ...] = ("book", "name")) -> StreamingQuery:
-    """Process what is new in ``landing`` (parquet) and append it to ``done``; rows whose keys are there are skipped.
-
-    Runs over all that is available, then stops.  A batch that is run again
-    finds its rows in ``done``, so nothing is taken in twice.
+    Which keys were seen is the stream's state, kept with the checkpoint and dealt
+    out by key, so neither a batch nor a restart reads ``done`` again.  A state
+    of all keys grows with them (a RocksDB state store keeps it on disk); with ``late``, a time column and
+    a delay, keys are forgotten when the watermark has passed them.  A batch that is
+    run again writes its own folder of ``done`` anew, so nothing is there twice.
+    Runs over all that is available, then stops.
     """
+    source = spark.readStream.schema(schema).parquet(landing)
+    fresh = source.withWatermark(*late).dropDuplicatesWithinWatermark([*keys]) if late else source.dropDuplicates([*keys])
 
-    def batch(df: DataFrame, _: int) -> None:
-        new = df.dropDuplicates([*keys])
-        if spark._jvm.org.apache.hadoop.fs.Path(done).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(done)):
-            new = skip_existing(new, spark.read.parquet(done), keys)
-        process(new).write.mode("append").parquet(done)
+    def batch(df: DataFrame, number: int) -> None:
+        process(df).write.mode("overwrite").parquet(f"{done}/batch={number}")
 
-    source = spark.readStream.schema(schema).parquet(landing)
-    return source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return fresh.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def taken_in(spark: SparkSession, done: str) -> DataFrame:
+    """All rows that were taken in."""
+    return spark.read.parquet(done).drop("batch")

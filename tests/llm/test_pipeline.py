@@ -179,8 +179,8 @@ def test_a_large_group_just_below_the_similarity_costs_no_square(spark, monkeypa
 
     monkeypatch.setattr(simhash_dedup, "materialize", counted)
     roots = [r["root"] for r in simhash_dedup.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
-    # a member more or less is all that the filter can't tell
-    assert len(set(roots)) == 2000 and sum(tried) < 40_000
+    # the last five are copies of the first, and three of them are just alike enough
+    assert len(set(roots)) == 1998 and sum(tried) < 10_000, (len(set(roots)), tried)
 
 
 ODD = "doc_id long, text string, lang string, source string, n_chars long, _text int, language int, item int, bin int, at int, t int, node int, text_key int"

@@ -66,7 +66,7 @@ def members(file: io.RawIOBase, kind: str) -> Iterator[tuple[str, int, int, obje
             if not i.is_dir():
                 yield i.filename, i.header_offset, i.file_size, z, i
     else:
-        t = tarfile.open(fileobj=file)
+        t = tarfile.open(fileobj=file, mode="r:")
         for i in t:
             if i.isfile():
                 yield i.name, i.offset, i.size, t, i

@@ -47,8 +47,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut every repeated passage of ``PASSAGE`` bytes; drop documents of which nothing is left.
 
-    Null and empty texts stay, as empty ones; repeated rows lose what they
-    share; characters that a cut goes through go as a whole.
+    Null and empty texts stay, as empty ones; rows are told apart by id and text, so
+    rows without an id, and different texts of one id, are cut each by itself, and
+    repeated rows lose what they share; characters that a cut goes through go as a whole.
     """
     rest = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
     cut = suffix_dedup.without_repeats(docs, columns=rest, length=PASSAGE)

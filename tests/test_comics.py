@@ -4,6 +4,7 @@ import io
 import struct
 import tarfile
 import zipfile
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -157,3 +158,33 @@ def test_a_stream_remembers_what_it_has_seen(spark, tmp_path):
     land([(1, "a"), (3, "d")])
     run()
     assert [tuple(r) for r in spark.read.schema("book int, name string, x int").option("ignoreMissingFiles", "true").parquet(done).collect()] == [(3, "d", 1)]
+
+
+def test_small_ranges_make_a_bounded_number_of_tasks(folder):
+    """An archive of 200 kB in ranges of 50 bytes would be 4,000 tasks, each with its directory read anew."""
+    reader = comics.ArchiveReader({"path": folder, "split": "50"})
+    parts = reader.partitions()
+    assert len(parts) <= comics.TASKS + 5 and sum(z - a for p in parts for _, a, z in p.parts) == sum(f.stat().st_size for f in Path(folder).rglob("*") if f.is_file())
+
+
+def test_rows_come_in_batches_of_bounded_size(folder, monkeypatch):
+    monkeypatch.setattr(comics, "BATCH_BYTES", 12_000)
+    rows = comics.ArchiveReader({"path": folder})
+    batches = comics.Comics({"path": folder}).reader(None)
+    got = [b for p in batches.partitions() for b in batches.read(p)]
+    assert [tuple(r.values()) for b in got for r in b.to_pylist()] == [r for p in rows.partitions() for r in rows.read(p)]
+    assert len(got) > 10 and all(b.num_rows <= 4 for b in got)
+
+
+def test_stored_members_are_told_from_damaged_ones(spark, tmp_path):
+    df = spark.createDataFrame([("a.cbz", "é1.png", b"one" * 9), ("a.cbz", "2.png", b""), ("b.cbz", "3.png", b"three")], "archive string, name string, content binary")
+    archives.write_archives(df, str(tmp_path / "out"))
+    at = tmp_path / "out" / "a.cbz"
+    with zipfile.ZipFile(at) as z:
+        # sizes stand before the contents: no entry ends with a descriptor
+        assert z.testzip() is None and all(not i.flag_bits & 8 for i in z.infolist())
+    read = lambda: [bytes(r[7]) for r in comics.ArchiveReader({"path": str(at)}).read(comics.Split([(str(at), 0, 10**9)]))]
+    assert sorted(read()) == [b"", b"one" * 9]
+    at.write_bytes(at.read_bytes().replace(b"oneone", b"onXone", 1))
+    with pytest.raises(zipfile.BadZipFile):
+        read()

@@ -39,6 +39,16 @@ def test_overlaps_cost_no_square(spark):
     assert [tuple(r) for r in ranges.first_range(pages, held).groupBy("ord").count().collect()] == [(0, 2000)]
 
 
+def test_short_ranges_are_looked_up_in_few_blocks(spark, monkeypatch):
+    """Ends of ranges of two pages are sent for two sizes of blocks, not for each of 33."""
+    held = spark.range(4000).select((F.col("id") % 7).alias("book"), F.col("id").cast("int").alias("ord"), (F.col("id") * 5).cast("int").alias("start"), (F.col("id") * 5 + 1).cast("int").alias("end"))
+    sent, blocks_around = [], ranges.blocks_around
+    monkeypatch.setattr(ranges, "blocks_around", lambda *a: sent.append(blocks_around(*a)) or sent[-1])
+    steps = ranges.range_steps(held)
+    assert steps.count() == 8000 and steps.filter("ord is not null").count() == 4000
+    assert sent[0].count() <= 2 * 8000
+
+
 def test_no_ranges_and_no_pages(spark):
     pages = spark.createDataFrame([(1, 1)], "book int, page int")
     held = spark.createDataFrame([(1, 0, 0, 5)], "book int, ord int, start int, end int")

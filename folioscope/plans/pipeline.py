@@ -132,14 +132,15 @@ ACTIONS: dict[str, Action] = {
     "color_detect": _color_detect,
     "move_color": lambda df, p: df.withColumn("route", route_by_color(F.col("is_color"), F.lit(True), suffix(F.col("name")))),
     "change_cwd": lambda df, p: df,
-    "pack": lambda df, p: df.withColumn("archive", F.concat(F.lit(p["prefix"]), F.col("book").cast("string"), F.lit(".cbz")) if "prefix" in p else _archive_name()),
+    "pack": lambda df, p: df.withColumn("archive", F.concat(F.lit(p["prefix"]), F.col("book").cast("string"), F.lit(".cbz")) if "prefix" in p else F.col("_volume.archive")),
 }
 #: The folder that a kind writes to, where its action names none.
 FOLDERS = {"autolevel": "leveled", "level": "leveled", "posterize": "posterized", "rescale": "rescaled", "denoise": "output", "upscale": "output"}
 
 
 def _archive_name() -> Column:
-    v = lambda x: F.col(f"_volume.{x}")
+    """A volume's archive, from its own columns: once for a volume, not for each page."""
+    v = F.col
     tag = reduce(lambda x, t: F.when(v("pub_type") == t[0], F.lit(t[2])).otherwise(x), N.PUBLICATIONS, F.lit(None).cast("string"))
     volume = F.when(~v("oneshot"), N.fmt_volume_text(v("number"), v("number_end")))
     make = lambda bracket: N.fmt_archive_name(F.coalesce(v("volume_title"), v("title")), v("year"), tag, v("credit"), volume, v("extra_text"), v("revision"), bracket)
@@ -192,8 +193,9 @@ def _with_inputs(pages: DataFrame, kinds: set[str], inputs: Inputs) -> DataFrame
     # a page that no list names is judged otherwise
     df = df.withColumn("_listed", F.when(F.col("_in_colors"), True)).drop("_in_colors")
     if kinds & {"rename", "pack", "tagging"} and inputs.volumes is not None:
-        fields = [c for c in inputs.volumes.columns if c not in ("book", "config", "actions", "pos")]
-        df = df.join(inputs.volumes.select("book", F.struct(*fields).alias("_volume")).dropDuplicates(["book"]), "book", "left")
+        volumes = inputs.volumes.withColumn("archive", _archive_name()) if "archive" in kinds else inputs.volumes
+        fields = [c for c in volumes.columns if c not in ("book", "config", "actions", "pos")]
+        df = df.join(volumes.select("book", F.struct(*fields).alias("_volume")).dropDuplicates(["book"]), "book", "left")
     if "rename" in kinds:
         if inputs.chapters is None or inputs.volumes is None:
             raise ValueError("renaming needs chapters and volumes")
@@ -223,7 +225,9 @@ def run(pages: DataFrame, actions: Sequence[dict[str, Any]], inputs: Inputs = In
     steps = steps_of(actions)
     if wrong := [a["kind"] for _, a in steps if a["kind"] not in ACTIONS]:
         raise ValueError(f"no such action: {wrong[0]}")
-    df = _with_inputs(pages.withColumn("cwd", F.col("book").cast("string")).withColumn("history", F.array().cast("array<string>")), {a["kind"] for _, a in steps}, inputs)
+    # a pack without a prefix names archives by their volumes
+    kinds = {a["kind"] for _, a in steps} | {"archive" for _, a in steps if a["kind"] == "pack" and "prefix" not in a}
+    df = _with_inputs(pages.withColumn("cwd", F.col("book").cast("string")).withColumn("history", F.array().cast("array<string>")), kinds, inputs)
     if "is_color" not in df.columns and inputs.colors is not None:
         df = df.withColumn("is_color", F.coalesce("_listed", F.lit(False)))
     pixels, folder = inputs.pixels, None

@@ -1,6 +1,7 @@
 """Every query with SQL against DuckDB at the smallest scale."""
 
 import decimal
+import re
 
 import duckdb
 import pytest
@@ -38,3 +39,14 @@ def test_same_rows_as_sql(spark, sf, duck, name):
 
 def test_flagship(spark, sf):
     assert flagship(spark, sf).count() > 0
+
+
+@pytest.mark.parametrize("name", ["fmt_page_name", "parse_chapter", "chapter_key", "split_autosplit", "config_run"])
+def test_code_of_a_page_is_compiled(spark, sf, name):
+    """The JVM interprets methods of more than 8,000 bytes; what chapters and volumes share isn't worked out for each page."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        text = spark._jvm.PythonSQLUtils.explainString(QUERIES[name](spark, sf)._jdf.queryExecution(), "codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert int(re.findall(r"maxMethodCodeSize:(\d+)", text)[-1]) < 8000
